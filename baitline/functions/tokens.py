@@ -78,8 +78,7 @@ def pack(body_ids, title_ids, block: int = BLOCK_SIZE, title_max: int | None = N
     content = F.concat(b, F.array(F.lit(sep)), t)
     seq = F.concat(content, F.array_repeat(F.lit(pad), F.lit(block) - F.size(content)))
     blen = F.size(b)
-    mask = F.transform(F.sequence(F.lit(0), F.lit(block - 1)),
-                       lambda i: F.when(i >= blen, F.lit(1)).otherwise(F.lit(0)))
+    mask = F.concat(F.array_repeat(F.lit(0), blen), F.array_repeat(F.lit(1), F.lit(block) - blen))
     return F.struct(seq.alias("sequence"), mask.alias("title_mask"), blen.alias("body_len"))
 
 

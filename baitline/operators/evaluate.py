@@ -42,7 +42,10 @@ def sentence_scores(df: DataFrame, key: str = "row_id", body: str = "Body",
     rounded to 6 places."""
     sents = F.split(F.col(body), SENTENCE_SEP)
     n_doc = F.size(F.flatten(F.transform(sents, lambda s: words(s))))
-    e = (df.select(key, n_doc.alias("_N"), F.posexplode(sents).alias("sidx", "_s"))
+    # the document token count is projected before the explode, so it is
+    # computed once per document, not once per sentence
+    e = (df.select(key, body, n_doc.alias("_N"))
+         .select(key, "_N", F.posexplode(F.split(F.col(body), SENTENCE_SEP)).alias("sidx", "_s"))
          .select(key, "_N", "sidx", words("_s").alias("_w"))
          .select(key, "_N", "sidx", F.size("_w").alias("k"), F.explode("_w").alias("_t"))
          .repartition(key))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,9 @@ def describe_long(long: DataFrame, keys: list[str], value: str = "value",
     ``value`` per ``keys``."""
     v = F.col(value)
     band = 3.0 / accuracy
+    # the narrow (keys, value) table feeds both passes; keep it instead of
+    # recomputing its (possibly expensive) lineage for the second pass
+    long = long.select(*keys, value).persist(StorageLevel.MEMORY_AND_DISK)
     stats = (long.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(
         F.count(v).alias("_n"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
