@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .filters import numeric_columns
 from .rowindex import running_sum
 
@@ -39,12 +39,13 @@ def to_long(df: DataFrame, cols: list[str] | None = None, by: Iterable[str] = ()
 def describe_long(long: DataFrame, keys: list[str], value: str = "value",
                   accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """min, max, median (exact, interpolated), mean, std (population) of
-    ``value`` per ``keys``."""
+    ``value`` per ``keys``. Runs one job to materialise the input."""
     v = F.col(value)
     band = 3.0 / accuracy
-    # the narrow (keys, value) table feeds both passes; keep it instead of
-    # recomputing its (possibly expensive) lineage for the second pass
-    long = long.select(*keys, value).persist(StorageLevel.MEMORY_AND_DISK)
+    # The narrow (keys, value) table feeds both passes. It is written once to
+    # the shared checkpoint folder (one job), so neither pass recomputes its
+    # possibly expensive lineage, and the self-join below scans files.
+    long = materialize(long.select(*keys, value), "report-long")
     stats = (long.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(
         F.count(v).alias("_n"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),

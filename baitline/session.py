@@ -52,3 +52,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     that cut lineage or round-trip data (never a machine-local temp dir)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: later passes (and self-joins) scan the written files instead of
+    recomputing the lineage, and a lost executor costs a file re-read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
