@@ -7,17 +7,20 @@ split when others are added, and no split needs a global sort:
 * :func:`split_exact` - exact sizes as the two-stage random split produces
   them (``n_test = ceil(f n)``, ``n_dev = ceil(f_dev / (1 - f_test) * rest)``).
   Rows are ranked by ``(hash, id)``; the rank is found through a histogram
-  of 2^16 hash buckets (a bounded table), and an exact rank is computed only
-  inside the two boundary buckets.
+  of 2^16 hash buckets (a bounded table collected to the driver), and an
+  exact rank is computed only inside the two boundary buckets, with the
+  range-partitioned row index (no single-task window).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rowindex import with_dense_index
+
 # Fixed values.
 SPLITS = ("train", "dev", "test")
 DEV_FRACTION = 0.1
@@ -47,7 +50,8 @@ def exact_sizes(n: int, dev: float = DEV_FRACTION, test: float = TEST_FRACTION)
 
 
 def split_exact(df: DataFrame, key: str, dev: float = DEV_FRACTION,
-                test: float = TEST_FRACTION, out: str = "split") -> DataFrame:
+                test: float = TEST_FRACTION, out: str = "split",
+                tiebreak: tuple[str, ...] = ()) -> DataFrame:
     """The first ``n_test`` rows by ``(hash, key)`` go to test, the next
     ``n_dev`` to dev, the rest to train."""
     hk = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
@@ -90,10 +94,14 @@ def split_exact(df: DataFrame, key: str, dev: float = DEV_FRACTION,
     whole = whole.withColumn(out, bucket_label())
     if not boundary:
         return whole.drop("_h", "_b")
-    # boundary buckets: exact rank inside each (expected n / 2^16 rows each)
-    base = F.create_map(*[x for b in boundary for x in (F.lit(b), F.lit(below[b]))])
-    w = Window.partitionBy("_b").orderBy("_h", key)
-    edge = (d.filter(F.col("_b").isin(boundary))
-            .withColumn("_r", base[F.col("_b")] + F.row_number().over(w) - 1)
-            .withColumn(out, label_from_rank(F.col("_r"))).drop("_r"))
-    return whole.unionByName(edge).drop("_h", "_b")
+    # boundary buckets (at most two): exact rank inside each through the
+    # distributed range index, so even a bucket holding a hot key is split
+    # across tasks (ties beyond (hash, key) are broken by ``tiebreak``)
+    parts = [whole]
+    for b in boundary:
+        ranked = with_dense_index(d.filter(F.col("_b") == b), ["_h", key, *tiebreak], "_r0")
+        parts.append(ranked.withColumn(out, label_from_rank(F.lit(below[b]) + F.col("_r0"))).drop("_r0"))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res.drop("_h", "_b")

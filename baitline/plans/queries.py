@@ -15,7 +15,7 @@ from ..functions import text as tx
 from ..functions import tokens as tk
 from ..operators import encode, filters, report, rowindex, scorers, split
 from ..operators.evaluate import METRIC_COLUMNS, evaluate_pairs, extractive_headline
-from ..operators.prepare import prepare_articles, union_by_name
+from ..operators.prepare import union_by_name
 from ..sources import datasets, fixtures
 from . import headline as hp
 
@@ -242,7 +242,11 @@ def running_accuracy(spark: SparkSession, d: str) -> DataFrame:
 def classifier_fit(spark: SparkSession, d: str) -> DataFrame:
     p = hp.prepared_set(spark, d)
     model = scorers.fit_classifier(p, "Title", "Score")
-    return model.transform(p).select("row_id", "prediction", "probability")
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(p)
+    return scored.select("row_id", F.col("prediction").cast("int").alias("pred"),
+                         _r(vector_to_array("probability")[1]).alias("prob"))
 
 
 def plugin_scorer(spark: SparkSession, d: str) -> DataFrame:
