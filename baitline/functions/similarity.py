@@ -29,6 +29,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable
+    (a one-element ``transform``); keeps an expensive array from being
+    recomputed when ``body`` refers to it inside another lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # ---------------------------------------------------------------- ROUGE ----
 
 def rouge_pieces(text) -> Column:
@@ -96,12 +103,13 @@ def occurrence_tags(tokens_sorted) -> Column:
 
 
 def bleu1(ref_tokens, hyp_tokens) -> Column:
-    """M1 on two whitespace token arrays (the sorted arrays are materialised
-    by :func:`baitline.operators.evaluate.with_bleu1`; here any array works)."""
+    """M1 on two whitespace token arrays, per row. The tag search is
+    quadratic in length, so use it for headlines; for long texts
+    :func:`baitline.operators.evaluate.token_count_stats` is linear."""
     r = _c(ref_tokens)
     h = _c(hyp_tokens)
-    m = F.size(F.array_intersect(occurrence_tags(F.array_sort(h)),
-                                 occurrence_tags(F.array_sort(r)))).cast("double")
+    m = let(F.array_sort(h), lambda sh: let(F.array_sort(r), lambda sr: F.size(
+        F.array_intersect(occurrence_tags(sh), occurrence_tags(sr))))).cast("double")
     lh = F.size(h).cast("double")
     lr = F.size(r).cast("double")
     bp = F.when(lh > lr, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - lr / lh))
@@ -119,13 +127,16 @@ def count_of(sorted_tokens, reversed_sorted, tok) -> Column:
 
 
 def bow_cosine(a_tokens, b_tokens) -> Column:
-    """M4 stand-in: cosine of the two token-count vectors."""
-    a = _c(a_tokens)
-    b = _c(b_tokens)
-    sa, sb = F.array_sort(a), F.array_sort(b)
-    ra, rb = F.reverse(sa), F.reverse(sb)
-    ua = F.array_distinct(a)
-    ub = F.array_distinct(b)
+    """M4 stand-in per row: cosine of the two token-count vectors (searches
+    sorted arrays: for headlines; the operator path is linear)."""
+    def body(sa, sb):
+        ra, rb = F.reverse(sa), F.reverse(sb)
+        return let(ra, lambda ra_: let(rb, lambda rb_: _bow_from_sorted(sa, ra_, sb, rb_)))
+    return let(F.array_sort(_c(a_tokens)), lambda sa: let(F.array_sort(_c(b_tokens)), lambda sb: body(sa, sb)))
+
+
+def _bow_from_sorted(sa, ra, sb, rb) -> Column:
+    ua, ub = F.array_distinct(sa), F.array_distinct(sb)
     dot = F.aggregate(ua, F.lit(0).cast("bigint"),
                       lambda acc, t: acc + count_of(sa, ra, t) * count_of(sb, rb, t))
     na = F.aggregate(ua, F.lit(0).cast("bigint"),
@@ -136,11 +147,69 @@ def bow_cosine(a_tokens, b_tokens) -> Column:
     return F.when(den > 0, dot.cast("double") / den).otherwise(F.lit(0.0))
 
 
+def count_stats(ref_tokens, hyp_tokens, dim: int = EMBED_DIM) -> Column:
+    """Token-count statistics of two token arrays in O(n log n), one pass:
+
+    struct(m, dot, nr, ng, edot, enr, eng) with ``m`` = clipped matches
+    ``sum_t min(c_ref, c_hyp)`` (BLEU-1), ``dot``/``nr``/``ng`` = dot product
+    and squared norms of the token-count vectors, and ``edot``/``enr``/``eng``
+    the same for the ``dim``-bucket hashed embedding.
+
+    Both arrays are tagged (bucket, token, side) and sorted together, so equal
+    tokens (and equal buckets) are adjacent; one ``aggregate`` walks the runs
+    with scalar accumulators only (no per-element search, no array growth)."""
+    def tag(arr, side):
+        return F.transform(_c(arr), lambda t: F.struct(token_hash(t, dim).alias("b"), t.alias("t"),
+                                                       F.lit(side).alias("s")))
+    merged = F.array_sort(F.concat(tag(ref_tokens, 0), tag(hyp_tokens, 1)))
+    z = F.lit(0).cast("long")
+    init = F.struct(F.lit(-1).cast("long").alias("pb"), F.lit(None).cast("string").alias("pt"),
+                    z.alias("cr"), z.alias("cg"), z.alias("er"), z.alias("eg"),
+                    z.alias("m"), z.alias("dot"), z.alias("nr"), z.alias("ng"),
+                    z.alias("edot"), z.alias("enr"), z.alias("eng"))
+
+    def flush_tok(a, c):
+        return F.when(c, F.struct(
+            (a["m"] + F.least(a["cr"], a["cg"])).alias("m"), (a["dot"] + a["cr"] * a["cg"]).alias("dot"),
+            (a["nr"] + a["cr"] * a["cr"]).alias("nr"), (a["ng"] + a["cg"] * a["cg"]).alias("ng"))
+        ).otherwise(F.struct(a["m"].alias("m"), a["dot"].alias("dot"), a["nr"].alias("nr"), a["ng"].alias("ng")))
+
+    def flush_bkt(a, c):
+        return F.when(c, F.struct(
+            (a["edot"] + a["er"] * a["eg"]).alias("edot"), (a["enr"] + a["er"] * a["er"]).alias("enr"),
+            (a["eng"] + a["eg"] * a["eg"]).alias("eng"))
+        ).otherwise(F.struct(a["edot"].alias("edot"), a["enr"].alias("enr"), a["eng"].alias("eng")))
+
+    def step(a, x):
+        new_b = x["b"] != a["pb"]
+        new_t = new_b | a["pt"].isNull() | (x["t"] != a["pt"])
+        ft, fb = flush_tok(a, new_t), flush_bkt(a, new_b)
+        is_r = (x["s"] == 0).cast("long")
+        is_g = (x["s"] == 1).cast("long")
+        keep_t = F.when(new_t, z).otherwise(F.lit(1).cast("long"))
+        keep_b = F.when(new_b, z).otherwise(F.lit(1).cast("long"))
+        return F.struct(x["b"].alias("pb"), x["t"].alias("pt"),
+                        (a["cr"] * keep_t + is_r).alias("cr"), (a["cg"] * keep_t + is_g).alias("cg"),
+                        (a["er"] * keep_b + is_r).alias("er"), (a["eg"] * keep_b + is_g).alias("eg"),
+                        ft["m"].alias("m"), ft["dot"].alias("dot"), ft["nr"].alias("nr"), ft["ng"].alias("ng"),
+                        fb["edot"].alias("edot"), fb["enr"].alias("enr"), fb["eng"].alias("eng"))
+
+    def finish(a):
+        ft, fb = flush_tok(a, F.lit(True)), flush_bkt(a, F.lit(True))
+        return F.struct(ft["m"].alias("m"), ft["dot"].alias("dot"), ft["nr"].alias("nr"), ft["ng"].alias("ng"),
+                        fb["edot"].alias("edot"), fb["enr"].alias("enr"), fb["eng"].alias("eng"))
+
+    return F.aggregate(merged, init, step, finish)
+
+
 def hashed_embedding(tokens, dim: int = EMBED_DIM) -> Column:
     """I4 stand-in sentence embedding: counts of token hash buckets."""
     bucket = F.transform(_c(tokens), lambda t: token_hash(t, dim).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda j: F.size(F.filter(bucket, lambda x: x == j)).cast("double"))
+    # bind the bucket ids once (a one-element transform acts as a let), so the
+    # hashes are not recomputed for each of the ``dim`` components
+    return F.element_at(F.transform(F.array(bucket), lambda b: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda j: F.size(F.filter(b, lambda x: x == j)).cast("double"))), 1)
 
 
 def array_cosine(a, b) -> Column:

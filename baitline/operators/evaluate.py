@@ -16,8 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import (array_cosine, bigrams, hashed_embedding, occurrence_tags,
-                                    rouge_valid, rouge_words, count_of, f1_from_counts)
+from ..functions.similarity import bigrams, count_stats, f1_from_counts, rouge_valid, rouge_words
 from ..functions.text import SENTENCE_SEP, words
 from .filters import non_empty_text
 
@@ -72,57 +71,59 @@ def extractive_headline(df: DataFrame, key: str = "row_id", body: str = "Body",
     return j.withColumn(out, F.when(F.col("_best").isNotNull(), pick).otherwise(fb)).drop("_best")
 
 
-def with_text_metrics(df: DataFrame, real: str = "real_title", gen: str = "gen_title",
-                      body: str = "body_text") -> DataFrame:
-    """Add the seven metric columns. Token arrays (and the sorted forms the
-    count-based metrics search) are computed once as columns."""
+def pair_token_metrics(df: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
+    """(key, bleu_score, cosine_similarity_spacey, cosine_similarity_bert_embed)
+    for two text columns; one projection. Rows whose texts have no token on
+    either side get 0."""
+    d = df.select(key, words(ref).alias("_rw"), words(hyp).alias("_gw"))
+    d = d.select("*", count_stats("_rw", "_gw").alias("_cs"))
+    return d.select(key, *_count_metrics())
+
+
+def _count_metrics():
+    cs = F.col("_cs")
+    m = cs["m"].cast("double")
+    lg = F.size("_gw").cast("double")
+    lr = F.size("_rw").cast("double")
+    bp = F.when(lg > lr, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - lr / lg))
+    bleu = F.when(m == 0, F.lit(0.0)).otherwise(m / lg * bp)
+    den = F.sqrt(cs["nr"].cast("double") * cs["ng"].cast("double"))
+    bow = F.when(den > 0, cs["dot"].cast("double") / den).otherwise(F.lit(0.0))
+    eden = F.sqrt(cs["enr"].cast("double")) * F.sqrt(cs["eng"].cast("double"))
+    emb = F.coalesce(F.when(eden > 0, cs["edot"].cast("double") / eden), F.lit(0.0))
+    return [bleu.alias("bleu_score"), bow.alias("cosine_similarity_spacey"),
+            emb.alias("cosine_similarity_bert_embed")]
+
+
+def with_text_metrics(df: DataFrame, key: str = "row_id", real: str = "real_title",
+                      gen: str = "gen_title", body: str = "body_text") -> DataFrame:
+    """Add the seven metric columns. Token arrays are projected once as
+    columns; ROUGE sets are hash-based array functions (linear per row);
+    token counts for BLEU-1, the count cosine and the hashed-embedding cosine
+    come from one sorted pass (:func:`count_stats`). No shuffle, no join."""
     d = df.select("*",
                   words(real).alias("_rw"), words(gen).alias("_gw"),
                   rouge_words(body).alias("_bw"), rouge_words(gen).alias("_gr"),
                   rouge_words(real).alias("_rr"))
-    d = d.select("*", F.array_sort("_rw").alias("_rs"), F.array_sort("_gw").alias("_gs"))
-    d = d.select("*", F.reverse("_rs").alias("_rv"), F.reverse("_gs").alias("_gv"),
-                 F.array_distinct("_rw").alias("_ru"), F.array_distinct("_gw").alias("_gu"),
-                 occurrence_tags("_rs").alias("_rt"), occurrence_tags("_gs").alias("_gt"),
+    d = d.select("*",
                  F.array_distinct("_bw").alias("_b1"), F.array_distinct("_gr").alias("_g1"),
                  F.array_distinct("_rr").alias("_r1"),
                  F.array_distinct(bigrams("_bw")).alias("_b2"),
                  F.array_distinct(bigrams("_gr")).alias("_g2"),
-                 F.array_distinct(bigrams("_rr")).alias("_r2"),
-                 hashed_embedding("_rw").alias("_re"), hashed_embedding("_gw").alias("_ge"))
-
-    def sq(s, v, u):
-        return F.aggregate(u, F.lit(0).cast("bigint"),
-                           lambda acc, t: acc + count_of(s, v, t) * count_of(s, v, t))
-    dot = F.aggregate("_gu", F.lit(0).cast("bigint"),
-                      lambda acc, t: acc + count_of("_gs", "_gv", t) * count_of("_rs", "_rv", t))
+                 F.array_distinct(bigrams("_rr")).alias("_r2"))
 
     def ov(a, b):
         return F.size(F.array_intersect(a, b))
     # integer counts once per row; the final projection is plain arithmetic
-    d = d.select("*",
-                 F.size(F.array_intersect("_gt", "_rt")).alias("_m"),
-                 dot.alias("_dot"), sq("_rs", "_rv", "_ru").alias("_nr"),
-                 sq("_gs", "_gv", "_gu").alias("_ng"),
-                 array_cosine("_re", "_ge").alias("_emb"),
+    d = d.select(*df.columns, "_rw", "_gw", count_stats("_rw", "_gw").alias("_cs"),
                  ov("_b1", "_g1").alias("_o1g"), ov("_b2", "_g2").alias("_o2g"),
                  ov("_b1", "_r1").alias("_o1r"), ov("_b2", "_r2").alias("_o2r"),
                  F.size("_b1").alias("_nb1"), F.size("_b2").alias("_nb2"),
                  F.size("_g1").alias("_ng1"), F.size("_g2").alias("_ng2"),
                  F.size("_r1").alias("_nr1"), F.size("_r2").alias("_nr2"))
-    m = F.col("_m").cast("double")
-    lg = F.size("_gw").cast("double")
-    lr = F.size("_rw").cast("double")
-    bp = F.when(lg > lr, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - lr / lg))
-    bleu = F.when(m == 0, F.lit(0.0)).otherwise(m / lg * bp)
-    den = F.sqrt(F.col("_nr").cast("double") * F.col("_ng").cast("double"))
-    bow = F.when(den > 0, F.col("_dot").cast("double") / den).otherwise(F.lit(0.0))
-    emb = F.coalesce(F.col("_emb"), F.lit(0.0))
     return d.select(
         *[c for c in df.columns],
-        bleu.alias("bleu_score"),
-        bow.alias("cosine_similarity_spacey"),
-        emb.alias("cosine_similarity_bert_embed"),
+        *_count_metrics(),
         f1_from_counts("_o1g", "_nb1", "_ng1").alias("rouge1_f1_score_gen_title"),
         f1_from_counts("_o2g", "_nb2", "_ng2").alias("rouge2_f1_score_gen_title"),
         f1_from_counts("_o1r", "_nb1", "_nr1").alias("rouge1_f1_score_real_title"),
@@ -135,13 +136,13 @@ def pair_validity(body: str = "body_text", real: str = "real_title", gen: str =
 
 
 def evaluate_pairs(df: DataFrame, key: str = "row_id", score: str = "Score", real: str = "Title",
-                   gen: str = "gen_title", body: str = "Body", keep_key: bool = True) -> DataFrame:
+                   gen: str = "gen_title", body: str = "Body") -> DataFrame:
     """M6: evaluation rows (reference column names) for valid pairs."""
-    cols = ([F.col(key)] if keep_key else []) + [
+    cols = [F.col(key)] + [
         F.col(score).alias("score"), F.col(real).alias("real_title"),
         F.col(gen).alias("gen_title"), F.col(body).alias("body_text")]
     d = df.select(*cols).filter(pair_validity())
-    return with_text_metrics(d)
+    return with_text_metrics(d, key)
 
 
 def rejected_pairs(df: DataFrame, real: str = "Title", gen: str = "gen_title", body: str = "Body") -> DataFrame:

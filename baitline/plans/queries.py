@@ -14,7 +14,7 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 from ..functions import tokens as tk
 from ..operators import encode, filters, report, rowindex, scorers, split
-from ..operators.evaluate import METRIC_COLUMNS, evaluate_pairs, extractive_headline
+from ..operators.evaluate import METRIC_COLUMNS, evaluate_pairs, extractive_headline, pair_token_metrics
 from ..operators.prepare import union_by_name
 from ..sources import datasets, fixtures
 from . import headline as hp
@@ -163,8 +163,8 @@ def _pair_eval_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bleu1(spark: SparkSession, d: str) -> DataFrame:
-    g = hp.headline_pairs(spark, d).select("row_id", tx.words("Title").alias("r"), tx.words("gen_title").alias("h"))
-    return g.select("row_id", _r(sim.bleu1("r", "h")).alias("bleu_score"))
+    m = pair_token_metrics(hp.headline_pairs(spark, d), "row_id", "Title", "gen_title")
+    return m.select("row_id", _r("bleu_score").alias("bleu_score"))
 
 
 def rouge12(spark: SparkSession, d: str) -> DataFrame:
@@ -173,8 +173,8 @@ def rouge12(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bow_cosine(spark: SparkSession, d: str) -> DataFrame:
-    g = hp.headline_pairs(spark, d).select("row_id", tx.words("Title").alias("r"), tx.words("gen_title").alias("h"))
-    return g.select("row_id", _r(sim.bow_cosine("r", "h")).alias("cosine"))
+    m = pair_token_metrics(hp.headline_pairs(spark, d), "row_id", "Title", "gen_title")
+    return m.select("row_id", _r("cosine_similarity_spacey").alias("cosine"))
 
 
 def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:

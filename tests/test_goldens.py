@@ -167,3 +167,29 @@ def test_resolve_split():
     assert filters.resolve_split("te") == "test"
     with pytest.raises(ValueError):
         filters.resolve_split("x")
+
+
+def test_count_stats_matches_brute_force(spark):
+    import hashlib
+    import random
+    from collections import Counter
+
+    rnd = random.Random(7)
+    vocab = [f"w{i}" for i in range(40)] + ["", "ä", "x y"]
+    rows = [([rnd.choice(vocab) for _ in range(rnd.randint(0, 60))],
+             [rnd.choice(vocab) for _ in range(rnd.randint(0, 60))]) for _ in range(40)]
+    df = spark.createDataFrame(rows, "r array<string>, h array<string>")
+    got = df.select(sim.count_stats("r", "h").alias("c")).collect()
+
+    def bucket(t):
+        return int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % sim.EMBED_DIM
+
+    for (r, h), g in zip(rows, got):
+        cr, ch = Counter(r), Counter(h)
+        er, eh = Counter(bucket(t) for t in r), Counter(bucket(t) for t in h)
+        c = g["c"]
+        assert c["m"] == sum(min(cr[t], ch[t]) for t in cr)
+        assert c["dot"] == sum(cr[t] * ch[t] for t in cr)
+        assert c["nr"] == sum(v * v for v in cr.values()) and c["ng"] == sum(v * v for v in ch.values())
+        assert c["edot"] == sum(er[j] * eh[j] for j in er)
+        assert c["enr"] == sum(v * v for v in er.values()) and c["eng"] == sum(v * v for v in eh.values())
