@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..functions.tokens import N_RESERVED, RESERVED_TOKENS, UNK_ID
+from ..functions.tokens import N_RESERVED, RESERVED_TOKENS, UNK_ID, encode_text
 
 # Largest vocabulary we broadcast; beyond it the joins shuffle on the token.
 BROADCAST_VOCAB_MAX = 2_000_000
@@ -69,11 +69,22 @@ def decode_ids(encoded: DataFrame, key: str, vocab: DataFrame, size: int = 30_00
 
 
 def roundtrip(df: DataFrame, key: str, col: str, vocab: DataFrame, size: int = 30_000) -> DataFrame:
-    """T16-style round trip: encode with the vocabulary, decode, and count
-    unknown tokens. decode(encode(x)) == x for in-vocabulary text."""
+    """T15 after T1b: encode with the vocabulary, decode the ids back (reserved
+    ids skipped), and count unknown tokens, in one aggregation per text.
+    decode(encode(x)) == x for in-vocabulary text."""
     enc = encode_with_vocab(df, key, col, vocab, size)
-    stats = enc.groupBy(key).agg(F.sum((F.col("id") == UNK_ID).cast("int")).alias("n_unk"),
-                                 F.count(F.lit(1)).alias("n_tokens"))
-    dec = decode_ids(enc, key, vocab, size)
-    return stats.join(dec, key, "left").select(key, F.coalesce("decoded", F.lit("")).alias("decoded"),
-                                               "n_unk", "n_tokens")
+    names = _bcast(vocab.select("id", F.col("token").alias("dtoken")), size)
+    j = enc.join(names, "id", "left")   # reserved ids find no name: skipped
+    return j.groupBy(key).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "dtoken"))),
+                                 lambda s: s["dtoken"]), " ").alias("decoded"),
+        F.sum((F.col("id") == UNK_ID).cast("int")).alias("n_unk"),
+        F.count(F.lit(1)).alias("n_tokens"))
+
+
+def reencode(df: DataFrame, key: str, col: str, vocab: DataFrame, size: int = 30_000,
+             out: str = "reencoded") -> DataFrame:
+    """Text encoded with vocabulary A (``vocab``), decoded, and encoded
+    again with the hashed vocabulary B; returns (key, decoded, ``out``)."""
+    rt = roundtrip(df, key, col, vocab, size)
+    return rt.select(key, "decoded", encode_text(F.col("decoded")).alias(out))

@@ -66,6 +66,28 @@ def with_file_position(df: DataFrame, out: str = "file_pos") -> DataFrame:
             .drop("_fp", "_bs", "_mid", "_m0", "_off"))
 
 
+def with_parquet_position(df: DataFrame, out: str = "file_pos") -> DataFrame:
+    """Record position across Parquet input files (files in path order):
+    the reader's own ``_metadata.row_index`` plus the row count of the
+    earlier files (a table of one row per file)."""
+    s = df.withColumn("_fp", F.col("_metadata.file_path")).withColumn("_ri", F.col("_metadata.row_index"))
+    files = s.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n"))
+    offs = files.select("_fp", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_fp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (s.join(offs, "_fp").withColumn(out, F.col("_off") + F.col("_ri"))
+            .drop("_fp", "_ri", "_off"))
+
+
+def record_at(df: DataFrame, index: int, order: list) -> DataFrame:
+    """The record at 0-based position ``index`` under ``order``."""
+    return with_dense_index(df, order, "_pos").filter(F.col("_pos") == index).drop("_pos")
+
+
+def first_record(df: DataFrame, order: list) -> DataFrame:
+    """L3: the first record under ``order`` (a top-1, no global sort)."""
+    return df.orderBy(*order).limit(1)
+
+
 def running_sum(df: DataFrame, pos: str, value: Column | str, out: str,
                 block: int = 1 << 20, partition_by: tuple = ()) -> DataFrame:
     """``out`` = sum of ``value`` over rows with position <= this row's

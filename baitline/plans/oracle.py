@@ -305,6 +305,17 @@ ORACLE: dict[str, str] = {
                          f"ORDER BY pos), '')) AS decoded_md5, "
                          f"sum(CASE WHEN id IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_unk, count(*)::BIGINT AS n_tokens "
                          f"FROM j GROUP BY row_id"),
+    "reencode_pack_right": (
+        f"WITH {VOCAB}, tt AS (SELECT row_id, unnest(range(1, len({W('Title')}) + 1)) AS pos, "
+        f"unnest({W('Title')}) AS token FROM prepared), "
+        f"j AS (SELECT tt.row_id, tt.pos, tt.token, v.id FROM tt LEFT JOIN top v ON tt.token = v.token), "
+        f"dec AS (SELECT row_id, coalesce(string_agg(CASE WHEN id IS NOT NULL THEN token END, ' ' ORDER BY pos), '') "
+        f"AS decoded FROM j GROUP BY row_id), "
+        f"x AS (SELECT d.row_id, d.decoded, ({IDS('d.decoded')})[1:64] AS t, {IDS('p.Body')} AS body_ids "
+        f"FROM dec d JOIN prepared p ON d.row_id = p.row_id), "
+        f"y AS (SELECT row_id, decoded, t, body_ids[1:(511 - len(t))] AS b, 511 - len(t) AS zone FROM x) "
+        f"SELECT row_id, md5(decoded) AS decoded_md5, {DIGEST('list_concat(list_resize(b, zone, 0), [1], t)')} "
+        f"AS seq_md5, (len(b) + 1 + len(t))::BIGINT AS attn_sum FROM y"),
     "batches": (f"WITH {PREPARED}, p AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM prepared) "
                 f"SELECT (pos // 4)::BIGINT AS batch_id, count(*)::BIGINT AS n_rows, "
                 f"arg_min(row_id, pos) AS first_row_id, "

@@ -141,6 +141,16 @@ def roundtrip_decode(spark: SparkSession, d: str) -> DataFrame:
         F.col("n_tokens").cast("bigint").alias("n_tokens"))
 
 
+def reencode_pack_right(spark: SparkSession, d: str) -> DataFrame:
+    p = hp.prepared_set(spark, d)
+    v = encode.build_vocab(p, ["Title", "Body"], size=500)
+    re = encode.reencode(p, "row_id", "Title", v)
+    j = re.join(p.select("row_id", tk.encode_text("Body").alias("body_ids")), "row_id")
+    pk = tk.pack_right("body_ids", "reencoded")
+    return j.select("row_id", F.md5("decoded").alias("decoded_md5"), tk.ids_digest(pk["sequence"]).alias("seq_md5"),
+                    F.aggregate(pk["attention_mask"], F.lit(0).cast("bigint"), lambda a, x: a + x).alias("attn_sum"))
+
+
 def batches(spark: SparkSession, d: str) -> DataFrame:
     p = rowindex.with_dense_index(hp.prepared_set(spark, d).select("row_id"), ["row_id"], "pos")
     b = report.batch_rows(p, "pos", 4, ["row_id"])
@@ -316,6 +326,7 @@ REGISTRY = {
     "first_zero": first_zero,
     "vocab": vocab,
     "roundtrip_decode": roundtrip_decode,
+    "reencode_pack_right": reencode_pack_right,
     "batches": batches,
     "extractive_headline": extractive,
     "bleu1": bleu1,

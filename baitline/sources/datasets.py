@@ -124,5 +124,13 @@ def write_report(df: DataFrame, run: dict, path: str | None = None) -> str:
     return path
 
 
+def write_outputs(df: DataFrame, run: dict, path: str | None = None) -> str:
+    """Per-row evaluation outputs (score, texts, metrics), tagged with the
+    run and appended as Parquet."""
+    path = path or scratch_path(df.sparkSession, "outputs")
+    tag_run(df, run).write.mode("append").parquet(path)
+    return path
+
+
 def read_report(spark: SparkSession, path: str, schema: StructType = REPORT_SCHEMA) -> DataFrame:
     return spark.read.schema(schema).json(path)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rowindex import with_parquet_position
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -24,12 +26,14 @@ def articles(spark: SparkSession, sf_dir: str, with_file_row: bool = False) -> D
     """Article corpus (id, targetTitle, targetParagraphs) from ``documents``:
     first line = title, the other lines = paragraphs.
 
-    ``with_file_row`` adds ``file_row`` = the record's position in its Parquet
-    file (J3 for Parquet: no sort, no shuffle)."""
+    ``with_file_row`` adds ``file_row`` = the record's position across the
+    Parquet files (J3: the reader's row index plus per-file offsets; no sort)."""
     docs = table(spark, sf_dir, "documents")
+    if with_file_row:
+        docs = with_parquet_position(docs.select("doc_id", "text"), "file_row")
     cols = [F.col("doc_id").alias("id"), F.split("text", "\n").alias("_lines")]
     if with_file_row:
-        cols.append(F.col("_metadata.row_index").alias("file_row"))
+        cols.append("file_row")
     d = docs.select(*cols)
     out = [F.col("id"), F.element_at("_lines", 1).alias("targetTitle"),
            F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0))).alias("targetParagraphs")]
@@ -42,11 +46,13 @@ def truth(spark: SparkSession, sf_dir: str, with_file_row: bool = False) -> Data
     """Truth corpus (id, truthMode) from ``labels``: the four annotator levels
     0, 1/3, 2/3, 1 as ``((1 - quality) * 2 + toxic) / 3``."""
     lab = table(spark, sf_dir, "labels")
+    if with_file_row:
+        lab = with_parquet_position(lab.select("doc_id", "quality", "toxic"), "file_row")
     cols = [F.col("doc_id").alias("id"),
             (((F.lit(1) - F.col("quality")) * 2 + F.col("toxic")).cast("double") / F.lit(3.0))
             .alias("truthMode")]
     if with_file_row:
-        cols.append(F.col("_metadata.row_index").alias("file_row"))
+        cols.append("file_row")
     return lab.select(*cols)
 
 

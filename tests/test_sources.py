@@ -80,3 +80,16 @@ def test_streaming_encode(spark, tmpdir_fresh):
     got = spark.read.parquet(out)
     assert got.count() == p.count()
     assert got.filter(F.size("sequences") != 512).count() == 0
+
+
+def test_outputs_sink_and_record_lookup(spark, tmpdir_fresh):
+    from baitline.plans import headline as hp2
+
+    ev = hp2.headline_eval(spark, SF_SMALL)
+    path = datasets.write_outputs(ev, {"model_type": "extractive", "split": "dev"},
+                                  os.path.join(tmpdir_fresh, "out"))
+    back = spark.read.parquet(path)
+    assert back.count() == ev.count() and "model_type" in back.columns
+    ordered = sorted(r[0] for r in ev.select("row_id").collect())
+    assert rowindex.record_at(ev, 3, ["row_id"]).first()["row_id"] == ordered[3]
+    assert rowindex.first_record(ev, ["row_id"]).first()["row_id"] == ordered[0]
