@@ -21,6 +21,9 @@ from .rowindex import running_sum
 METRIC_SUFFIX = "_metrics"
 RATE_NAMES = ("True Postive", "True Negative", "False Negative", "False Positive", "Overall Accuracy")
 SKETCH_ACCURACY = 10_000
+BAND_LIMIT = 1_000_000      # distinct values ranked in one task per group, at most
+REFINE_BINS = 4096
+MAX_REFINE = 8
 ACCURACY_EVERY = 100
 ACCURACY_AT = 1
 EVAL_CAP = 200
@@ -37,38 +40,93 @@ def to_long(df: DataFrame, cols: list[str] | None = None, by: Iterable[str] = ()
 
 
 def describe_long(long: DataFrame, keys: list[str], value: str = "value",
-                  accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+                  accuracy: int = SKETCH_ACCURACY, band_limit: int = BAND_LIMIT,
+                  bins: int = REFINE_BINS, max_refine: int = MAX_REFINE) -> DataFrame:
     """min, max, median (exact, interpolated), mean, std (population) of
-    ``value`` per ``keys``. Runs one job to materialise the input."""
+    ``value`` per ``keys``, without holding a group in one task.
+
+    The median's two middle ranks are bracketed by a quantile sketch; while a
+    group's bracket still holds more than ``band_limit`` distinct values it is
+    cut into ``bins`` equal-width bins (a bounded count per bin) and narrowed
+    to the bins holding the target ranks. The final step ranks the distinct
+    (value, count) pairs inside the bracket, so heavy ties cost one pair.
+    Runs a few small jobs (one per refinement)."""
     v = F.col(value)
     band = 3.0 / accuracy
-    # The narrow (keys, value) table feeds both passes. It is written once to
-    # the shared checkpoint folder (one job), so neither pass recomputes its
-    # possibly expensive lineage, and the self-join below scans files.
-    long = materialize(long.select(*keys, value), "report-long")
-    stats = (long.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(
+    # The narrow (keys, value) table feeds every pass. It is written once to
+    # the shared checkpoint folder, so no pass recomputes its (possibly
+    # expensive) lineage and the self-joins below scan files.
+    long = materialize(long.select(*keys, value).filter(v.isNotNull() & ~F.isnan(v)), "report-long")
+    stats = long.groupBy(*keys).agg(
         F.count(v).alias("_n"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-        F.percentile_approx(v, [max(0.0, 0.5 - band), min(1.0, 0.5 + band)], accuracy).alias("_q")))
-    bounds = stats.select(*keys, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-    j = long.filter(v.isNotNull() & ~F.isnan(v)).join(bounds, keys)
-    below = j.groupBy(*keys).agg(F.sum(F.when(v < F.col("_lo"), 1).otherwise(0)).alias("_below"))
-    inband = (j.filter((v >= F.col("_lo")) & (v <= F.col("_hi")))
+        F.percentile_approx(v, [max(0.0, 0.5 - band), min(1.0, 0.5 + band)], accuracy).alias("_q"))
+    # bracket per group: [lo, hi] and the 0-based target ranks k1 <= k2
+    state = stats.select(*keys, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"),
+                         F.floor((F.col("_n") - 1) / 2).alias("_k1"), F.floor(F.col("_n") / 2).alias("_k2"),
+                         "min", "max")
+
+    def counts(st: DataFrame) -> DataFrame:
+        j = long.join(F.broadcast(st), keys)   # one row per group
+        inb = (v >= F.col("_lo")) & (v <= F.col("_hi"))
+        return j.groupBy(*keys, "_lo", "_hi", "_k1", "_k2", "min", "max").agg(
+            F.sum(F.when(v < F.col("_lo"), 1).otherwise(0)).alias("_below"),
+            F.sum(F.when(inb, 1).otherwise(0)).alias("_cnt"),
+            F.approx_count_distinct(F.when(inb, v)).alias("_distinct"))
+
+    for _ in range(max_refine + 1):
+        c = materialize(counts(state), "report-band")
+        # the sketch guarantees the bracket; should it ever miss, fall back
+        # to the whole range of the group
+        ok = (F.col("_below") <= F.col("_k1")) & (F.col("_k2") < F.col("_below") + F.col("_cnt"))
+        c = c.select(*keys, F.when(ok, F.col("_lo")).otherwise(F.col("min")).alias("_lo"),
+                     F.when(ok, F.col("_hi")).otherwise(F.col("max")).alias("_hi"),
+                     "_k1", "_k2", "min", "max", "_below", "_cnt", "_distinct", ok.alias("_ok"))
+        big = c.filter((F.col("_distinct") > band_limit) | ~F.col("_ok"))
+        flags = c.agg(F.max(((F.col("_distinct") > band_limit) | ~F.col("_ok")).cast("int")).alias("big"),
+                      F.max((~F.col("_ok")).cast("int")).alias("miss")).first()
+        if not flags["big"]:
+            break
+        if flags["miss"]:
+            state = c.select(*keys, "_lo", "_hi", "_k1", "_k2", "min", "max")
+            continue
+        # equal-width bins over each large bracket; keep the bins of k1..k2
+        width = (F.col("_hi") - F.col("_lo")) / bins
+        j = long.join(F.broadcast(big.select(*keys, "_lo", "_hi", "_k1", "_k2", "_below")), keys)
+        b = F.least(F.greatest(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),
+                               F.lit(0)), F.lit(bins - 1))
+        per_bin = (j.filter((v >= F.col("_lo")) & (v <= F.col("_hi")))
+                   .groupBy(*keys, b.alias("_b")).agg(F.count(F.lit(1)).alias("_bc")))
+        wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        cum = per_bin.withColumn("_cum", F.sum("_bc").over(wb)).join(
+            big.select(*keys, "_lo", "_hi", "_k1", "_k2", "_below"), keys)
+        r1 = F.col("_k1") - F.col("_below")
+        r2 = F.col("_k2") - F.col("_below")
+        hit = lambda r: (F.col("_cum") - F.col("_bc") <= r) & (r < F.col("_cum"))
+        sel = cum.groupBy(*keys, "_lo", "_hi").agg(F.min(F.when(hit(r1), F.col("_b"))).alias("_b1"),
+                                                   F.max(F.when(hit(r2), F.col("_b"))).alias("_b2"))
+        eps = (F.col("_hi") - F.col("_lo")) * 1e-9
+        narrowed = sel.select(*keys, (F.col("_lo") + F.col("_b1") * width - eps).alias("_nlo"),
+                              (F.col("_lo") + (F.col("_b2") + 1) * width + eps).alias("_nhi"))
+        state = (c.join(narrowed, keys, "left")
+                 .select(*keys, F.coalesce("_nlo", "_lo").alias("_lo"), F.coalesce("_nhi", "_hi").alias("_hi"),
+                         "_k1", "_k2", "min", "max"))
+    # exact ranks inside the bracket: distinct (value, count) pairs
+    bounds = c.select(*keys, "_lo", "_hi", "_below")
+    inband = (long.join(F.broadcast(bounds), keys)
+              .filter((v >= F.col("_lo")) & (v <= F.col("_hi")))
               .groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inband.withColumn("_cum", F.sum("_c").over(w)).join(below, keys).join(bounds, keys)
-    # 0-based ranks of the two middle values, relative to the band start
-    k1 = F.floor((F.col("_n") - 1) / 2) - F.col("_below")
-    k2 = F.floor(F.col("_n") / 2) - F.col("_below")
+    ranked = inband.withColumn("_cum", F.sum("_c").over(w)).join(c.select(*keys, "_k1", "_k2", "_below"), keys)
+    k1 = F.col("_k1") - F.col("_below")
+    k2 = F.col("_k2") - F.col("_below")
     hit = lambda k: (F.col("_cum") - F.col("_c") <= k) & (k < F.col("_cum"))
     mids = ranked.groupBy(*keys).agg(
         F.max(F.when(hit(k1), F.col("_v"))).alias("_m1"),
         F.max(F.when(hit(k2), F.col("_v"))).alias("_m2"))
     med = (F.col("_m1") + F.col("_m2")) / 2.0
     return (stats.join(mids, keys, "left")
-            .select(*keys, "min", "max",
-                    F.coalesce(med, (F.col("_q")[0] + F.col("_q")[1]) / 2.0).alias("median"),
-                    "mean", "std"))
+            .select(*keys, "min", "max", med.alias("median"), "mean", "std"))
 
 
 def describe_metrics(df: DataFrame, cols: list[str] | None = None, by: Iterable[str] = (),
