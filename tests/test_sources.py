@@ -93,3 +93,19 @@ def test_outputs_sink_and_record_lookup(spark, tmpdir_fresh):
     ordered = sorted(r[0] for r in ev.select("row_id").collect())
     assert rowindex.record_at(ev, 3, ["row_id"]).first()["row_id"] == ordered[3]
     assert rowindex.first_record(ev, ["row_id"]).first()["row_id"] == ordered[0]
+
+
+def test_streaming_evaluate_equals_batch(spark, tmpdir_fresh):
+    from baitline.streaming.evaluate_stream import evaluate_stream
+
+    p = split.split_by_hash(hp.prepared_set(spark, SF_SMALL), "row_id")
+    src = os.path.join(tmpdir_fresh, "src")
+    p.select("row_id", "Title", "Body", "Summary", "Score", "split").write.parquet(src)
+    out = os.path.join(tmpdir_fresh, "out")
+    q = evaluate_stream(spark, src, out, os.path.join(tmpdir_fresh, "ck"))
+    q.awaitTermination(180)
+    got = spark.read.parquet(out)
+    want = hp.headline_eval(spark, SF_SMALL)
+    cols = ["row_id", "gen_title", "bleu_score", "rouge1_f1_score_gen_title"]
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == \
+        sorted(tuple(r) for r in want.select(*cols).collect())
