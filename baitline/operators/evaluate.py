@@ -171,19 +171,23 @@ def pair_validity(body: str = "body_text", real: str = "real_title", gen: str =
     return non_empty_text(body, gen, real) & rouge_valid(body) & rouge_valid(gen) & rouge_valid(real)
 
 
-def evaluate_pairs(df: DataFrame, key: str = "row_id", score: str = "Score", real: str = "Title",
-                   gen: str = "gen_title", body: str = "Body") -> DataFrame:
-    """M6: evaluation rows (reference column names) for valid pairs."""
-    cols = [F.col(key)] + [
-        F.col(score).alias("score"), F.col(real).alias("real_title"),
-        F.col(gen).alias("gen_title"), F.col(body).alias("body_text")]
-    d = df.select(*cols)
+def valid_pairs(df: DataFrame, key: str = "row_id", score: str = "Score", real: str = "Title",
+                gen: str = "gen_title", body: str = "Body") -> DataFrame:
+    """P7 + P8: (key, score, real_title, gen_title, body_text) rows that the
+    metrics accept."""
+    d = df.select(F.col(key), F.col(score).alias("score"), F.col(real).alias("real_title"),
+                  F.col(gen).alias("gen_title"), F.col(body).alias("body_text"))
     # keep valid rows through a 0/1-element explode instead of a Filter: a
     # Filter would be pushed below the projection that makes ``gen`` and
     # evaluate the headline twice; the Generate keeps it computed once
     keep = F.when(pair_validity(), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
-    d = d.select("*", F.explode(keep).alias("_keep")).drop("_keep")
-    return with_text_metrics(d, key)
+    return d.select("*", F.explode(keep).alias("_keep")).drop("_keep")
+
+
+def evaluate_pairs(df: DataFrame, key: str = "row_id", score: str = "Score", real: str = "Title",
+                   gen: str = "gen_title", body: str = "Body") -> DataFrame:
+    """M6: evaluation rows (reference column names) for valid pairs."""
+    return with_text_metrics(valid_pairs(df, key, score, real, gen, body), key)
 
 
 def rejected_pairs(df: DataFrame, real: str = "Title", gen: str = "gen_title", body: str = "Body") -> DataFrame:

@@ -172,12 +172,19 @@ def running_accuracy(df: DataFrame, pos: str = "pos", ok: str = "ok",
             .select(F.col(pos), F.col("acc"), (F.col("acc") / (F.col(pos) + 1)).alias("accuracy")))
 
 
-def eval_cap(valid: DataFrame, pos: str = "pos", cap: int = EVAL_CAP) -> DataFrame:
+def eval_cap(valid: DataFrame, pos: str = "pos", cap: int = EVAL_CAP, probe: int = 1000) -> DataFrame:
     """L1: valid rows up to position ``cap``, plus the first valid row after
-    it (the reference breaks only after appending a row past the cap)."""
+    it (the reference breaks only after appending a row past the cap).
+
+    The first valid row after the cap is looked for in the next ``probe``
+    positions first (one small job); only if none is valid there is the
+    search extended to every later row, so the result is always exact while
+    rows far past the cap are normally never evaluated."""
     head = valid.filter(F.col(pos) <= cap)
-    nxt = valid.filter(F.col(pos) > cap).orderBy(pos).limit(1)
-    return head.unionByName(nxt)
+    near = valid.filter((F.col(pos) > cap) & (F.col(pos) <= cap + probe)).orderBy(pos).limit(1)
+    if near.isEmpty():
+        near = valid.filter(F.col(pos) > cap + probe).orderBy(pos).limit(1)
+    return head.unionByName(near)
 
 
 def epoch_loss(log: DataFrame) -> DataFrame:

@@ -50,6 +50,14 @@ def with_dense_index(df: DataFrame, order: list, out: str = "pos",
             .drop("_pid", "_mid", "_off"))
 
 
+def with_key_position(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
+    """Add ``out`` = 0-based rank of ``key`` (unique) without moving the wide
+    rows through the range exchange: the index is built on the key column
+    alone and joined back (one shuffle of ``df`` on ``key``)."""
+    idx = with_dense_index(df.select(key), [key], out)
+    return df.join(idx, key)
+
+
 def with_file_position(df: DataFrame, out: str = "file_pos") -> DataFrame:
     """Position of each record across its input files (files in path order,
     then byte order inside a file). Works for every file source: it uses the

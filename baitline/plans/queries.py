@@ -14,7 +14,8 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 from ..functions import tokens as tk
 from ..operators import encode, filters, report, rowindex, scorers, split
-from ..operators.evaluate import METRIC_COLUMNS, evaluate_pairs, extractive_headline, pair_token_metrics
+from ..operators.evaluate import (METRIC_COLUMNS, evaluate_pairs, extractive_headline, pair_token_metrics,
+                                   valid_pairs, with_text_metrics)
 from ..operators.prepare import union_by_name
 from ..sources import datasets, fixtures
 from . import headline as hp
@@ -211,10 +212,14 @@ def metric_report_by_lang(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_cap(spark: SparkSession, d: str) -> DataFrame:
-    g = rowindex.with_dense_index(hp.headline_pairs(spark, d), ["row_id"], "pos")
-    ev = evaluate_pairs(g, key="pos")
-    capped = report.eval_cap(ev, "pos", 200)
-    return capped.select("pos", _r("bleu_score").alias("bleu_score"))
+    # positions first, then the headline: filters on the position reach below
+    # the headline projection, so rows far past the cap are not generated
+    g = extractive_headline(rowindex.with_key_position(hp.prepared_set(spark, d), "row_id", "pos"))
+    # cap the valid rows first (the reference stops its loop there), then
+    # compute the metrics of the kept rows only
+    capped = report.eval_cap(valid_pairs(g, key="pos"), "pos", 200)
+    ev = with_text_metrics(capped, "pos")
+    return ev.select("pos", _r("bleu_score").alias("bleu_score"))
 
 
 # ------------------------------------------------------------ classify ----
@@ -245,7 +250,7 @@ def softmax_label(spark: SparkSession, d: str) -> DataFrame:
 def running_accuracy(spark: SparkSession, d: str) -> DataFrame:
     p = rowindex.with_dense_index(_predictions(spark, d), ["row_id"], "pos")
     p = p.withColumn("ok", (F.col("pred") == F.col("label")).cast("int"))
-    r = report.running_accuracy(p, "pos", "ok", block=128)
+    r = report.running_accuracy(p, "pos", "ok")
     return r.select("pos", F.col("acc").cast("bigint").alias("acc"), _r("accuracy").alias("accuracy"))
 
 
