@@ -61,3 +61,15 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread_small(df):
+    """Round-robin ``df`` over the default parallelism when its scan yields
+    fewer partitions than that (small inputs, or one large Parquet row group
+    that a single task must read). Large inputs already have many more
+    partitions than cores and pass through untouched, so this never adds a
+    shuffle at scale. Planning only, no job."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

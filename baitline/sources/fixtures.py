@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rowindex import with_parquet_position
+from ..session import spread_small
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -31,6 +32,9 @@ def articles(spark: SparkSession, sf_dir: str, with_file_row: bool = False) -> D
     docs = table(spark, sf_dir, "documents")
     if with_file_row:
         docs = with_parquet_position(docs.select("doc_id", "text"), "file_row")
+    # the per-document work downstream is CPU-heavy: make sure every core gets
+    # documents even when the files hold few row groups
+    docs = spread_small(docs.select("doc_id", "text", *(["file_row"] if with_file_row else [])))
     cols = [F.col("doc_id").alias("id"), F.split("text", "\n").alias("_lines")]
     if with_file_row:
         cols.append("file_row")
