@@ -22,7 +22,6 @@ from .tokens import token_hash
 # Fixed values.
 ROUGE_EPS = 1e-8
 EMBED_DIM = 64
-_TAG_SEP = "\u0001"
 
 
 def _c(c) -> Column:
@@ -91,60 +90,27 @@ def rouge_n_f1(eval_words, ref_words, n: int) -> Column:
     raise ValueError("n must be 1 or 2")
 
 
-# ----------------------------------------------------------------- BLEU ----
+# ------------------------------------------------------- BLEU, cosine ----
 
-def occurrence_tags(tokens_sorted) -> Column:
-    """Tag each token with its occurrence number: the k-th copy of ``t`` in a
-    sorted array becomes ``t\\x01k``. Two tagged arrays intersect in exactly the
-    clipped matches, so clipping is one hash intersection."""
-    s = _c(tokens_sorted)
-    return F.transform(s, lambda t, i: F.concat(
-        t, F.lit(_TAG_SEP), (i + F.lit(1) - F.array_position(s, t)).cast("string")))
+def bleu1(ref_tokens, hyp_tokens) -> Column:
+    """M1 on two whitespace token arrays, from :func:`count_stats`."""
+    return let(count_stats(ref_tokens, hyp_tokens), lambda cs: _bleu_from(
+        cs["m"], F.size(_c(hyp_tokens)), F.size(_c(ref_tokens))))
 
 
-def bleu1(ref_tokens, hyp_tokens) -> Column:
-    """M1 on two whitespace token arrays, per row. The tag search is
-    quadratic in length, so use it for headlines; for long texts
-    :func:`baitline.operators.evaluate.token_count_stats` is linear."""
-    r = _c(ref_tokens)
-    h = _c(hyp_tokens)
-    m = let(F.array_sort(h), lambda sh: let(F.array_sort(r), lambda sr: F.size(
-        F.array_intersect(occurrence_tags(sh), occurrence_tags(sr))))).cast("double")
-    lh = F.size(h).cast("double")
-    lr = F.size(r).cast("double")
+def _bleu_from(m, lh, lr) -> Column:
+    m, lh, lr = m.cast("double"), lh.cast("double"), lr.cast("double")
     bp = F.when(lh > lr, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - lr / lh))
     return F.when(m == 0, F.lit(0.0)).otherwise(m / lh * bp)
 
 
-# --------------------------------------------------------------- cosine ----
-
-def count_of(sorted_tokens, reversed_sorted, tok) -> Column:
-    """Copies of ``tok`` in a sorted array, from its first and last position."""
-    s = _c(sorted_tokens)
-    first = F.array_position(s, tok)
-    last = F.size(s) + F.lit(1) - F.array_position(_c(reversed_sorted), tok)
-    return F.when(first == 0, F.lit(0)).otherwise(last - first + F.lit(1))
-
-
 def bow_cosine(a_tokens, b_tokens) -> Column:
-    """M4 stand-in per row: cosine of the two token-count vectors (searches
-    sorted arrays: for headlines; the operator path is linear)."""
-    def body(sa, sb):
-        ra, rb = F.reverse(sa), F.reverse(sb)
-        return let(ra, lambda ra_: let(rb, lambda rb_: _bow_from_sorted(sa, ra_, sb, rb_)))
-    return let(F.array_sort(_c(a_tokens)), lambda sa: let(F.array_sort(_c(b_tokens)), lambda sb: body(sa, sb)))
-
-
-def _bow_from_sorted(sa, ra, sb, rb) -> Column:
-    ua, ub = F.array_distinct(sa), F.array_distinct(sb)
-    dot = F.aggregate(ua, F.lit(0).cast("bigint"),
-                      lambda acc, t: acc + count_of(sa, ra, t) * count_of(sb, rb, t))
-    na = F.aggregate(ua, F.lit(0).cast("bigint"),
-                     lambda acc, t: acc + count_of(sa, ra, t) * count_of(sa, ra, t))
-    nb = F.aggregate(ub, F.lit(0).cast("bigint"),
-                     lambda acc, t: acc + count_of(sb, rb, t) * count_of(sb, rb, t))
-    den = F.sqrt(na.cast("double") * nb.cast("double"))
-    return F.when(den > 0, dot.cast("double") / den).otherwise(F.lit(0.0))
+    """M4 stand-in: cosine of the two token-count vectors, from
+    :func:`count_stats`; 0 for an empty side."""
+    def cos(cs):
+        den = F.sqrt(cs["nr"].cast("double") * cs["ng"].cast("double"))
+        return F.when(den > 0, cs["dot"].cast("double") / den).otherwise(F.lit(0.0))
+    return let(count_stats(a_tokens, b_tokens), cos)
 
 
 def count_stats(ref_tokens, hyp_tokens, dim: int = EMBED_DIM) -> Column:

@@ -1,8 +1,8 @@
 """Headline evaluation (I2 built-in generator, M1-M6, P7, P8).
 
 ``extractive_headline`` is a SumBasic-style sentence pick computed inside each
-document row (sorted tokens -> run-length counts -> map lookups), so the
-corpus is never shuffled for it.
+document row (sorted token occurrences -> run-length counts -> one scalar
+pass), so the corpus is never shuffled for it.
 
 ``evaluate_pairs`` is one projection over (body, real, generated) rows: all
 metrics are Catalyst higher-order functions on token arrays computed once per
@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import bigrams, count_stats, f1_from_counts, let, rouge_valid, rouge_words
+from ..functions.similarity import (_bleu_from, bigrams, count_stats, f1_from_counts, let, rouge_valid,
+                                    rouge_words)
 from ..functions.text import SENTENCE_SEP, words
 from .filters import non_empty_text
 
@@ -118,11 +119,7 @@ def pair_token_metrics(df: DataFrame, key: str, ref: str, hyp: str) -> DataFrame
 
 def _count_metrics():
     cs = F.col("_cs")
-    m = cs["m"].cast("double")
-    lg = F.size("_gw").cast("double")
-    lr = F.size("_rw").cast("double")
-    bp = F.when(lg > lr, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - lr / lg))
-    bleu = F.when(m == 0, F.lit(0.0)).otherwise(m / lg * bp)
+    bleu = _bleu_from(cs["m"], F.size("_gw"), F.size("_rw"))
     den = F.sqrt(cs["nr"].cast("double") * cs["ng"].cast("double"))
     bow = F.when(den > 0, cs["dot"].cast("double") / den).otherwise(F.lit(0.0))
     eden = F.sqrt(cs["enr"].cast("double")) * F.sqrt(cs["eng"].cast("double"))

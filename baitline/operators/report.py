@@ -74,7 +74,9 @@ def describe_long(long: DataFrame, keys: list[str], value: str = "value",
             F.sum(F.when(inb, 1).otherwise(0)).alias("_cnt"),
             F.approx_count_distinct(F.when(inb, v)).alias("_distinct"))
 
-    for _ in range(max_refine + 1):
+    # small inputs: every group's values are few enough to rank directly
+    small = long.count() <= band_limit
+    for _ in range(0 if small else max_refine + 1):
         c = materialize(counts(state), "report-band")
         # the sketch guarantees the bracket; should it ever miss, fall back
         # to the whole range of the group
@@ -111,6 +113,10 @@ def describe_long(long: DataFrame, keys: list[str], value: str = "value",
         state = (c.join(narrowed, keys, "left")
                  .select(*keys, F.coalesce("_nlo", "_lo").alias("_lo"), F.coalesce("_nhi", "_hi").alias("_hi"),
                          "_k1", "_k2", "min", "max"))
+    if small:
+        c = stats.select(*keys, F.col("min").alias("_lo"), F.col("max").alias("_hi"),
+                         F.floor((F.col("_n") - 1) / 2).alias("_k1"), F.floor(F.col("_n") / 2).alias("_k2"),
+                         F.lit(0).cast("long").alias("_below"))
     # exact ranks inside the bracket: distinct (value, count) pairs
     bounds = c.select(*keys, "_lo", "_hi", "_below")
     inband = (long.join(F.broadcast(bounds), keys)
