@@ -109,3 +109,28 @@ def test_streaming_evaluate_equals_batch(spark, tmpdir_fresh):
     cols = ["row_id", "gen_title", "bleu_score", "rouge1_f1_score_gen_title"]
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == \
         sorted(tuple(r) for r in want.select(*cols).collect())
+
+
+class _WordLevelEncoder:
+    """A plug-in encoder built offline with the tokenizers library: created once
+    per task, applied to Arrow batches."""
+
+    def __init__(self):
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        vocab = {"[UNK]": 0, "the": 1, "and": 2, "of": 3}
+        self.tok = Tokenizer(models.WordLevel(vocab, unk_token="[UNK]"))
+        self.tok.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def __call__(self, text):
+        if text == "boom":
+            raise ValueError("model failure")
+        return self.tok.encode(text).ids
+
+
+def test_plugin_encoder_and_failed_rows(spark):
+    from baitline.operators.scorers import apply_text_model
+
+    df = spark.createDataFrame([(1, "the cat and the dog"), (2, "boom"), (3, None)], "id long, t string")
+    got = {r["id"]: r["ids"] for r in apply_text_model(df, "t", _WordLevelEncoder, "ids", "array<int>").collect()}
+    assert got == {1: [1, 0, 2, 1, 0], 2: None, 3: None}
