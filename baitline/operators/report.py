@@ -67,7 +67,9 @@ def describe_long(long: DataFrame, keys: list[str], value: str = "value",
                          "min", "max")
 
     def counts(st: DataFrame) -> DataFrame:
-        j = long.join(F.broadcast(st), keys)   # one row per group
+        # one row per group; AQE broadcasts it when the groups are few (no
+        # forced hint: a per-document ``by`` would make it large)
+        j = long.join(st, keys)
         inb = (v >= F.col("_lo")) & (v <= F.col("_hi"))
         return j.groupBy(*keys, "_lo", "_hi", "_k1", "_k2", "min", "max").agg(
             F.sum(F.when(v < F.col("_lo"), 1).otherwise(0)).alias("_below"),
@@ -94,7 +96,7 @@ def describe_long(long: DataFrame, keys: list[str], value: str = "value",
             continue
         # equal-width bins over each large bracket; keep the bins of k1..k2
         width = (F.col("_hi") - F.col("_lo")) / bins
-        j = long.join(F.broadcast(big.select(*keys, "_lo", "_hi", "_k1", "_k2", "_below")), keys)
+        j = long.join(big.select(*keys, "_lo", "_hi", "_k1", "_k2", "_below"), keys)
         b = F.least(F.greatest(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),
                                F.lit(0)), F.lit(bins - 1))
         per_bin = (j.filter((v >= F.col("_lo")) & (v <= F.col("_hi")))
@@ -119,7 +121,7 @@ def describe_long(long: DataFrame, keys: list[str], value: str = "value",
                          F.lit(0).cast("long").alias("_below"))
     # exact ranks inside the bracket: distinct (value, count) pairs
     bounds = c.select(*keys, "_lo", "_hi", "_below")
-    inband = (long.join(F.broadcast(bounds), keys)
+    inband = (long.join(bounds, keys)
               .filter((v >= F.col("_lo")) & (v <= F.col("_hi")))
               .groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
