@@ -95,3 +95,18 @@ def test_exact_median_with_refinement_and_ties(spark):
     for g in ("a", "b", "c"):
         want = statistics.median([v for k, v in rows if k == g])
         assert abs(got[g] - want) < 1e-12, (g, got[g], want)
+
+
+def test_results_equal_across_partition_counts(spark):
+    from baitline.plans import queries as Q
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for n in ("1", "4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(tuple(sorted(tuple(r) for r in Q.REGISTRY[name](spark, SF_SMALL).collect())
+                             for name in ("metric_report", "split_exact", "vocab", "running_accuracy")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got[0] == got[1] == got[2]
