@@ -66,21 +66,24 @@ def headline_expr(body, min_tokens: int = HEADLINE_MIN_TOKENS, max_tokens: int =
                 per_occ = F.zip_with(so, counts, lambda o, c: F.struct(o["j"].alias("j"), c.alias("c")))
                 cand = F.array_sort(F.filter(
                     per_occ, lambda x: F.element_at(ks, x["j"] + 1).between(min_tokens, max_tokens)))
-                nn = n.cast("double")
-                z = F.struct(F.lit(-1).alias("cj"), F.lit(0.0).alias("s"),
+                # mean of count / n over the sentence = sum(count) / (k n): an
+                # integer sum and one division, so the score (and its ties)
+                # does not depend on a floating-point summation order
+                z = F.struct(F.lit(-1).alias("cj"), F.lit(0).cast("long").alias("s"),
                              F.lit(None).cast("double").alias("bs"), F.lit(None).cast("int").alias("bj"))
 
                 def flush(a):
-                    sc = F.round(a["s"] / F.try_element_at(ks, a["cj"] + 1), 6)
+                    kn = F.try_element_at(ks, a["cj"] + 1).cast("long") * n.cast("long")
+                    sc = F.round(a["s"].cast("double") / kn.cast("double"), 6)
                     better = (a["cj"] >= 0) & (a["bs"].isNull() | (sc > a["bs"]))
                     return (F.when(better, sc).otherwise(a["bs"]), F.when(better, a["cj"]).otherwise(a["bj"]))
 
                 def step(a, x):
                     new = x["j"] != a["cj"]
                     bs, bj = flush(a)
-                    return F.when(new, F.struct(x["j"].alias("cj"), (x["c"] / nn).alias("s"),
+                    return F.when(new, F.struct(x["j"].alias("cj"), x["c"].cast("long").alias("s"),
                                                 bs.alias("bs"), bj.alias("bj"))).otherwise(
-                        F.struct(a["cj"].alias("cj"), (a["s"] + x["c"] / nn).alias("s"),
+                        F.struct(a["cj"].alias("cj"), (a["s"] + x["c"]).alias("s"),
                                  a["bs"].alias("bs"), a["bj"].alias("bj")))
                 best = F.aggregate(cand, z, step, lambda a: flush(a)[1])
                 return let(best, lambda bj: F.when(
@@ -97,7 +100,8 @@ def extractive_headline(df: DataFrame, key: str = "row_id", body: str = "Body",
                         fallback_tokens: int = HEADLINE_FALLBACK_TOKENS) -> DataFrame:
     """I2 built-in, SumBasic-style: add ``out`` = the '.'-sentence of
     ``min..max`` tokens with the highest mean in-document token frequency
-    (count / document tokens, rounded to 6; ties go to the earliest), its
+    (sum of counts / (sentence tokens x document tokens), rounded to 6; ties
+    go to the earliest), its
     tokens joined by one blank; documents without a candidate get their first
     ``fallback_tokens`` tokens.
 

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Largest helper table (rows) we broadcast without asking AQE; one row per
 # partition / block, so it is bounded by the partition count we choose.
 _BROADCAST_ROWS = 1_000_000
@@ -32,14 +34,19 @@ def with_dense_index(df: DataFrame, order: list, out: str = "pos",
     """Add ``out`` = 0-based rank of each row under ``order`` (which must be a
     total order: end it with a unique column).
 
-    Plan: one range exchange (its result is reused by both branches), one
-    tiny aggregate of per-partition counts, a broadcast join. No global sort
-    into one task."""
+    Plan: one range exchange whose rows are written once with their
+    partition id and counter (one job), a tiny aggregate of per-partition
+    counts, a broadcast join. No global sort into one task."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
+    # The per-partition counts and the rows must come from one and the same
+    # range partitioning, but range bounds are sampled per execution (the
+    # sampler is seeded by the RDD id), so two branches would disagree. Each
+    # row's partition id and in-partition counter are therefore written once
+    # to the shared checkpoint folder and both branches read them back.
+    s = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id()), "dense-index")
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select("_pid", (F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))

@@ -111,8 +111,8 @@ sent_w AS (SELECT row_id, sidx, {W('s')} AS w FROM sent),
 sent_n AS (SELECT row_id, sidx, w, len(w) AS k, sum(len(w)) OVER (PARTITION BY row_id) AS n_doc FROM sent_w),
 tok AS (SELECT row_id, sidx, k, n_doc, unnest(w) AS tk FROM sent_n),
 tok_c AS (SELECT row_id, sidx, k, n_doc, count(*) OVER (PARTITION BY row_id, tk) AS c FROM tok),
-sscore AS (SELECT row_id, sidx, round(avg(c / n_doc), 6) AS score FROM tok_c
-           WHERE k BETWEEN 5 AND 50 GROUP BY row_id, sidx),
+sscore AS (SELECT row_id, sidx, round(sum(c)::DOUBLE / (k * n_doc)::DOUBLE, 6) AS score FROM tok_c
+           WHERE k BETWEEN 5 AND 50 GROUP BY row_id, sidx, k, n_doc),
 best AS (SELECT row_id, sidx FROM (
            SELECT row_id, sidx, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, sidx ASC) AS rn
            FROM sscore) WHERE rn = 1),

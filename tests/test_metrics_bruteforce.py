@@ -99,7 +99,7 @@ def test_headline_matches_plain_python(spark):
         best, bj = None, None
         for j, w in enumerate(sw):
             if 5 <= len(w) <= 50:
-                sc = round(sum(c[t] / n for t in w) / len(w), 6)
+                sc = round(sum(c[t] for t in w) / (len(w) * n), 6)
                 if best is None or sc > best:
                     best, bj = sc, j
         return " ".join(sw[bj]) if bj is not None else " ".join(b.split()[:10])

@@ -110,3 +110,16 @@ def test_results_equal_across_partition_counts(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got[0] == got[1] == got[2]
+
+
+def test_dense_index_exact_when_range_sampling_is_partial(spark):
+    # enough rows per input partition that the range sampler only sees a
+    # sample: counts and rows must still agree
+    base = spark.range(0, 60000, 1, 8).select(((F.col("id") * 7919) % 60013).alias("k"))
+    d = rowindex.with_dense_index(base, ["k"], "pos", num_partitions=8)
+    r = d.select((F.max("pos") - F.min("pos") + 1).alias("span"), F.countDistinct("pos").alias("nd"),
+                 F.count(F.lit(1)).alias("n")).first()
+    assert (r["span"], r["nd"], r["n"]) == (60000, 60000, 60000)
+    w = Window.orderBy("k")
+    bad = d.withColumn("rk", F.row_number().over(w) - 1).filter(F.col("rk") != F.col("pos")).count()
+    assert bad == 0
