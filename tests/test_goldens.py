@@ -193,3 +193,22 @@ def test_count_stats_matches_brute_force(spark):
         assert c["nr"] == sum(v * v for v in cr.values()) and c["ng"] == sum(v * v for v in ch.values())
         assert c["edot"] == sum(er[j] * eh[j] for j in er)
         assert c["enr"] == sum(v * v for v in er.values()) and c["eng"] == sum(v * v for v in eh.values())
+
+
+def test_mini_cap_and_decode_specials(spark):
+    from baitline.functions.tokens import UNK_ID
+    from baitline.operators import encode
+    from baitline.operators.prepare import prepare_articles
+
+    arts = spark.createDataFrame([(i, f"t{i}", [f"body {i} words here"]) for i in range(10)],
+                                 "id long, targetTitle string, targetParagraphs array<string>")
+    truth = spark.createDataFrame([(i, 0.0) for i in range(10)], "id long, truthMode double")
+    p = prepare_articles(arts, truth, mini=4)
+    assert sorted(r[0] for r in p.select("row_id").collect()) == [0, 1, 2, 3]
+
+    vocab = spark.createDataFrame([("body", 4, 10), ("words", 5, 9)], "token string, id int, count long")
+    texts = spark.createDataFrame([(1, "body x words")], "k long, t string")
+    enc = encode.encode_with_vocab(texts, "k", "t", vocab)
+    assert sorted((r["pos"], r["id"]) for r in enc.collect()) == [(0, 4), (1, UNK_ID), (2, 5)]
+    assert encode.decode_ids(enc, "k", vocab).first()["decoded"] == "body words"
+    assert encode.decode_ids(enc, "k", vocab, skip_special=False).first()["decoded"] == "body <unk> words"
