@@ -123,3 +123,27 @@ def test_dense_index_exact_when_range_sampling_is_partial(spark):
     w = Window.orderBy("k")
     bad = d.withColumn("rk", F.row_number().over(w) - 1).filter(F.col("rk") != F.col("pos")).count()
     assert bad == 0
+
+
+def test_pack_layouts_random_lengths(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from baitline.functions import tokens as tk
+
+    @settings(max_examples=25, deadline=None)
+    @given(st.lists(st.tuples(st.integers(0, 700), st.integers(0, 120)), min_size=1, max_size=8))
+    def check(sizes):
+        rows = [(list(range(10, 10 + nb)), list(range(9000, 9000 + nt))) for nb, nt in sizes]
+        df = spark.createDataFrame(rows, "b array<int>, t array<int>")
+        out = df.select(tk.pack("b", "t").alias("p"), tk.pack_right("b", "t").alias("r"),
+                        tk.fixed_length("t", 50).alias("f")).collect()
+        for (nb, nt), o in zip(sizes, out):
+            t = min(nt, 64)
+            kept = min(nb, 512 - t - 1)
+            assert len(o["p"]["sequence"]) == 512 and sum(o["p"]["title_mask"]) == 512 - kept
+            assert len(o["r"]["sequence"]) == 512
+            assert sum(o["r"]["attention_mask"]) == min(nb, 511 - t) + 1 + t
+            assert len(o["f"]["ids"]) == 50 and sum(o["f"]["mask"]) == min(nt, 49) + 1
+
+    check()
