@@ -14,8 +14,8 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 from ..functions import tokens as tk
 from ..operators import encode, filters, report, rowindex, scorers, split
-from ..operators.evaluate import (METRIC_COLUMNS, evaluate_pairs, extractive_headline, pair_token_metrics,
-                                   valid_pairs, with_text_metrics)
+from ..operators.evaluate import (METRIC_COLUMNS, extractive_headline, pair_token_metrics, valid_pairs,
+                                   with_text_metrics)
 from ..operators.prepare import union_by_name
 from ..sources import datasets, fixtures
 from . import headline as hp

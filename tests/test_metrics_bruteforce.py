@@ -5,8 +5,6 @@ import math
 import random
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from baitline.operators.evaluate import evaluate_pairs
 
 
