@@ -10,13 +10,14 @@ Default output folders live under the shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
 from ..operators.filters import resolve_split, with_scores
 from ..operators.prepare import union_by_name
+from ..operators.rowindex import with_file_position
 from ..session import scratch_path
 
 ARTICLE_SCHEMA = StructType([
@@ -63,13 +64,30 @@ REPORT_SCHEMA = StructType([
 ])
 
 
-def read_jsonl_union(spark: SparkSession, paths: list[str], schema: StructType) -> DataFrame:
+def read_jsonl_union(spark: SparkSession, paths: list[str], schema: StructType,
+                     with_position: bool = False, out: str = "file_row") -> DataFrame:
     """S1 + U1: several JSON-lines files, union by name, with
     ``file_ordinal`` = index of the file in ``paths`` (a multi-path read does
-    not promise file order, the ordinal does)."""
-    frames = [spark.read.schema(schema).json(p).withColumn("file_ordinal", F.lit(i))
-              for i, p in enumerate(paths)]
-    return union_by_name(frames)
+    not promise file order, the ordinal does).
+
+    ``with_position`` adds ``out`` = the record's position in the
+    concatenation of the files in ``paths`` order (J3): position inside its
+    file from the scan metadata, plus the row count of the earlier files (a
+    table of one row per file)."""
+    frames = []
+    for i, p in enumerate(paths):
+        f = spark.read.schema(schema).json(p)
+        if with_position:
+            f = with_file_position(f, "_in_file")
+        frames.append(f.withColumn("file_ordinal", F.lit(i)))
+    df = union_by_name(frames)
+    if not with_position:
+        return df
+    sizes = df.groupBy("file_ordinal").agg(F.count(F.lit(1)).alias("_n"))
+    offs = sizes.select("file_ordinal", F.coalesce(F.sum("_n").over(
+        Window.orderBy("file_ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (df.join(offs, "file_ordinal").withColumn(out, F.col("_off") + F.col("_in_file"))
+            .drop("_off", "_in_file"))
 
 
 def write_prepared(df: DataFrame, path: str | None = None) -> str:
