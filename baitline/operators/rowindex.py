@@ -89,7 +89,10 @@ def with_parquet_position(df: DataFrame, out: str = "file_pos") -> DataFrame:
     files = s.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n"))
     offs = files.select("_fp", F.coalesce(F.sum("_n").over(
         Window.orderBy("_fp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (s.join(offs, "_fp").withColumn(out, F.col("_off") + F.col("_ri"))
+    # one row per input file: the file list (known when planning) bounds it,
+    # so broadcast it instead of shuffling the records by file path
+    n_files = len(df.inputFiles())
+    return (s.join(_maybe_broadcast(offs, n_files), "_fp").withColumn(out, F.col("_off") + F.col("_ri"))
             .drop("_fp", "_ri", "_off"))
 
 
