@@ -76,7 +76,10 @@ def with_file_position(df: DataFrame, out: str = "file_pos") -> DataFrame:
     splits = s.groupBy("_fp", "_bs").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     offs = splits.select("_fp", "_bs", "_m0", F.coalesce(F.sum("_n").over(
         Window.orderBy("_fp", "_bs").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (s.join(offs, ["_fp", "_bs"])
+    # one row per file split: at most one trailing piece per file plus one
+    # full piece per partition, both known when planning
+    n_splits = len(df.inputFiles()) + df.rdd.getNumPartitions()
+    return (s.join(_maybe_broadcast(offs, n_splits), ["_fp", "_bs"])
             .withColumn(out, F.col("_off") + F.col("_mid") - F.col("_m0"))
             .drop("_fp", "_bs", "_mid", "_m0", "_off"))
 
