@@ -333,6 +333,10 @@ ORACLE: dict[str, str] = {
                          f"FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"),
     "pair_eval": (f"WITH {EVAL} SELECT row_id, round(score, 6) AS score, real_title, gen_title, body_text, "
                   + ", ".join(f"round({c}, 6) AS {c}" for c in METRICS) + " FROM eval_rows"),
+    "rejected_pairs": (f"WITH {HEADLINE} SELECT sum(CASE WHEN Body <> '' AND gen_title <> '' AND Title <> '' "
+                       f"AND len({PIECES('Body')}) > 0 AND len({PIECES('gen_title')}) > 0 "
+                       f"AND len({PIECES('Title')}) > 0 THEN 0 ELSE 1 END)::BIGINT AS rejected, "
+                       f"count(*)::BIGINT AS total FROM pairs"),
     "metric_report": _report(None),
     "metric_report_by_lang": _report("lang"),
     "eval_cap": (f"WITH {EVAL.replace('SELECT row_id, Score AS score', 'SELECT pos AS row_id, Score AS score').replace('FROM pairs', 'FROM (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM pairs)', 1)} "

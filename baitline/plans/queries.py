@@ -199,6 +199,12 @@ def pair_eval(spark: SparkSession, d: str) -> DataFrame:
                     *[_r(c).alias(c) for c in METRIC_COLUMNS])
 
 
+def rejected_pairs(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.evaluate import rejected_pairs as rp
+
+    return rp(hp.headline_pairs(spark, d))
+
+
 def _rounded_report(r: DataFrame, keys: list[str]) -> DataFrame:
     return r.select(*keys, *[_r(c).alias(c) for c in ("min", "max", "median", "mean", "std")])
 
@@ -339,6 +345,7 @@ REGISTRY = {
     "bow_cosine": bow_cosine,
     "embedding_cosine": embedding_cosine,
     "pair_eval": pair_eval,
+    "rejected_pairs": rejected_pairs,
     "metric_report": metric_report,
     "metric_report_by_lang": metric_report_by_lang,
     "eval_cap": eval_cap,
