@@ -6,9 +6,11 @@ explicit here, once, with distributed algorithms:
 
 * :func:`with_dense_index` - 0-based position under a sort order: range
   partitioning + per-partition counts (a table of one row per partition) +
-  offsets. The distributed form of ``zipWithIndex``.
-* :func:`with_file_position` - position of a record in its source files,
-  from the scan's own metadata (no sort).
+  offsets. The distributed form of ``zipWithIndex``;
+  :func:`with_key_position` builds it on a key column alone and joins back.
+* :func:`with_parquet_position` / :func:`with_file_position` - position of a
+  record in its source files, from the scan's own metadata (no sort).
+* :func:`record_at`, :func:`first_record` - lookup by position, top-1.
 * :func:`running_sum` - prefix sum in blocks: per-block totals (one row per
   block), offsets over that small table, then a window partitioned by block.
 """
