@@ -45,3 +45,11 @@ def test_running_sum_with_hot_group(spark):
     ref = df.withColumn("acc2", F.sum("v").over(
         Window.partitionBy("g").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     assert blk.join(ref, ["g", "pos"]).filter(F.col("acc") != F.col("acc2")).count() == 0
+
+
+def test_approximate_report_option(spark):
+    vals = [i / 1000 for i in range(1001)]
+    df = spark.createDataFrame([(v,) for v in vals], "value double")
+    r = report.describe_metrics(df, exact=False).first()
+    assert r["metric"] == "value_metrics" and abs(r["median"] - 0.5) <= 0.002
+    assert r["min"] == 0.0 and r["max"] == 1.0
