@@ -66,3 +66,12 @@ def test_entry(spark):
     rows = df.collect()
     assert len(rows) == 8
     assert df.columns == ["metric", "min", "max", "median", "mean", "std"]
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plans_have_no_cross_join_or_python_in_hot_path(spark, name):
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert op not in plan, (name, op)
+    if name != "plugin_scorer":          # the model plug-in is Python by design
+        assert "MapInPandas" not in plan
