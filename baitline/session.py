@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "baitline") -> SparkSession:
+                  app_name: str = "baitline", driver_memory: str | None = None) -> SparkSession:
     """A session tuned for this library: AQE on, Arrow on, UI off, UTC.
 
     On a cluster, pass ``master=None`` and let spark-submit decide; the
@@ -26,6 +26,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:   # local mode runs every task in the driver JVM
+        b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -29,7 +29,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(f"local[{cpus}]", int(cpus) * 2)
+    spark = build_session(f"local[{cpus}]", int(cpus) * 2,
+                          driver_memory=os.environ.get("BENCH_DRIVER_MEMORY"))
     # warm-up: JIT and Python workers, on a tiny table
     Q.epoch_loss(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
