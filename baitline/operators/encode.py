@@ -25,10 +25,9 @@ def _bcast(vocab: DataFrame, size: int) -> DataFrame:
 def build_vocab(df: DataFrame, cols: list[str], size: int = 30_000) -> DataFrame:
     """(token, id, count): the ``size`` most frequent whitespace tokens of the
     text columns (ties by token), ids after the reserved ones."""
-    toks = None
-    for c in cols:
-        t = df.select(F.explode(words(c)).alias("token"))
-        toks = t if toks is None else toks.unionByName(t)
+    # one explode over all text columns: the input is scanned once (a union
+    # of one explode per column would compute ``df`` once per column)
+    toks = df.select(F.explode(F.concat(*[words(c) for c in cols])).alias("token"))
     top = (toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
            .orderBy(F.col("count").desc(), F.col("token").asc()).limit(size))
     # a window over at most ``size`` rows
