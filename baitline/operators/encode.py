@@ -35,11 +35,15 @@ def build_vocab(df: DataFrame, cols: list[str], size: int = 30_000) -> DataFrame
     return top.select("token", (F.row_number().over(w) - 1 + N_RESERVED).cast("int").alias("id"), "count")
 
 
-def encode_with_vocab(df: DataFrame, key: str, col: str, vocab: DataFrame, size: int = 30_000) -> DataFrame:
+def encode_with_vocab(df: DataFrame, key: str, col: str, vocab: DataFrame, size: int = 30_000,
+                      with_names: bool = False) -> DataFrame:
     """(key, pos, token, id): tokens of ``col`` mapped through the vocabulary,
-    UNK when absent. One row per token; the vocabulary is broadcast."""
+    UNK when absent. One row per token; the vocabulary is broadcast.
+    ``with_names`` also keeps ``dtoken``, the vocabulary's name of the id
+    (NULL for UNK), so a decode needs no second lookup of the same table."""
     t = df.select(key, F.posexplode(words(col)).alias("pos", "token"))
-    v = _bcast(vocab.select("token", "id"), size)
+    cols = ["token", "id"] + ([F.col("token").alias("dtoken")] if with_names else [])
+    v = _bcast(vocab.select(*cols), size)
     return t.join(v, "token", "left").withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
 
 
@@ -71,9 +75,9 @@ def roundtrip(df: DataFrame, key: str, col: str, vocab: DataFrame, size: int = 3
     """T15 after T1b: encode with the vocabulary, decode the ids back (reserved
     ids skipped), and count unknown tokens, in one aggregation per text.
     decode(encode(x)) == x for in-vocabulary text."""
-    enc = encode_with_vocab(df, key, col, vocab, size)
-    names = _bcast(vocab.select("id", F.col("token").alias("dtoken")), size)
-    j = enc.join(names, "id", "left")   # reserved ids find no name: skipped
+    # the id -> name lookup rides on the token -> id join (one vocabulary
+    # table, one broadcast); reserved ids have no name and are skipped
+    j = encode_with_vocab(df, key, col, vocab, size, with_names=True)
     return j.groupBy(key).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "dtoken"))),
                                  lambda s: s["dtoken"]), " ").alias("decoded"),
