@@ -79,8 +79,13 @@ def evaluate_job(spark: SparkSession, prepared: str, split_name: str, out: str,
     else:
         ev = evaluate_pairs(extractive_headline(p))
         key = "row_id"
-    datasets.write_outputs(ev, run, f"{out}/outputs")
-    rep = report.describe_metrics(ev.drop(key))
+    # the rows are computed once: written, then read back for the report
+    # (only this run's rows; the outputs folder is appended to across runs)
+    path = datasets.write_outputs(ev, run, f"{out}/outputs")
+    written = spark.read.parquet(path)
+    for k, val in run.items():
+        written = written.filter(F.col(k).eqNullSafe(F.lit(None if val is None else str(val)).cast("string")))
+    rep = report.describe_metrics(written.select(*[c for c in ev.columns if c != key]))
     datasets.write_report(rep, run, f"{out}/metrics")
     return rep
 
