@@ -14,6 +14,7 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 from ..functions import tokens as tk
 from ..operators import encode, filters, report, rowindex, scorers, split
+from ..operators import evaluate as ev_ops
 from ..operators.evaluate import (METRIC_COLUMNS, extractive_headline, pair_token_metrics, valid_pairs,
                                    with_text_metrics)
 from ..operators.prepare import union_by_name
@@ -200,9 +201,7 @@ def pair_eval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rejected_pairs(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.evaluate import rejected_pairs as rp
-
-    return rp(hp.headline_pairs(spark, d))
+    return ev_ops.rejected_pairs(hp.headline_pairs(spark, d))
 
 
 def _rounded_report(r: DataFrame, keys: list[str]) -> DataFrame:
