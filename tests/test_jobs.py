@@ -59,3 +59,21 @@ def test_jobs_end_to_end(spark, tmpdir_fresh):
     by_pos = spark.read.parquet(jobs.prepare_job(spark, arts, truth, os.path.join(tmpdir_fresh, "prep_pos"),
                                                  by_position=True))
     assert by_pos.count() > 0
+
+
+def test_jobs_command_line(spark, tmpdir_fresh):
+    arts, truth = _write_corpora(tmpdir_fresh)
+    prep = os.path.join(tmpdir_fresh, "p")
+    jobs.main(["prepare", "--articles", *arts, "--truth", *truth, "--out", prep, "--exact"])
+    jobs.main(["encode", "--prepared", prep, "--out", os.path.join(tmpdir_fresh, "e"), "--layout", "seq2seq",
+               "--split", "train"])
+    jobs.main(["evaluate", "--prepared", prep, "--split", "dev", "--out", os.path.join(tmpdir_fresh, "v"),
+               "--wanted-scores", "0"])
+    jobs.main(["classify", "--prepared", prep, "--split", "test", "--out", os.path.join(tmpdir_fresh, "c")])
+    p = spark.read.parquet(prep)
+    sizes = {r["split"]: r["count"] for r in p.groupBy("split").count().collect()}
+    from baitline.operators.split import exact_sizes
+
+    assert (sizes.get("train", 0), sizes.get("dev", 0), sizes.get("test", 0)) == exact_sizes(p.count())
+    e = spark.read.parquet(os.path.join(tmpdir_fresh, "e"))
+    assert e.filter(F.size("sequences") != 512).count() == 0 and e.count() == sizes["train"]
