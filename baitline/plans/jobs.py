@@ -1,6 +1,6 @@
-"""End-to-end Spark jobs for the four stages a user of the reference runs:
+"""End-to-end Spark jobs for the stages a user of the reference runs:
 prepare a split dataset from JSON-lines corpora, encode it, evaluate
-generated headlines, and evaluate the clickbait classifier.
+generated headlines, train the clickbait classifier and evaluate it.
 
 Each job is a composition of the library's operators with one write at the
 end; ``python -m baitline.plans.jobs <stage> ...`` runs them from a shell.
@@ -18,7 +18,7 @@ from ..operators import filters, report, split
 from ..operators.evaluate import evaluate_pairs, extractive_headline, valid_pairs, with_text_metrics
 from ..operators.prepare import prepare_articles
 from ..operators.rowindex import with_key_position
-from ..operators.scorers import score_headlines
+from ..operators.scorers import fit_classifier, score_headlines
 from ..sources import datasets
 
 LAYOUTS = ("packed", "packed_right", "seq2seq")
@@ -90,14 +90,32 @@ def evaluate_job(spark: SparkSession, prepared: str, split_name: str, out: str,
     return rep
 
 
-def classify_job(spark: SparkSession, prepared: str, split_name: str, out: str) -> DataFrame:
-    """Classifier evaluation of one split with the built-in cue scorer:
-    confusion rates written and returned, running accuracy alongside."""
+def train_classifier_job(spark: SparkSession, prepared: str, out: str, split_name: str = "train") -> str:
+    """Fit the clickbait classifier on one split (distributed MLlib fit)
+    and save the fitted pipeline to ``out``."""
     p = datasets.read_prepared(spark, prepared, split_name)
-    pred = score_headlines(p, "Title").select(
+    fit_classifier(p, "Title", "Score").write().overwrite().save(out)
+    return out
+
+
+def classify_job(spark: SparkSession, prepared: str, split_name: str, out: str,
+                 model: str | None = None) -> DataFrame:
+    """Classifier evaluation of one split, with a saved fitted model or the
+    built-in cue scorer: confusion rates written and returned, running
+    accuracy alongside."""
+    p = datasets.read_prepared(spark, prepared, split_name)
+    if model:
+        from pyspark.ml import PipelineModel
+        from pyspark.ml.functions import vector_to_array
+
+        scored = PipelineModel.load(model).transform(p).withColumn(
+            "prob", vector_to_array("probability")[1])
+    else:
+        scored = score_headlines(p, "Title")
+    pred = scored.select(
         "row_id", filters.binary_label("Score").alias("label"), filters.prediction("prob").alias("pred"))
     rates = report.rates(report.confusion(pred))
-    run = {"split": filters.resolve_split(split_name), "model_type": "cues"}
+    run = {"split": filters.resolve_split(split_name), "model_type": "mllib" if model else "cues"}
     datasets.write_report(rates, run, f"{out}/rates")
     pos = with_key_position(pred, "row_id", "pos").withColumn(
         "ok", (F.col("pred") == F.col("label")).cast("int"))
@@ -130,6 +148,11 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--prepared", required=True)
     c.add_argument("--split", default="dev")
     c.add_argument("--out", required=True)
+    c.add_argument("--model")
+    t = sub.add_parser("train-classifier")
+    t.add_argument("--prepared", required=True)
+    t.add_argument("--split", default="train")
+    t.add_argument("--out", required=True)
     args = ap.parse_args(argv)
     from ..session import build_session
 
@@ -140,8 +163,10 @@ def main(argv: list[str] | None = None) -> None:
         encode_job(spark, args.prepared, args.out, args.layout, args.split)
     elif args.stage == "evaluate":
         evaluate_job(spark, args.prepared, args.split, args.out, args.wanted_scores, args.cap).show(truncate=False)
+    elif args.stage == "train-classifier":
+        train_classifier_job(spark, args.prepared, args.out, args.split)
     else:
-        classify_job(spark, args.prepared, args.split, args.out).show(truncate=False)
+        classify_job(spark, args.prepared, args.split, args.out, args.model).show(truncate=False)
 
 
 if __name__ == "__main__":

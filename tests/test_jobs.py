@@ -77,3 +77,11 @@ def test_jobs_command_line(spark, tmpdir_fresh):
     assert (sizes.get("train", 0), sizes.get("dev", 0), sizes.get("test", 0)) == exact_sizes(p.count())
     e = spark.read.parquet(os.path.join(tmpdir_fresh, "e"))
     assert e.filter(F.size("sequences") != 512).count() == 0 and e.count() == sizes["train"]
+
+
+def test_train_and_classify_with_model(spark, tmpdir_fresh):
+    arts, truth = _write_corpora(tmpdir_fresh)
+    prep = jobs.prepare_job(spark, arts, truth, os.path.join(tmpdir_fresh, "p"))
+    model = jobs.train_classifier_job(spark, prep, os.path.join(tmpdir_fresh, "model"))
+    r = jobs.classify_job(spark, prep, "train", os.path.join(tmpdir_fresh, "c"), model=model).first()
+    assert 0.0 <= r["Overall Accuracy"] <= 1.0
