@@ -38,13 +38,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
     ``spark.checkpoint.dir``; only when it is unset (tests, laptops) fall back
     to a folder of our own."""
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if d:
-        return d
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session has no SparkContext
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = os.path.join(os.environ.get("TMPDIR", "/tmp"), "baitline-checkpoints")
+    if sc is None:
+        return conf
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
@@ -71,7 +75,11 @@ def spread_small(df):
     that a single task must read). Large inputs already have many more
     partitions than cores and pass through untouched, so this never adds a
     shuffle at scale. Planning only, no job."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # Spark Connect: no RDD view; leave the plan as it is
+        return df
+    if parts < target:
         return df.repartition(target)
     return df
