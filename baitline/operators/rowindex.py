@@ -80,7 +80,10 @@ def with_file_position(df: DataFrame, out: str = "file_pos") -> DataFrame:
         Window.orderBy("_fp", "_bs").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     # one row per file split: at most one trailing piece per file plus one
     # full piece per partition, both known when planning
-    n_splits = len(df.inputFiles()) + df.rdd.getNumPartitions()
+    try:
+        n_splits = len(df.inputFiles()) + df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (Spark Connect): let AQE decide
+        n_splits = _BROADCAST_ROWS + 1
     return (s.join(_maybe_broadcast(offs, n_splits), ["_fp", "_bs"])
             .withColumn(out, F.col("_off") + F.col("_mid") - F.col("_m0"))
             .drop("_fp", "_bs", "_mid", "_m0", "_off"))
