@@ -134,3 +134,19 @@ def test_plugin_encoder_and_failed_rows(spark):
     df = spark.createDataFrame([(1, "the cat and the dog"), (2, "boom"), (3, None)], "id long, t string")
     got = {r["id"]: r["ids"] for r in apply_text_model(df, "t", _WordLevelEncoder, "ids", "array<int>").collect()}
     assert got == {1: [1, 0, 2, 1, 0], 2: None, 3: None}
+
+
+def test_scratch_tables_live_under_the_session_checkpoint_dir(spark):
+    from baitline.session import ensure_checkpoint_dir, materialize, scratch_path
+
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    base = ensure_checkpoint_dir(spark)
+    if configured:
+        assert configured.rstrip("/").split(":")[-1] in base
+    path = scratch_path(spark, "t")
+    assert path.startswith(base.rstrip("/") + "/t-")
+    df = materialize(spark.range(5), "t")
+
+    def bare(u):   # file:/x and file:///x name the same folder
+        return u.split(":", 1)[-1].lstrip("/")
+    assert df.count() == 5 and bare(df.inputFiles()[0]).startswith(bare(base.rstrip("/")))
