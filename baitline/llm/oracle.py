@@ -2,6 +2,20 @@
 
 from __future__ import annotations
 
+OP2 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+e AS (SELECT r, unnest(g) AS x FROM s),
+o AS (SELECT a.r AS ra, b.r AS rb, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+l AS (SELECT ra, rb FROM o JOIN s a ON a.r = ra JOIN s b ON b.r = rb WHERE 100 * n >= 75 * (len(a.g) + len(b.g) - n)),
+pair AS (SELECT ra, rb FROM l UNION ALL SELECT rb, ra FROM l),
+reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, pair.rb FROM reach JOIN pair ON reach.b = pair.ra),
+c AS (SELECT a AS r, min(s.doc_id) AS component_id FROM reach JOIN s ON s.r = reach.b GROUP BY a)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (r)
+"""
+
 OP7 = r"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -58,6 +72,7 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
 
 ORACLE: dict[str, str] = {
     "op1_exact_topk": OP1,
+    "op2_minhash_dedup": OP2,
     "op3_nearest": OP3,
     "op7_substring_dedup": OP7,
     "op8_suffix_dedup": OP8,

@@ -29,12 +29,6 @@ _POS = np.uint64(24)
 _MASK = np.uint64((1 << 24) - 1)
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Least of each w values in a row, by doubling."""
     span, m = 1, x

@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from baitline.llm import repeats as R
+from baitline.llm import words as Wd
 
 WINDOW = 13
 SEED = 5
-_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words:
@@ -32,7 +32,7 @@ class Words:
     __slots__ = ("canon", "starts", "ends")
 
     def __init__(self, text: str):
-        self.canon = b" ".join(text.encode("utf-8", "surrogatepass").split())
+        self.canon = Wd.canonical(text)
         gaps = np.flatnonzero(np.frombuffer(self.canon, np.uint8) == 32)
         self.starts = np.r_[0, gaps + 1] if self.canon else np.empty(0, np.int64)
         self.ends = np.r_[gaps, len(self.canon)] if self.canon else np.empty(0, np.int64)
@@ -45,15 +45,7 @@ class Words:
 
     def seeds(self, pieces, k):
         bufs = [d.canon[d.starts[at]:d.ends[at + m - 1]] for d, at, m in pieces]
-        buf = np.frombuffer(b" ".join(bufs), np.uint8).astype(np.uint64)
-        space = buf == 32
-        starts = np.r_[0, np.flatnonzero(space) + 1]
-        place = np.arange(len(buf)) - np.repeat(starts, np.diff(np.r_[starts, len(buf)]))
-        power = np.cumprod(np.full(int(place.max()) + 1, _MULT, np.uint64))
-        h = R.mix(np.add.reduceat(np.where(space, np.uint64(0), (buf + np.uint64(1)) * power[place]), starts))
-        out = h[:len(h) - k + 1].copy()
-        for i in range(1, k):
-            out = R.mix(out * _MULT + h[i:len(h) - k + 1 + i])
+        out = Wd.gram_hashes(Wd.word_hashes(b" ".join(bufs)), k)
         return out, np.array([m for _, _, m in pieces])
 
     def kept(self, gone: np.ndarray) -> bytes:
