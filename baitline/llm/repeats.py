@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 
 from baitline.llm import blocks as B
 
+PARTS = 32          # a bucket's segments are judged in so many shares of its anchors
 PIECE = 1 << 21     # units of one vectorised batch; longer documents are cut with overlap
 _POS = np.uint64(24)
 _MASK = np.uint64((1 << 24) - 1)
@@ -141,28 +142,31 @@ def _shared_segments(docs, W, k, n_buckets, answers):
         own = np.flatnonzero(at == b)
         shared[own] = np.unpackbits(np.frombuffer(answers[int(b)], np.uint8), count=len(own)).astype(bool)
     keep = shared[np.searchsorted(keys, full)]
-    bucket = (anchors % np.uint64(n_buckets)).astype(np.int64)
-    return list(zip(bucket[keep].tolist(), doc[keep].tolist(), start[keep].tolist(), count[keep].tolist()))
+    anchors = anchors[keep]
+    bucket, part = anchors % np.uint64(n_buckets), anchors // np.uint64(n_buckets) % np.uint64(PARTS)
+    return list(zip(bucket.tolist(), doc[keep].tolist(), start[keep].tolist(), count[keep].tolist(), part.tolist()))
 
 
 def _first_seen(docs, found):
-    """{bucket: {segment bytes: (order in the bucket, first document)}}; the
+    """{bucket: {segment bytes: (first document, windows, part)}}; the
     documents come by doc_id, so the first one is the smallest."""
     by = {}
-    for b, d, s, c in found:
+    for b, d, s, c, part in found:
         seen = by.setdefault(b, {})
         seg = docs[d].slice(s, c)
         if seg not in seen:
-            seen[seg] = (len(seen), d, s, c)
+            seen[seg] = (d, c, part)
     return by
 
 
 def _pack(ids, seen) -> bytes:
     n = len(seen)
     lens = np.fromiter(map(len, seen), np.uint32, n)
-    doc = np.fromiter((ids[d] for _, d, _, _ in seen.values()), np.int64, n)
-    count = np.fromiter((c for _, _, _, c in seen.values()), np.uint32, n)
-    return zlib.compress(np.uint32(n).tobytes() + lens.tobytes() + doc.tobytes() + count.tobytes() + b"".join(seen), 1)
+    doc = np.fromiter((ids[d] for d, _, _ in seen.values()), np.int64, n)
+    count = np.fromiter((c for _, c, _ in seen.values()), np.uint32, n)
+    part = np.fromiter((p for _, _, p in seen.values()), np.uint8, n)
+    head = np.uint32(n).tobytes() + lens.tobytes() + doc.tobytes() + count.tobytes() + part.tobytes()
+    return zlib.compress(head + b"".join(seen), 1)
 
 
 def _unpack(payload: bytes):
@@ -171,34 +175,42 @@ def _unpack(payload: bytes):
     lens = np.frombuffer(raw, np.uint32, n, 4)
     doc = np.frombuffer(raw, np.int64, n, 4 + 4 * n)
     count = np.frombuffer(raw, np.uint32, n, 4 + 12 * n)
-    ends = np.cumsum(lens, dtype=np.int64) + 4 + 16 * n
-    segs = [raw[e - m:e] for e, m in zip(ends.tolist(), lens.tolist())]
-    return segs, doc, count
+    part = np.frombuffer(raw, np.uint8, n, 4 + 16 * n)
+    ends = np.cumsum(lens, dtype=np.int64) + 4 + 17 * n
+    return raw, ends - lens, ends, doc, count, part
 
 
 def _answer_segments(payloads: list[bytes], judge) -> list[bytes]:
     """One bit for each window of each segment: it occurs in a document smaller
-    than the one that was sent. ``judge(segments, least doc of each)`` gives the
-    least document of each window of each distinct segment, flat, with offsets."""
+    than the one that was sent. ``judge(distinct segments, least document of
+    each, windows of each)`` gives the least document of each window, flat."""
     sent = [_unpack(p) for p in payloads]
-    least: dict[bytes, int] = {}
-    for segs, doc, _ in sent:
-        for s, d in zip(segs, doc.tolist()):
-            if d < least.get(s, 1 << 63):
-                least[s] = d
-    number = {s: i for i, s in enumerate(least)}
-    counts = np.zeros(len(least), np.int64)
-    for segs, _, count in sent:
-        counts[[number[s] for s in segs]] = count
-    flat = judge(list(least), np.fromiter(least.values(), np.int64, len(least)), counts)
-    first = np.cumsum(counts) - counts
-    out = []
-    for segs, doc, count in sent:
-        i = np.fromiter((number[s] for s in segs), np.int64, len(segs))
-        m = counts[i]
-        at = np.repeat(first[i] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        out.append(np.packbits(flat[at] < np.repeat(doc, m)).tobytes())
-    return out
+    flags = [np.zeros(int(m[4].sum()), bool) for m in sent]
+    for part in range(PARTS):
+        number: dict[bytes, int] = {}
+        least, counts, own = [], [], []
+        for raw, a, e, doc, count, parts in sent:
+            at = np.flatnonzero(parts == part)
+            got = np.empty(len(at), np.int64)
+            for x, (i, j, d, c) in enumerate(zip(a[at].tolist(), e[at].tolist(), doc[at].tolist(), count[at].tolist())):
+                seg = raw[i:j]
+                y = got[x] = number.setdefault(seg, len(number))
+                if y == len(least):
+                    least.append(d), counts.append(c)
+                elif d < least[y]:
+                    least[y] = d
+            own.append((at, got))
+        if not number:
+            continue
+        counts = np.array(counts, np.int64)
+        flat = judge(list(number), np.array(least, np.int64), counts)
+        first = np.cumsum(counts) - counts
+        for (at, got), (_, _, _, doc, count, _), out in zip(own, sent, flags):
+            m = counts[got]
+            step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            there = np.repeat((np.cumsum(count, dtype=np.int64) - count)[at], m) + step
+            out[there] = flat[np.repeat(first[got], m) + step] < np.repeat(doc[at], m)
+    return [np.packbits(f).tobytes() for f in flags]
 
 
 def marked(docs, ids, W, k, n_buckets, anchors, answers) -> list[np.ndarray]:
@@ -210,15 +222,15 @@ def marked(docs, ids, W, k, n_buckets, anchors, answers) -> list[np.ndarray]:
     for b, seen in by.items():
         first, at = {}, 0
         flags = np.unpackbits(np.frombuffer(answers[b], np.uint8)).astype(bool)
-        for seg, (_, _, _, c) in seen.items():
+        for seg, (_, c, _) in seen.items():
             first[seg] = (at, c)
             at += c
         bits[b] = (flags, first)
-    for b, d, s, c in found:
+    for b, d, s, c, _ in found:
         seg = docs[d].slice(s, c)
         flags, first = bits[b]
         at, _ = first[seg]
-        out[d][s:s + c] = True if ids[d] > ids[by[b][seg][1]] else flags[at:at + c]
+        out[d][s:s + c] = True if ids[d] > ids[by[b][seg][0]] else flags[at:at + c]
     return out
 
 

@@ -75,7 +75,7 @@ class RunIndex:
             key = key << np.uint64(9) | np.r_[text[i:], np.zeros(min(i, n), np.uint64)][:n]
         h, rank28 = 7, None
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             k = key[order]
             new = np.r_[True, k[1:] != k[:-1]]
             rank = np.empty(n, np.int64)
@@ -95,8 +95,8 @@ class RunIndex:
         doc = np.repeat(least, lens + 1)[order]
         self.start = cut                                            # runs: first row,
         self.sample = np.minimum.reduceat(doc, cut)                 # least document
-        symbol, size = bwt[cut], np.diff(np.r_[cut, n])
-        by = np.argsort(symbol, kind="stable")
+        symbol, size = bwt[cut].astype(np.uint16), np.diff(np.r_[cut, n])
+        by = np.argsort(symbol, kind="stable")                      # a radix sort on 16 bits
         self.lf = np.empty(len(cut), np.int64)                      # and where LF takes the first row
         self.lf[by] = np.cumsum(size[by]) - size[by]
         group = np.flatnonzero(~agree[cut])
@@ -111,14 +111,14 @@ class RunIndex:
         out = np.empty(int(counts.sum()), np.int64)
         last = np.cumsum(counts) - 1
         live, row = np.arange(len(counts)), self.end_row
-        for t in range(1, WINDOW + (int(counts.max()) if len(counts) else 0)):
-            run = np.searchsorted(self.start, row, "right") - 1
+        run = np.searchsorted(self.start, row, "right") - 1
+        for t in range(1, WINDOW + int(counts.max())):
             row = self.lf[run] + row - self.start[run]
+            run = np.searchsorted(self.start, row, "right") - 1
             if t >= WINDOW:
-                run = np.searchsorted(self.start, row, "right") - 1
                 out[last[live] - (t - WINDOW)] = self.group_least[run]
                 on = counts[live] > t - WINDOW + 1
-                live, row = live[on], row[on]
+                live, row, run = live[on], row[on], run[on]
         return out
 
 
