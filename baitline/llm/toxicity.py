@@ -35,14 +35,15 @@ from baitline.llm.language_id import held_out
 FOLDS, HELD = 3, 1
 SAMPLE = 20_000
 LEXICON = 20_000        # strongest words kept
-EVIDENCE, LIFT = 20.0, 8.0     # least likelihood ratio statistic and lift of a kept word
+# Least likelihood ratio statistic, lift and share of the toxic rows of a kept word.
+EVIDENCE, LIFT, SHARE = 20.0, 64.0, 0.01
 BEAM = 24
 # Letters that digits and signs stand for.
 STANDS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
           "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 DROPS = set(" .-_*~'’`,:;/\\^#=\"")
-SPELT = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£])(?:[ .\-_*~,/|]{1,2}(?:[^\W_]|[@$!|+€£])){2,}(?![^\W_])")
 WORD = re.compile(r"[^\W\d_]+")
+STRIP = ".,;:?\"'*-_()[]{}#%&=<>/\\~`^"
 NOISY = re.compile(r"[0-9@$!|+(€£¡]|[.\-_*~'’`,:;/\\^#=]|(.)\1\1")
 A = 28                  # a-z, space, any other letter
 
@@ -90,12 +91,12 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 class Channel:
-    """Readings of disguised words. ``known``: the lexicon's words."""
+    """Readings of disguised words. ``known``: the lexicon's words, none while learning."""
 
     def __init__(self, model: np.ndarray, known: set[str]):
         self.model, self.known = model, known
         self.lm = model.tolist()
-        self.cache: dict[str, str | None] = {}
+        self.cache: dict[str, tuple[str, ...]] = {}
 
     def readings(self, token: str) -> list[tuple[float, str]]:
         """The beam after the last character: (log probability, word). A state
@@ -131,39 +132,65 @@ class Channel:
         return sorted(end, key=lambda z: (-z[0], z[1]))
 
     def restore(self, token: str) -> str | None:
+        found = self.readings(token)
+        return next((w for _, w in found if w in self.known), found[0][1] if found else None)
+
+    def own(self, words) -> set[str]:
+        """Of some words, what counts: all while learning, else the lexicon's."""
+        return self.known.intersection(words) if self.known else set(words)
+
+    def token_words(self, token: str) -> tuple[str, ...]:
+        """Words of a disguised token. Remembered: tokens repeat."""
         if token not in self.cache:
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 500_000:
                 self.cache.clear()
-            found = self.readings(token)
-            known = [w for _, w in found if w in self.known]
-            self.cache[token] = known[0] if known else found[0][1] if found else None
+            out = set(WORD.findall(token))
+            core = token.strip(STRIP)
+            if any(c.isalpha() for c in core):
+                for form in {core, core.rstrip("!$"), core.strip("!$")}:
+                    if form.isalpha() and not NOISY.search(form):
+                        out.add(form)
+                    elif form:
+                        out.add(self.restore(form))
+            out.discard(None)
+            self.cache[token] = tuple(sorted(self.own(out)))
         return self.cache[token]
 
-    def restored(self, text: str) -> set[str]:
-        """Restored words of the disguised tokens of a lower-case text."""
-        out = set()
-        for token in set(text.split()):
-            if token.isalpha() and not NOISY.search(token):
-                continue
-            core = token.strip(".,;:?\"'*-_()[]{}#%&=<>/\\~`^")
-            if core.isalpha() and not NOISY.search(core) or not any(c.isalpha() for c in core):
+    def spelt(self, joined: str) -> tuple[str, ...]:
+        """The word that single characters spell, read with the channel."""
+        if joined not in self.cache:
+            w = self.restore(joined)
+            self.cache[joined] = tuple(self.own([w] if w else []))
+        return self.cache[joined]
+
+    def words(self, text) -> set[str]:
+        """Words of a text: of its tokens, and of what is spelt out, three
+        tokens in a row at least of one character each besides stops."""
+        if not isinstance(text, str):
+            return set()
+        low = text.lower()
+        tokens = low.split()
+        each = set(tokens)
+        out = self.own(each) if self.known else {t for t in each if t.isalpha()}
+        cores = {t: t.strip(STRIP) for t in each if not t.isalpha()}
+        out |= self.own(c for c in cores.values() if c.isalpha())
+        odd = [t for t, c in cores.items() if not c.isalpha()]
+        raw = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8)
+        if ((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] > 96)).any():      # a letter three times in a row
+            odd += [t for t in each if NOISY.search(t)]
+        for t in odd:
+            out.update(self.token_words(t))
+        short = [i for i, t in enumerate(tokens) if len(t) < 3 and len(t.strip(STRIP)) == 1]
+        run: list[int] = []
+        for i in [*short, -1]:
+            if run and i == run[-1] + 1:
+                run.append(i)
                 continue
-            for form in {core, core.rstrip("!$"), core.strip("!$")}:
-                if form and not (form.isalpha() and not NOISY.search(form)):
-                    out.add(self.restore(form))
-        for m in SPELT.finditer(text):
-            out.add(self.restore(m.group()))
-        out.discard(None)
+            if len(run) > 2:
+                out.update(self.spelt("".join(tokens[j].strip(STRIP) for j in run)))
+            run = [i]
         return out
 
-
-def words_of(text, channel: Channel) -> set[str]:
-    if not isinstance(text, str):
-        return set()
-    low = text.lower()
-    return set(WORD.findall(low)) | channel.restored(low)
-
-
 def lexicon(rows: DataFrame, channel: Channel) -> tuple[float, dict[str, float]]:
     """Prior log odds and the weight of each kept word, from (text, toxic)."""
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -171,14 +198,14 @@ def lexicon(rows: DataFrame, channel: Channel) -> tuple[float, dict[str, float]]
     if not n1 or not n0:
         return -math.inf, {}
     share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / n1)).otherwise(min(1.0, SAMPLE / n0))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["text", "toxic"])
 
     def counted(frames):
         for pdf in frames:
             for toxic, own in pdf.groupby("toxic"):
                 count: dict[str, int] = {}
                 for t in own.text:
-                    for w in words_of(t, channel):
+                    for w in channel.words(t):
                         count[w] = count.get(w, 0) + 1
                 yield pd.DataFrame({"word": list(count), "toxic": np.int32(toxic), "n": list(count.values())})
 
@@ -191,7 +218,8 @@ def lexicon(rows: DataFrame, channel: Channel) -> tuple[float, dict[str, float]]
     both = F.col("t") + F.col("f")
     g = 2 * (F.col("t") * F.log(F.col("t") / (both * p1))
              + F.when(F.col("f") > 0, F.col("f") * F.log(F.col("f") / (both * (1 - p1)))).otherwise(0.0))
-    rows_ = (found.where("t > 0").withColumn("lift", lift).withColumn("g", g).where((F.col("lift") >= LIFT) & (F.col("g") >= EVIDENCE))
+    rows_ = (found.where("t > 0").withColumn("lift", lift).withColumn("g", g)
+             .where((F.col("lift") >= LIFT) & (F.col("g") >= EVIDENCE) & (F.col("t") >= SHARE * m1))
              .orderBy(F.col("g").desc(), "word").limit(LEXICON).collect())
     return math.log(n1 / n0), {r["word"]: math.log(r["lift"]) for r in rows_}
 
@@ -219,7 +247,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         model, prior, weights = share.value
         channel = Channel(model, set(weights))
         for pdf in frames:
-            s = [score(words_of(t, channel), prior, weights) for t in pdf.text]
+            s = [score(channel.words(t), prior, weights) for t in pdf.text]
             yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "held_out": pdf.held_out, "score": s,
                                 "predicted": np.array([x >= 0.7 for x in s], np.int32)})
 
