@@ -11,8 +11,9 @@ agree in 2 (fewer has a probability of about 1e-8), so the last coordinate need
 not be posted (prefix); whole signatures are compared only for pairs that meet
 in a list, and those that agree in under 28 of 64 min-hashes are skipped.
 
-A list does not emit its pairs. First each class meets only the list's least
-class, of these the one that agrees most, and confirmed links give components.
+A list does not emit its pairs. First each class meets only the list's hub, the
+class that collides with others most often (the original of near copies), of its
+hubs the one that agrees most, and confirmed links give components.
 Then lists with two components or more emit the pairs between components, which
 are confirmed too; pairs within a component cannot change it. All links are
 confirmed on full sets: 100 * intersection >= 75 * union.
@@ -149,10 +150,14 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     # numbers are fixed once written
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     posted = classes.select("cid", "sig").mapInPandas(_lists, "list long, cid long")
-    hubs = materialize(posted.groupBy("list").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub < last").select("list", "hub"), "hubs")
-    posted = materialize(posted.join(hubs, "list"), "postings")
-
-    first = _promising(posted.where("hub < cid").select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct(), classes)
+    sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    posted = materialize(posted.join(materialize(sizes, "lists"), "list"), "postings")
+    # a list's hub: the class that meets others most often, as the original of near copies does
+    central = materialize(posted.groupBy("cid").agg(F.sum("n").alias("met")), "met")
+    hubs = (posted.join(central, "cid").groupBy("list")
+            .agg(F.max_by("cid", F.struct("met", -F.col("cid"))).alias("hub")))
+    pairs = posted.join(materialize(hubs, "hubs"), "list").where("hub <> cid")
+    first = _promising(pairs.select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct(), classes)
     best = (first.groupBy("v").agg(F.max_by("u", F.struct("agree", -F.col("u"))).alias("u")))
     links = materialize(_confirmed(best, classes, docs), "links")
     label = components(links)
@@ -166,7 +171,7 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     out, all_ = member.where("not main").alias("a"), member.alias("b")
     cross = (out.join(all_, "list").where("a.root <> b.root and (b.main or a.cid < b.cid)")
              .select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct())
-    tried = best.select("u", "v")
+    tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     cross = _promising(cross.join(tried, ["u", "v"], "left_anti"), classes)
     more = materialize(_confirmed(cross, classes, docs), "links")
     if not more.isEmpty():
