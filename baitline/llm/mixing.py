@@ -146,7 +146,7 @@ def taken_pieces(placed_docs: DataFrame, sources: DataFrame) -> DataFrame:
     last = F.floor((F.col("off") + F.col("size") - 1) / BLOCK)
     p = placed_docs.where("size > 0").select(
         "sid", "bucket", "nth", "off", "size", F.explode(F.sequence(F.floor(F.col("off") / BLOCK), last)).alias("block"))
-    j = p.join(slots(sources), ["sid", "block"])
+    j = p.join(slots(sources).hint("merge"), ["sid", "block"])      # slots grow with the input: never broadcast
     a = F.greatest(F.lit(0), F.col("block") * BLOCK - F.col("off"))
     b = F.least("size", F.col("block") * BLOCK + F.col("take") - F.col("off"))
     return j.select("sid", "bucket", "nth", "epoch", "shard", "slot", a.alias("a"), b.alias("b")).where("b > a")
