@@ -51,7 +51,8 @@ def with_prompt(text, prefix: str = SUMMARIZE_PREFIX) -> Column:
 
 def lead_summary(body, max_chars: int = 500, max_tokens: int = 20) -> Column:
     """Built-in summariser (I1): the first ``max_tokens`` whitespace tokens of
-    the first ``max_chars`` characters. NULL when there is no token, which is
-    the failed-summary case that the drop of incomplete rows removes."""
+    the first ``max_chars`` characters; '' when there is no token. NULL is kept
+    for a NULL body (or a failed model call), which the drop of incomplete
+    rows removes."""
     t = words(char_prefix(body, max_chars))
-    return F.when(F.size(t) > 0, F.array_join(F.slice(t, 1, max_tokens), " "))
+    return F.array_join(F.slice(t, 1, max_tokens), " ")

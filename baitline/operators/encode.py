@@ -38,20 +38,20 @@ def build_vocab(df: DataFrame, cols: list[str], size: int = 30_000) -> DataFrame
 def encode_with_vocab(df: DataFrame, key: str, col: str, vocab: DataFrame, size: int = 30_000,
                       with_names: bool = False) -> DataFrame:
     """(key, pos, token, id): tokens of ``col`` mapped through the vocabulary,
-    UNK when absent. One row per token; the vocabulary is broadcast.
+    UNK when absent. One row per token, and one of NULLs for a text without any; the vocabulary is broadcast.
     ``with_names`` also keeps ``dtoken``, the vocabulary's name of the id
     (NULL for UNK), so a decode needs no second lookup of the same table."""
-    t = df.select(key, F.posexplode(words(col)).alias("pos", "token"))
+    t = df.select(key, F.posexplode_outer(words(col)).alias("pos", "token"))
     cols = ["token", "id"] + ([F.col("token").alias("dtoken")] if with_names else [])
     v = _bcast(vocab.select(*cols), size)
-    return t.join(v, "token", "left").withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
+    return t.join(v, "token", "left").withColumn("id", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(UNK_ID))))
 
 
 def ids_array(encoded: DataFrame, key: str) -> DataFrame:
     """(key, ids): encoded rows gathered back in token order. Each group is one
     text, so its size is bounded by the text."""
     return encoded.groupBy(key).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids"))
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))), lambda s: s["id"]).alias("ids"))
 
 
 def decode_ids(encoded: DataFrame, key: str, vocab: DataFrame, size: int = 30_000,
@@ -62,12 +62,11 @@ def decode_ids(encoded: DataFrame, key: str, vocab: DataFrame, size: int = 30_00
         [(t, i) for i, t in enumerate(RESERVED_TOKENS)], "dtoken string, id int")
     v = vocab.select(F.col("token").alias("dtoken"), "id")
     v = v if skip_special else v.unionByName(names)
-    e = encoded.select(key, "pos", "id")
-    if skip_special:
-        e = e.filter(F.col("id") >= N_RESERVED)
-    j = e.join(_bcast(v, size), "id", "left")
+    shown = (F.col("id") >= N_RESERVED) if skip_special else F.col("id").isNotNull()
+    j = encoded.select(key, "pos", "id").join(_bcast(v, size), "id", "left")
+    # a text whose ids are all skipped stays, as ''
     return j.groupBy(key).agg(F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "dtoken"))), lambda s: s["dtoken"]),
+        F.transform(F.sort_array(F.collect_list(F.when(shown, F.struct("pos", "dtoken")))), lambda s: s["dtoken"]),
         " ").alias("decoded"))
 
 
@@ -81,8 +80,8 @@ def roundtrip(df: DataFrame, key: str, col: str, vocab: DataFrame, size: int = 3
     return j.groupBy(key).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "dtoken"))),
                                  lambda s: s["dtoken"]), " ").alias("decoded"),
-        F.sum((F.col("id") == UNK_ID).cast("int")).alias("n_unk"),
-        F.count(F.lit(1)).alias("n_tokens"))
+        F.coalesce(F.sum((F.col("id") == UNK_ID).cast("int")), F.lit(0)).alias("n_unk"),
+        F.count("token").alias("n_tokens"))
 
 
 def reencode(df: DataFrame, key: str, col: str, vocab: DataFrame, size: int = 30_000,

@@ -48,15 +48,19 @@ def prepare_articles(articles: DataFrame, truth: DataFrame, key: str = "id",
     ``summarizer`` maps the body column to a summary column (built-in lead
     summary by default; a plug-in model goes through
     :func:`baitline.operators.scorers.apply_text_model` first). ``mini`` keeps
-    only the first ``mini`` articles by row id (P5; off by default).
+    only the first ``mini`` articles by their position ``file_row`` (P5; off
+    by default), whatever their ids are.
     """
     rid = "file_row" if by_position else key
+    if mini is not None:
+        if "file_row" not in articles.columns:
+            raise ValueError("mini needs the position column file_row")
+        articles = articles.filter(F.col("file_row") < mini)
     a = articles.select(F.col(rid).alias(ROW_ID), F.col("targetTitle").alias(TITLE),
                         flatten_paragraphs("targetParagraphs").alias(BODY))
-    if mini is not None:
-        a = a.filter(F.col(ROW_ID) < mini)
     t = truth.select(F.col(rid).alias(ROW_ID), F.col("truthMode").alias(SCORE))
-    j = a.join(t, ROW_ID, "inner")
+    # both corpora grow: a merge join, whose exchange also spreads the per-row work that follows
+    j = a.join(t.hint("merge"), ROW_ID, "inner")
     if summarizer is not None:
         j = j.withColumn(SUMMARY, summarizer(F.col(BODY)))
     else:

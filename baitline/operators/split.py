@@ -54,7 +54,8 @@ def split_exact(df: DataFrame, key: str, dev: float = DEV_FRACTION,
                 tiebreak: tuple[str, ...] = ()) -> DataFrame:
     """The first ``n_test`` rows by ``(hash, key)`` go to test, the next
     ``n_dev`` to dev, the rest to train."""
-    hk = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
+    # rows without a key share hash 0 and are ranked like the others
+    hk = F.coalesce(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(0))
     d = df.withColumn("_h", hk).withColumn("_b", F.shiftright("_h", 32 - HIST_BITS))
     # histogram: at most 2^16 rows, partial-aggregated before the shuffle
     hist = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).orderBy("_b").collect()

@@ -9,6 +9,7 @@ end; ``python -m baitline.plans.jobs <stage> ...`` runs them from a shell.
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def prepare_job(spark: SparkSession, article_paths: list[str], truth_paths: list
     """Corpora -> prepared set with a train/dev/test ``split`` column, written
     partitioned by split. Keyed alignment by default; ``by_position`` aligns
     records by their position in the listed files."""
-    arts = datasets.read_jsonl_union(spark, article_paths, datasets.ARTICLE_SCHEMA, with_position=by_position)
+    arts = datasets.read_jsonl_union(spark, article_paths, datasets.ARTICLE_SCHEMA, with_position=by_position or mini is not None)
     truth = datasets.read_jsonl_union(spark, truth_paths, datasets.TRUTH_SCHEMA, with_position=by_position)
     if not by_position:
         arts = arts.withColumn("id", F.col("id").cast("long"))
@@ -52,7 +53,7 @@ def encode_job(spark: SparkSession, prepared: str, out: str, layout: str = "pack
     elif layout == "packed_right":
         pk = tk.pack_right(body, title)
         enc = p.select("row_id", "split", F.col("Score").alias("scores"),
-                       pk["sequence"].alias("sequences"), pk["attention_mask"].alias("title_masks"))
+                       pk["sequence"].alias("sequences"), pk["attention_mask"].alias("attention_masks"))
     elif layout == "seq2seq":
         e = tk.seq2seq_encode("Body", "Title", "Summary")
         enc = p.select("row_id", "split", F.col("Score").alias("scores"), e.alias("e")).select(
@@ -69,7 +70,8 @@ def evaluate_job(spark: SparkSession, prepared: str, split_name: str, out: str,
     metrics written as outputs, five-number report written and returned.
     ``cap`` keeps the first ``cap`` + 1 valid rows as the reference's loop
     did; by default every row is evaluated."""
-    run = dict(run or {}, split=filters.resolve_split(split_name),
+    # each call is a run of its own, so a repeated evaluation never mixes rows
+    run = dict(run or {}, run_id=uuid.uuid4().hex, split=filters.resolve_split(split_name),
                wanted_scores=None if wanted is None else ",".join(str(w) for w in wanted))
     p = filters.with_scores(datasets.read_prepared(spark, prepared, split_name), wanted)
     if cap is not None:
@@ -115,7 +117,7 @@ def classify_job(spark: SparkSession, prepared: str, split_name: str, out: str,
     pred = scored.select(
         "row_id", filters.binary_label("Score").alias("label"), filters.prediction("prob").alias("pred"))
     rates = report.rates(report.confusion(pred))
-    run = {"split": filters.resolve_split(split_name), "model_type": "mllib" if model else "cues"}
+    run = {"run_id": uuid.uuid4().hex, "split": filters.resolve_split(split_name), "model_type": "mllib" if model else "cues"}
     datasets.write_report(rates, run, f"{out}/rates")
     pos = with_key_position(pred, "row_id", "pos").withColumn(
         "ok", (F.col("pred") == F.col("label")).cast("int"))

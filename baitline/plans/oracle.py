@@ -73,8 +73,7 @@ art_lines AS (SELECT doc_id AS id, string_split(text, chr(10)) AS lines FROM doc
 articles AS (SELECT id, lines[1] AS targetTitle, lines[2:] AS targetParagraphs FROM art_lines),
 truth AS (SELECT doc_id AS id, ((1 - quality) * 2 + toxic)::DOUBLE / 3.0::DOUBLE AS truthMode FROM labels)"""
 
-_LEAD = (f"CASE WHEN len({W('substring(Body, 1, 500)')}) > 0 THEN "
-         f"array_to_string({W('substring(Body, 1, 500)')}[1:20], ' ') END")
+_LEAD = f"coalesce(array_to_string({W('substring(Body, 1, 500)')}[1:20], ' '), '')"
 
 PREPARED = ARTICLES + f""",
 joined AS (
@@ -254,9 +253,10 @@ ORACLE: dict[str, str] = {
     "prepare_by_position": f"WITH {PREPARED_POS} SELECT row_id, Title, Body, Summary, round(Score, 6) AS Score FROM prepared",
     "union_sources": ("SELECT doc_id, lang, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE source END AS source, "
                       "n_chars, (doc_id % 3)::INTEGER AS part FROM documents"),
-    "web_articles": ("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, "
-                     "len(regexp_extract_all(html, '<p>([^<]*)</p>', 1))::BIGINT AS n_paragraphs, "
-                     "array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), ' ') AS body FROM pages"),
+    "web_articles": (r"SELECT page_id, title, len(ps)::BIGINT AS n_paragraphs, array_to_string(ps, ' ') AS body FROM ("
+                     r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, "
+                     r"list_transform(regexp_split_to_array(html, '<p(?:\s[^>]*)?>')[2:], lambda x: "
+                     r"regexp_replace(regexp_replace(x, '(?s)</(?:p|article|body)\s*>.*$', ''), '<[^>]*>', '', 'g')) AS ps FROM pages)"),
     "lead_summary": (f"WITH {ARTICLES}, b AS (SELECT id, array_to_string(targetParagraphs, ' ') AS Body FROM articles) "
                      f"SELECT id AS row_id, {_LEAD} AS Summary, length(substring(Body, 1, 500))::BIGINT AS prefix_chars "
                      f"FROM b"),
@@ -298,16 +298,16 @@ ORACLE: dict[str, str] = {
                    f"{DIGEST('list_transform(seq, lambda q: CASE WHEN q <> 1 THEN 1 ELSE 0 END)')} AS attn_md5 FROM m2"),
     "first_zero": f"WITH {IDS_CTE} SELECT row_id, len(title_ids[1:64])::BIGINT AS title_len FROM ids",
     "vocab": f"WITH {VOCAB} SELECT token, id, count FROM top",
-    "roundtrip_decode": (f"WITH {VOCAB}, tt AS (SELECT row_id, unnest(range(1, len({W('Title')}) + 1)) AS pos, "
-                         f"unnest({W('Title')}) AS token FROM prepared), "
+    "roundtrip_decode": (f"WITH {VOCAB}, tt AS (SELECT row_id, t.pos, ({W('Title')})[t.pos] AS token FROM prepared "
+                         f"LEFT JOIN LATERAL (SELECT unnest(range(1, len({W('Title')}) + 1)) AS pos) t ON true), "
                          f"j AS (SELECT tt.row_id, tt.pos, tt.token, v.id FROM tt LEFT JOIN top v ON tt.token = v.token) "
                          f"SELECT row_id, md5(coalesce(string_agg(CASE WHEN id IS NOT NULL THEN token END, ' ' "
                          f"ORDER BY pos), '')) AS decoded_md5, "
-                         f"sum(CASE WHEN id IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_unk, count(*)::BIGINT AS n_tokens "
+                         f"sum(CASE WHEN id IS NULL AND token IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS n_unk, count(token)::BIGINT AS n_tokens "
                          f"FROM j GROUP BY row_id"),
     "reencode_pack_right": (
-        f"WITH {VOCAB}, tt AS (SELECT row_id, unnest(range(1, len({W('Title')}) + 1)) AS pos, "
-        f"unnest({W('Title')}) AS token FROM prepared), "
+        f"WITH {VOCAB}, tt AS (SELECT row_id, t.pos, ({W('Title')})[t.pos] AS token FROM prepared "
+        f"LEFT JOIN LATERAL (SELECT unnest(range(1, len({W('Title')}) + 1)) AS pos) t ON true), "
         f"j AS (SELECT tt.row_id, tt.pos, tt.token, v.id FROM tt LEFT JOIN top v ON tt.token = v.token), "
         f"dec AS (SELECT row_id, coalesce(string_agg(CASE WHEN id IS NOT NULL THEN token END, ' ' ORDER BY pos), '') "
         f"AS decoded FROM j GROUP BY row_id), "
@@ -368,3 +368,11 @@ ORACLE: dict[str, str] = {
     "latest_artifact": (f"WITH {RUNLOG} SELECT run, max(artifact) AS latest FROM runlog "
                         f"WHERE starts_with(artifact, run || '-') AND NOT suffix(artifact, '.part') GROUP BY run"),
 }
+
+# what the writers wrote and the readers read back
+ORACLE["prepared_roundtrip"] = (f"WITH {PREPARED} SELECT row_id, Title, round(Score, 6) AS Score FROM prepared "
+                                f"WHERE {_hash_split('row_id')} = 'dev'")
+ORACLE["encoded_roundtrip"] = (f"WITH {IDS_CTE}, p2 AS (SELECT row_id, {DIGEST('seq')} AS seq_md5 FROM packed2) "
+                               f"SELECT p2.row_id, seq_md5, round(Score, 6) AS scores FROM p2 JOIN prepared USING (row_id) "
+                               f"WHERE {_hash_split('row_id')} = 'test' AND abs(Score) < 0.1")
+ORACLE["report_roundtrip"] = f"SELECT 'extractive' AS model_type, metric, mean FROM ({ORACLE['metric_report']}) r"

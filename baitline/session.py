@@ -46,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if sc is not None and not (sc.master.startswith("local[") or sc.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = os.path.join(os.environ.get("TMPDIR", "/tmp"), "baitline-checkpoints")
     if sc is None:
         return conf
@@ -67,19 +69,3 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def spread_small(df):
-    """Round-robin ``df`` over the default parallelism when its scan yields
-    fewer partitions than that (small inputs, or one large Parquet row group
-    that a single task must read). Large inputs already have many more
-    partitions than cores and pass through untouched, so this never adds a
-    shuffle at scale. Planning only, no job."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # Spark Connect: no RDD view; leave the plan as it is
-        return df
-    if parts < target:
-        return df.repartition(target)
-    return df

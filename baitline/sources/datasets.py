@@ -57,6 +57,7 @@ REPORT_SCHEMA = StructType([
     StructField("mean", DoubleType()),
     StructField("std", DoubleType()),
     StructField("model_type", StringType()),
+    StructField("run_id", StringType()),
     StructField("class_loss", StringType()),
     StructField("summ_loss", StringType()),
     StructField("split", StringType()),
@@ -91,10 +92,11 @@ def read_jsonl_union(spark: SparkSession, paths: list[str], schema: StructType,
 
 
 def write_prepared(df: DataFrame, path: str | None = None) -> str:
-    """S3: prepared set with its ``split`` column, one folder per split."""
+    """S3: prepared set with its ``split`` column, one folder per split; only
+    the splits that ``df`` holds are replaced."""
     path = path or scratch_path(df.sparkSession, "prepared")
     (df.select("row_id", "Title", "Body", "Summary", "Score", "split")
-     .write.mode("overwrite").partitionBy("split").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split").parquet(path))
     return path
 
 
@@ -107,22 +109,28 @@ def read_prepared(spark: SparkSession, path: str, split: str | None = None) -> D
 
 
 def write_encoded(df: DataFrame, layout: str, tokenizer: str, path: str | None = None) -> str:
-    """Encoded set, partitioned by layout, tokenizer and split, so two
-    layouts never overwrite each other."""
+    """Encoded set, partitioned by layout, tokenizer and split. Only the
+    partitions that ``df`` holds are replaced, so other layouts and splits in
+    the same folder stay."""
     path = path or scratch_path(df.sparkSession, "encoded")
     (df.withColumn("layout", F.lit(layout)).withColumn("tokenizer", F.lit(tokenizer))
-     .write.mode("overwrite").partitionBy("layout", "tokenizer", "split").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layout", "tokenizer", "split").parquet(path))
     return path
 
 
 def read_encoded(spark: SparkSession, path: str, layout: str, tokenizer: str,
                  split: str | None = None, wanted: list[float] | None = None,
-                 schema: StructType = PACKED_SCHEMA) -> DataFrame:
+                 schema: StructType | None = None) -> DataFrame:
     """S5 + P6: one layout/tokenizer (and split), optionally only rows near a
     wanted score; partition filters prune folders, the score range is pushed
-    to the Parquet reader."""
-    df = (spark.read.schema(schema).parquet(path)
-          .filter((F.col("layout") == layout) & (F.col("tokenizer") == tokenizer)))
+    to the Parquet reader. Layouts differ in their columns: the schema is that
+    of the layout's own files unless one is given."""
+    if schema is not None:
+        df = (spark.read.schema(schema).parquet(path)
+              .filter((F.col("layout") == layout) & (F.col("tokenizer") == tokenizer)))
+    else:
+        df = (spark.read.option("basePath", path).parquet(f"{path}/layout={layout}/tokenizer={tokenizer}")
+              .withColumn("split", F.col("split").cast("string")))
     if split is not None:
         df = df.filter(F.col("split") == resolve_split(split))
     return with_scores(df, wanted, score="scores")

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rowindex import with_parquet_position
-from ..session import spread_small
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -32,9 +31,7 @@ def articles(spark: SparkSession, sf_dir: str, with_file_row: bool = False) -> D
     docs = table(spark, sf_dir, "documents")
     if with_file_row:
         docs = with_parquet_position(docs.select("doc_id", "text"), "file_row")
-    # the per-document work downstream is CPU-heavy: make sure every core gets
-    # documents even when the files hold few row groups
-    docs = spread_small(docs.select("doc_id", "text", *(["file_row"] if with_file_row else [])))
+    docs = docs.select("doc_id", "text", *(["file_row"] if with_file_row else []))
     cols = [F.col("doc_id").alias("id"), F.split("text", "\n").alias("_lines")]
     if with_file_row:
         cols.append("file_row")
@@ -61,12 +58,17 @@ def truth(spark: SparkSession, sf_dir: str, with_file_row: bool = False) -> Data
 
 
 def web_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles from raw ``pages`` HTML: <title> and the <p> texts."""
+    """Articles from raw ``pages`` HTML: <title> and the texts of all <p>
+    elements, with attributes, inner tags or no end tag as they may be."""
     p = table(spark, sf_dir, "pages")
+    parts = F.split("html", r"<p(?:\s[^>]*)?>")
+
+    def inner(x):
+        return F.regexp_replace(F.regexp_replace(x, r"(?s)</(?:p|article|body)\s*>.*$", ""), "<[^>]*>", "")
+
     return p.select(F.col("page_id").alias("id"),
                     F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("targetTitle"),
-                    F.regexp_extract_all("html", F.lit(r"<p>([^<]*)</p>"), F.lit(1))
-                    .alias("targetParagraphs"))
+                    F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), inner).alias("targetParagraphs"))
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def encode_stream(spark: SparkSession, source_dir: str, sink_dir: str,
     if wanted is not None:
         src = src.filter(wanted_scores_predicate("Score", wanted))
     pk = tk.pack(tk.encode_text("Body"), tk.encode_text("Title"))
-    enc = src.select("row_id", F.coalesce("split", F.lit("train")).alias("split"),
+    enc = src.select("row_id", "split",
                      F.col("Score").alias("scores"), pk.alias("pk")).select(
         "row_id", "split", "scores", F.col("pk.sequence").alias("sequences"),
         F.col("pk.title_mask").alias("title_masks"))

@@ -200,15 +200,18 @@ def test_mini_cap_and_decode_specials(spark):
     from baitline.operators import encode
     from baitline.operators.prepare import prepare_articles
 
-    arts = spark.createDataFrame([(i, f"t{i}", [f"body {i} words here"]) for i in range(10)],
-                                 "id long, targetTitle string, targetParagraphs array<string>")
-    truth = spark.createDataFrame([(i, 0.0) for i in range(10)], "id long, truthMode double")
+    ids = [608310377143799810 + 7919 * i for i in range(10)]
+    arts = spark.createDataFrame([(ids[i], f"t{i}", [f"body {i} words here"], i) for i in range(10)],
+                                 "id long, targetTitle string, targetParagraphs array<string>, file_row long")
+    truth = spark.createDataFrame([(i, 0.0) for i in ids], "id long, truthMode double")
     p = prepare_articles(arts, truth, mini=4)
-    assert sorted(r[0] for r in p.select("row_id").collect()) == [0, 1, 2, 3]
+    assert sorted(r[0] for r in p.select("row_id").collect()) == ids[:4]
 
     vocab = spark.createDataFrame([("body", 4, 10), ("words", 5, 9)], "token string, id int, count long")
     texts = spark.createDataFrame([(1, "body x words")], "k long, t string")
     enc = encode.encode_with_vocab(texts, "k", "t", vocab)
     assert sorted((r["pos"], r["id"]) for r in enc.collect()) == [(0, 4), (1, UNK_ID), (2, 5)]
     assert encode.decode_ids(enc, "k", vocab).first()["decoded"] == "body words"
+    blank = encode.roundtrip(spark.createDataFrame([(1, "body"), (2, ""), (3, " ")], "k long, t string"), "k", "t", vocab)
+    assert sorted(tuple(r) for r in blank.collect()) == [(1, "body", 0, 1), (2, "", 0, 0), (3, "", 0, 0)]
     assert encode.decode_ids(enc, "k", vocab, skip_special=False).first()["decoded"] == "body <unk> words"

@@ -85,3 +85,35 @@ def test_train_and_classify_with_model(spark, tmpdir_fresh):
     model = jobs.train_classifier_job(spark, prep, os.path.join(tmpdir_fresh, "model"))
     r = jobs.classify_job(spark, prep, "train", os.path.join(tmpdir_fresh, "c"), model=model).first()
     assert 0.0 <= r["Overall Accuracy"] <= 1.0
+
+
+def test_layouts_and_splits_share_a_folder(spark, tmpdir_fresh):
+    """Writing one layout or split leaves the others in the folder alone, and
+    each layout comes back with its own columns."""
+    from pyspark.sql import functions as F
+
+    from baitline.plans import jobs
+    from baitline.sources import datasets
+
+    rows = [(i, f"title {i}", f"body {i} text", "sum", 1.0, "train" if i % 2 else "dev") for i in range(10)]
+    p = datasets.write_prepared(spark.createDataFrame(rows, datasets.PREPARED_SCHEMA), tmpdir_fresh + "/p")
+    out = tmpdir_fresh + "/e"
+    for layout in jobs.LAYOUTS:
+        for name in ("train", "dev"):
+            jobs.encode_job(spark, p, out, layout, name)
+    for layout in jobs.LAYOUTS:
+        back = datasets.read_encoded(spark, out, layout, "hash")
+        assert {(r["split"], r["n"]) for r in back.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()} == {("train", 5), ("dev", 5)}
+    assert len(datasets.read_encoded(spark, out, "seq2seq", "hash").columns) > 8
+
+
+def test_repeated_evaluation_keeps_runs_apart(spark, tmpdir_fresh):
+    from baitline.plans import jobs
+    from baitline.sources import datasets
+
+    rows = [(i, f"some title {i} words", f"some body {i} text with words. And one more sentence here with title {i} words.", "sum", 1.0, "dev")
+            for i in range(6)]
+    p = datasets.write_prepared(spark.createDataFrame(rows, datasets.PREPARED_SCHEMA), tmpdir_fresh + "/p")
+    a, b = ([tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+             for r in jobs.evaluate_job(spark, p, "dev", tmpdir_fresh + "/o").orderBy("metric").collect()] for _ in range(2))
+    assert a == b and spark.read.parquet(tmpdir_fresh + "/o/outputs").select("run_id").distinct().count() == 2
