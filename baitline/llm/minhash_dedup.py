@@ -1,21 +1,25 @@
 """MinHash near-dedup (op2): a signature-coordinate inverted join.
 
 A document's set is that of its 5-word shingles (64-bit hashes; of fewer words,
-the whole sequence). Documents with equal sets are one class. A class has 64
+the whole sequence). Documents with equal sets are one class. A class has 128
 min-hashes; each of 72 coordinates is the hash of 4 of them, so the posting list
 of a coordinate and value holds near copies and little else, even where a
 passage is in a third of all documents.
 
 Two classes of similarity 0.75 agree in 22 coordinates on average. A pair must
-agree in 2 (fewer has a probability of about 1e-8), so the last coordinate need
-not be posted (prefix); whole signatures are compared only for pairs that meet
-in a list, and those that agree in under 28 of 64 min-hashes are skipped.
+agree in 2 (fewer has a probability of about 1e-7 at 0.75 itself), so the last
+coordinate need not be posted (prefix); whole signatures are compared only for
+pairs that meet in a list, and those that agree in under 66 of 128 min-hashes
+(expected: 96, standard deviation 5) are skipped.
 
 A list does not emit its pairs. First each class meets only the list's hub, the
 class that collides with others most often (the original of near copies), of its
 hubs the one that agrees most, and confirmed links give components.
 Then lists with two components or more emit the pairs between components, which
-are confirmed too; pairs within a component cannot change it. All links are
+are confirmed too; pairs within a component cannot change it. A long one of these
+lists, as a common passage makes among short documents, is first posted anew
+under 24 finer values of 5 further min-hashes each: classes of similarity 0.75
+agree in 5 of the 24 on average, in every list they share. All links are
 confirmed on full sets: 100 * intersection >= 75 * union.
 
 Nulls: a null text or one without words has an empty set and no link. A row
@@ -37,8 +41,9 @@ from baitline.llm.components import components
 from baitline.session import materialize
 
 SHINGLE = 5
-HASHES, COORDINATES, TAKE = 64, 72, 4
-AGREE, LEAST_HASHES = 2, 28
+HASHES, COORDINATES, TAKE = 128, 72, 4
+AGREE, LEAST_HASHES = 2, 66
+LONG, FINER, FINER_TAKE = 64, 24, 5     # lists over LONG classes are posted anew, FINER times
 PERCENT = 75
 UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -46,6 +51,7 @@ _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2 ** 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2 ** 63, HASHES, dtype=np.uint64)
 _PICK = np.stack([_rng.choice(HASHES, TAKE, replace=False) for _ in range(COORDINATES)])
+_FINER = np.stack([_rng.choice(HASHES, FINER_TAKE, replace=False) for _ in range(FINER)])
 
 
 def shingle_set(text) -> np.ndarray:
@@ -94,6 +100,29 @@ def _lists(frames):
         yield pd.DataFrame({"list": key.ravel().view(np.int64), "cid": np.repeat(pdf.cid.to_numpy(), posted)})
 
 
+def _finer_lists(frames):
+    """(list, cid, root): the members of long lists under finer values."""
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(-1, HASHES).astype(np.uint64)
+        key = Wd.mix(pdf.list.to_numpy().view(np.uint64))[:, None] + np.arange(FINER, dtype=np.uint64)[None, :] * np.uint64(0x94D049BB133111EB)
+        for t in range(FINER_TAKE):
+            key = Wd.mix(key * Wd.MULT + sig[:, _FINER[:, t]])
+        yield pd.DataFrame({"list": key.ravel().view(np.int64), "cid": np.repeat(pdf.cid.to_numpy(), FINER),
+                            "root": np.repeat(pdf.root.to_numpy(), FINER)})
+
+
+def _mixed(member: DataFrame) -> DataFrame:
+    """(list, cid, root, main, n) of the lists with two components or more;
+    main: of the list's largest one."""
+    count = member.groupBy("list", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = count.groupBy("list").agg(F.max_by("root", F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots"),
+                                     F.sum("n").alias("n")).where("roots > 1").drop("roots")
+    own = member.join(materialize(main, "lists"), "list")
+    return materialize(own.select("list", "cid", "root", (F.col("root") == F.col("m")).alias("main"), "n"), "members")
+
+
 @F.pandas_udf(IntegerType())
 def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     x = np.frombuffer(b"".join(a), np.uint32).reshape(-1, HASHES)
@@ -165,9 +194,10 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     # pairs between components: every class outside its list's main component against the others
     root = F.coalesce("root", "cid")
     member = materialize(posted.join(label.withColumnRenamed("id", "cid"), "cid", "left").select("list", "cid", root.alias("root")), "members")
-    count = member.groupBy("list", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = count.groupBy("list").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    member = materialize(member.join(main, "list").select("list", "cid", "root", (F.col("root") == F.col("main")).alias("main")), "members")
+    member = _mixed(member)
+    long = member.where(F.col("n") > LONG).select("list", "cid", "root").join(classes.select("cid", "sig"), "cid")
+    finer = _mixed(materialize(long.mapInPandas(_finer_lists, "list long, cid long, root long"), "finer"))
+    member = member.where(F.col("n") <= LONG).unionByName(finer)
     out, all_ = member.where("not main").alias("a"), member.alias("b")
     cross = (out.join(all_, "list").where("a.root <> b.root and (b.main or a.cid < b.cid)")
              .select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct())
