@@ -8,9 +8,9 @@ passage is in a third of all documents.
 
 Two classes of similarity 0.75 agree in 22 coordinates on average. A pair must
 agree in 2 (fewer has a probability of about 1e-7 at 0.75 itself), so the last
-coordinate need not be posted (prefix); whole signatures are compared only for
-pairs that meet in a list, and those that agree in under 66 of 128 min-hashes
-(expected: 96, standard deviation 5) are skipped.
+coordinate need not be posted (prefix); signatures are compared only for pairs
+that meet in a list, and those that agree in under 28 of the first 64 min-hashes
+(expected: 48, standard deviation 3.5) are skipped.
 
 A list does not emit its pairs. First each class meets only the list's hub, the
 class that collides with others most often (the original of near copies), of its
@@ -42,7 +42,7 @@ from baitline.session import materialize
 
 SHINGLE = 5
 HASHES, COORDINATES, TAKE = 128, 72, 4
-AGREE, LEAST_HASHES = 2, 66
+AGREE, SHOWN, LEAST_HASHES = 2, 64, 28     # of the first SHOWN min-hashes, so many must agree
 LONG, FINER, FINER_TAKE = 64, 24, 5     # lists over LONG classes are posted anew, FINER times
 PERCENT = 75
 UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -125,8 +125,8 @@ def _mixed(member: DataFrame) -> DataFrame:
 
 @F.pandas_udf(IntegerType())
 def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
-    x = np.frombuffer(b"".join(a), np.uint32).reshape(-1, HASHES)
-    y = np.frombuffer(b"".join(b), np.uint32).reshape(-1, HASHES)
+    x = np.frombuffer(b"".join(a), np.uint32).reshape(-1, SHOWN)
+    y = np.frombuffer(b"".join(b), np.uint32).reshape(-1, SHOWN)
     return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
 
@@ -142,7 +142,7 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (u, v) whose sizes and signatures allow a link, with ``agree``."""
-    c = classes.select("cid", "sig", "n_shingles")
+    c = classes.select("cid", F.substring("sig", 1, 4 * SHOWN).alias("sig"), "n_shingles")
     j = (pairs.join(c.toDF("u", "su", "nu"), "u").join(c.toDF("v", "sv", "nv"), "v")
          .where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * PERCENT))
     return j.withColumn("agree", _agreeing("su", "sv")).where(F.col("agree") >= LEAST_HASHES).select("u", "v", "agree")
