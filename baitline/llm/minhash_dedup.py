@@ -17,10 +17,13 @@ class that collides with others most often (the original of near copies), of its
 hubs the one that agrees most, and confirmed links give components.
 Then lists with two components or more emit the pairs between components, which
 are confirmed too; pairs within a component cannot change it. A long one of these
-lists, as a common passage makes among short documents, is first posted anew
-under 24 finer values of 5 further min-hashes each: classes of similarity 0.75
-agree in 5 of the 24 on average, in every list they share. All links are
-confirmed on full sets: 100 * intersection >= 75 * union.
+lists, as a common passage makes among short documents, is posted anew under the
+rarest shingles of its members: in an order of all shingles by how many members
+hold them, two sets of similarity 0.75 meet in the first quarter of either, so a
+passage's shingles, last in that order, bring nothing together unless they are
+most of a set. What follows a shared shingle bounds the intersection, and pairs
+whose bound is too low are skipped; both steps are exact. All links are confirmed
+on full sets: 100 * intersection >= 75 * union.
 
 Nulls: a null text or one without words has an empty set and no link. A row
 without a doc_id can link others; it is kept if nothing with a doc_id is
@@ -43,7 +46,7 @@ from baitline.session import materialize
 SHINGLE = 5
 HASHES, COORDINATES, TAKE = 128, 72, 4
 AGREE, SHOWN, LEAST_HASHES = 2, 64, 28     # of the first SHOWN min-hashes, so many must agree
-LONG, FINER, FINER_TAKE = 64, 24, 5     # lists over LONG classes are posted anew, FINER times
+LONG = 64       # lists over LONG classes are posted anew, under rare shingles
 PERCENT = 75
 UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -51,7 +54,6 @@ _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2 ** 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2 ** 63, HASHES, dtype=np.uint64)
 _PICK = np.stack([_rng.choice(HASHES, TAKE, replace=False) for _ in range(COORDINATES)])
-_FINER = np.stack([_rng.choice(HASHES, FINER_TAKE, replace=False) for _ in range(FINER)])
 
 
 def shingle_set(text) -> np.ndarray:
@@ -82,7 +84,7 @@ def _digest(s: np.ndarray) -> bytes:
 def _described(frames):
     for pdf in frames:
         sets = [shingle_set(t) for t in pdf.text]
-        yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "n_shingles": [len(s) for s in sets],
+        yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "key": pdf.key, "n_shingles": [len(s) for s in sets],
                             "digest": [_digest(s) if len(s) else None for s in sets],
                             "sig": [signature(s).tobytes() if len(s) else None for s in sets]})
 
@@ -100,27 +102,40 @@ def _lists(frames):
         yield pd.DataFrame({"list": key.ravel().view(np.int64), "cid": np.repeat(pdf.cid.to_numpy(), posted)})
 
 
-def _finer_lists(frames):
-    """(list, cid, root): the members of long lists under finer values."""
+def _grams(frames):
+    """(cid, list): a row for each shingle of a class."""
     for pdf in frames:
-        if not len(pdf):
-            continue
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(-1, HASHES).astype(np.uint64)
-        key = Wd.mix(pdf.list.to_numpy().view(np.uint64))[:, None] + np.arange(FINER, dtype=np.uint64)[None, :] * np.uint64(0x94D049BB133111EB)
-        for t in range(FINER_TAKE):
-            key = Wd.mix(key * Wd.MULT + sig[:, _FINER[:, t]])
-        yield pd.DataFrame({"list": key.ravel().view(np.int64), "cid": np.repeat(pdf.cid.to_numpy(), FINER),
-                            "root": np.repeat(pdf.root.to_numpy(), FINER)})
+        sets = [np.frombuffer(x, np.int64) for x in pdf.s]
+        for at in range(0, len(sets), 64):
+            part = sets[at:at + 64]
+            yield pd.DataFrame({"cid": np.repeat(pdf.cid.to_numpy()[at:at + 64], [len(x) for x in part]),
+                                "list": np.concatenate(part)})
+
+
+def _rare_lists(long: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(list, cid, root, rest): the classes of long lists under the shingles
+    of their prefixes; rest: how many of a class's shingles come from there on.
+    Shingles of one member only come first in the order and are not posted."""
+    who = materialize(long.select("cid", "root").distinct(), "long")
+    grams = materialize(_full_sets(who.select("cid"), classes, docs).mapInPandas(_grams, "cid long, list long"), "grams")
+    held = materialize(grams.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "held")
+    shared = (grams.join(held, "list").groupBy("cid")
+              .agg(F.sort_array(F.collect_list(F.struct("n", "list"))).alias("g")))
+    size, shown = F.col("n_shingles"), F.size("g")
+    first = size - F.ceil(size * PERCENT / 100) + 1 - (size - shown)       # of the prefix, those not alone
+    posted = (shared.join(classes.select("cid", "n_shingles"), "cid").where(first > 0)
+              .select("cid", shown.alias("m"), F.posexplode(F.slice("g", F.lit(1), F.least(first, shown).cast("int"))).alias("at", "x")))
+    return posted.join(who, "cid").select(F.col("x.list").alias("list"), "cid", "root", (F.col("m") - F.col("at")).alias("rest"))
 
 
 def _mixed(member: DataFrame) -> DataFrame:
-    """(list, cid, root, main, n) of the lists with two components or more;
-    main: of the list's largest one."""
+    """The rows of the lists with two components or more, with main (of the
+    list's largest one) and n (classes of the list)."""
     count = member.groupBy("list", "root").agg(F.count(F.lit(1)).alias("n"))
     main = count.groupBy("list").agg(F.max_by("root", F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots"),
                                      F.sum("n").alias("n")).where("roots > 1").drop("roots")
     own = member.join(materialize(main, "lists"), "list")
-    return materialize(own.select("list", "cid", "root", (F.col("root") == F.col("m")).alias("main"), "n"), "members")
+    return materialize(own.select(*member.columns, (F.col("root") == F.col("m")).alias("main"), "n"), "members")
 
 
 @F.pandas_udf(IntegerType())
@@ -148,13 +163,16 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return j.withColumn("agree", _agreeing("su", "sv")).where(F.col("agree") >= LEAST_HASHES).select("u", "v", "agree")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are links on the full sets, computed anew for the
-    documents that stand for the classes in question."""
-    pairs = materialize(pairs.select("u", "v"), "pairs")
-    asked = pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))).distinct()
-    # a class's first document; one without a doc_id stands for itself by its digest
-    there = asked.join(classes, "cid").select("cid", "digest", F.col("least").alias("doc_id"))
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+
+
+def _full_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, s): the shingle sets of the classes ``asked``, computed anew from
+    a document that stands for the class."""
+    # a class's first document, by its text's hash too: ids may be null or repeated
+    there = asked.join(classes, "cid").select("cid", "digest", "key", F.col("least").alias("doc_id"))
 
     def sets(frames):
         for pdf in frames:
@@ -162,20 +180,26 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
             own = [_digest(x) == bytes(d) for x, d in zip(s, pdf.digest)]
             yield pd.DataFrame({"cid": pdf.cid[own], "s": [x.tobytes() for x, o in zip(s, own) if o]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = (rows.join(there, rows["doc_id"].eqNullSafe(there["doc_id"])).select("cid", "digest", "text")
+    rows = _rows(docs)
+    got = (rows.join(there, (rows["key"] == there["key"]) & rows["doc_id"].eqNullSafe(there["doc_id"])).select("cid", "digest", "text")
            .mapInPandas(sets, "cid long, s binary"))
-    got = materialize(got.groupBy("cid").agg(F.first("s").alias("s")), "sets")
+    return materialize(got.groupBy("cid").agg(F.first("s").alias("s")), "sets")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that are links on the full sets."""
+    pairs = materialize(pairs.select("u", "v"), "pairs")
+    asked = pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))).distinct()
+    got = _full_sets(asked, classes, docs)
     j = pairs.join(got.toDF("u", "a"), "u").join(got.toDF("v", "b"), "v")
     return j.where(_near("a", "b")).select("u", "v")
 
 
 def minhash_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialize(rows.mapInPandas(_described, "doc_id long, n_shingles long, digest binary, sig binary"), "signatures")
+    described = materialize(_rows(docs).mapInPandas(_described, "doc_id long, key long, n_shingles long, digest binary, sig binary"), "signatures")
     classes = (described.where("digest is not null").groupBy("digest")
-               .agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+               .agg(F.min("doc_id").alias("least"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     # numbers are fixed once written
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     posted = classes.select("cid", "sig").mapInPandas(_lists, "list long, cid long")
@@ -195,11 +219,14 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     root = F.coalesce("root", "cid")
     member = materialize(posted.join(label.withColumnRenamed("id", "cid"), "cid", "left").select("list", "cid", root.alias("root")), "members")
     member = _mixed(member)
-    long = member.where(F.col("n") > LONG).select("list", "cid", "root").join(classes.select("cid", "sig"), "cid")
-    finer = _mixed(materialize(long.mapInPandas(_finer_lists, "list long, cid long, root long"), "finer"))
-    member = member.where(F.col("n") <= LONG).unionByName(finer)
+    rare = _mixed(materialize(_rare_lists(member.where(F.col("n") > LONG), classes, docs), "rare"))
+    sizes = classes.select("cid", F.col("n_shingles").alias("size"))
+    whole = member.where(F.col("n") <= LONG).join(sizes, "cid").withColumn("rest", F.col("size"))
+    member = materialize(whole.unionByName(rare.join(sizes, "cid")), "members")
     out, all_ = member.where("not main").alias("a"), member.alias("b")
-    cross = (out.join(all_, "list").where("a.root <> b.root and (b.main or a.cid < b.cid)")
+    # an intersection is at most what comes from the shared place on
+    enough = F.least("a.rest", "b.rest") * (100 + PERCENT) >= (F.col("a.size") + F.col("b.size")) * PERCENT
+    cross = (out.join(all_, "list").where("a.root <> b.root and (b.main or a.cid < b.cid)").where(enough)
              .select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct())
     tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     cross = _promising(cross.join(tried, ["u", "v"], "left_anti"), classes)

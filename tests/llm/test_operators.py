@@ -102,6 +102,20 @@ def test_minhash_dedup(spark, edge_rows):
     assert len({r[2] for r in got if r[0] and r[0] >= 100}) == 1
 
 
+def test_minhash_dedup_posts_long_lists_anew(spark, monkeypatch, edge_rows):
+    """A passage that many short documents share, some of them links by it."""
+    monkeypatch.setattr(minhash_dedup, "LONG", 3)
+    rnd = random.Random(4)
+    own = lambda n: " ".join(str(rnd.randint(0, 10 ** 6)) for _ in range(n))
+    passage = own(40)                                   # 36 shingles: tails of 6 words link two documents exactly
+    rows = [(200 + k, f"{passage} {own(4 + k % 17)}", "en", "s") for k in range(60)]
+    rows += [(300 + k, rows[k][1] + " " + own(1), "en", "s") for k in range(0, 60, 3)]
+    rows += [(None, rows[k][1] + " x", "en", "s") for k in range(0, 60, 5)]
+    for some in (rows, rows[:-12] + edge_rows):
+        got = [tuple(r) for r in minhash_dedup.minhash_dedup(documents(spark, some)).collect()]
+        assert by_key(got) == by_key(brute_components(some))
+
+
 def vectors():
     rng = np.random.default_rng(3)
     v = [rng.standard_normal(8).astype(np.float32).tolist() for _ in range(300)]
