@@ -10,8 +10,10 @@ Restored words join the text's own words, and a naive Bayes sum over the known
 ones gives the score.
 
 The character model counts every text of the table. The classifier learns from
-labelled rows whose crc32(doc_id as text) mod 3 is not 1, about ``SAMPLE`` rows
-of each label by a hash of the text (a documented bound). Whole texts are read.
+labelled rows whose crc32(doc_id as text) mod 3 is not 1, about ``SAMPLE`` distinct
+texts of each label by a hash of the text (a documented bound). Whole texts are read.
+A word is kept by the evidence for it, however rare: a likelihood ratio test over
+these texts. Its weight is a smoothed log ratio over those without a stronger word.
 
 Nulls: a null or empty text scores the prior alone. A null doc_id is not held
 out and not learned from; null labels are not learned from. Repeated rows give a
@@ -31,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baitline.llm.language_id import held_out
+from baitline.session import materialize
 
 FOLDS, HELD = 3, 1
 SAMPLE = 20_000
 LEXICON = 20_000        # strongest words kept
-# Least likelihood ratio statistic, lift and share of the toxic rows of a kept word.
-EVIDENCE, LIFT, SHARE = 20.0, 64.0, 0.01
+EVIDENCE = 20.0         # least likelihood ratio statistic of a kept word
 BEAM = 24
 # Letters that digits and signs stand for.
 STANDS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -191,14 +193,18 @@ class Channel:
             run = [i]
         return out
 
+
 def lexicon(rows: DataFrame, channel: Channel) -> tuple[float, dict[str, float]]:
-    """Prior log odds and the weight of each kept word, from (text, toxic)."""
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Prior log odds and the weight of each kept word, from (text, toxic).
+    All counts are of distinct texts, so copies weigh nothing."""
+    key = F.xxhash64("text")
+    n = {r["toxic"]: r["n"] for r in rows.select("toxic", key.alias("k")).distinct().groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return -math.inf, {}
     share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / n1)).otherwise(min(1.0, SAMPLE / n0))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["text", "toxic"])
+    sample = rows.where(F.pmod(key, F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["text", "toxic"])
+    sample = materialize(sample, "toxicity-sample")
 
     def counted(frames):
         for pdf in frames:
@@ -209,19 +215,44 @@ def lexicon(rows: DataFrame, channel: Channel) -> tuple[float, dict[str, float]]
                         count[w] = count.get(w, 0) + 1
                 yield pd.DataFrame({"word": list(count), "toxic": np.int32(toxic), "n": list(count.values())})
 
+    m = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    m1, m0 = m.get(1, 0), m.get(0, 0)
+    if not m1 or not m0:
+        return math.log(n1 / n0), {}
     found = sample.mapInPandas(counted, "word string, toxic int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("f"))
-    m1, m0 = min(n1, SAMPLE), min(n0, SAMPLE)
-    lift = (F.col("t") + 0.5) / (m1 + 1) / ((F.col("f") + 0.5) / (m0 + 1))
     p1 = m1 / (m1 + m0)
     both = F.col("t") + F.col("f")
     g = 2 * (F.col("t") * F.log(F.col("t") / (both * p1))
              + F.when(F.col("f") > 0, F.col("f") * F.log(F.col("f") / (both * (1 - p1)))).otherwise(0.0))
-    rows_ = (found.where("t > 0").withColumn("lift", lift).withColumn("g", g)
-             .where((F.col("lift") >= LIFT) & (F.col("g") >= EVIDENCE) & (F.col("t") >= SHARE * m1))
+    rows_ = (found.where((F.col("t") > 0) & (F.col("t") > both * p1)).withColumn("g", g).where(F.col("g") >= EVIDENCE)
              .orderBy(F.col("g").desc(), "word").limit(LEXICON).collect())
-    return math.log(n1 / n0), {r["word"]: math.log(r["lift"]) for r in rows_}
+    words, f = [r["word"] for r in rows_], np.array([r["f"] for r in rows_], float)
+    if not words:
+        return math.log(n1 / n0), {}
+    place = {w: i for i, w in enumerate(words)}
+
+    def held(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"at": [np.array(sorted(place[w] for w in channel.words(t) if w in place), np.int32).tobytes() for t in pdf.text]})
+
+    # numbers of the words of each toxic text of the sample, a few bytes a text
+    texts = [np.frombuffer(r["at"], np.int32) for r in sample.where("toxic = 1").mapInPandas(held, "at binary").collect()]
+    word = np.concatenate(texts)
+    text = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    order = np.argsort(word, kind="stable")
+    of = np.split(text[order], np.searchsorted(word[order], np.arange(1, len(words))))
+    # A weight is of the texts that no stronger word tells of, and of one more text that falls as all
+    # do: a dialect with toxic texts, or a group of near copies, has many words that lean their way.
+    told, kept = np.zeros(len(texts), bool), {}
+    for i, w in enumerate(words):
+        alone, one = float((~told[of[i]]).sum()), (len(of[i]) + 0.5) / (len(of[i]) + f[i] + 1)
+        weight = math.log((alone + one) / (f[i] + 1 - one) * m0 / m1)
+        if weight > 0:
+            kept[w] = weight
+            told[of[i]] = True
+    return math.log(n1 / n0), kept
 
 
 def score(found: set[str], prior: float, weights: dict[str, float]) -> float:

@@ -285,3 +285,21 @@ def test_pipeline(spark, edge_rows):
     assert all(r["n_tokens"] == len(r["ids"]) for r in last) and len(last) == mixed.count()
     out = P.run(spark, SF_SMALL).toPandas()
     assert len(out) and hashlib.md5(out.text[0].encode()) and (out.n_tokens > 0).any()
+
+
+def test_toxicity_copies_and_rare_words(spark):
+    """A copy group of most toxic rows hides no word; words of 0.7 % of the toxic texts count."""
+    rnd = random.Random(9)
+    plain = ["".join(rnd.choice("bcdlmnrst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(150)]
+    bad = ["zor" + "".join(rnd.choice("bcdlmnrst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(150)]
+
+    def text(*more):
+        return " ".join([*(rnd.choice(plain) for _ in range(12)), *more])
+
+    rows = [(text(), 0) for _ in range(9000)] + [(text(bad[i % 150]), 1) for i in range(2400)]
+    rows += [(rows[-1][0], 1)] * 9000 + [(rows[0][0], 0)] * 500
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").where("doc_id < 11400").toPandas()
+    assert (got[got.toxic == 1].predicted == 1).mean() >= 0.9
+    assert (got[got.toxic == 0].predicted == 1).mean() <= 0.02
