@@ -1,13 +1,14 @@
 """Toxicity (op4): noisy-channel deobfuscation, then a score of restored text.
 
 Disguised words are tokens with digits or signs for letters (1d10t, $cum), with
-letters repeated, or spelt out (i d i o t, s.c.u.m). Their characters form a
+letters doubled or more, or spelt out (i d i o t, s.c.u.m). Their characters form a
 lattice: each may be read as itself, as a letter it stands for, or be dropped (a
-separator, a repetition), at a cost. Viterbi decoding with a beam finds the
-likeliest readings under a character trigram model of all documents; of those
-within the beam, a word that the classifier knows wins (the lexicon's prior).
-Restored words join the text's own words, and a naive Bayes sum over the known
-ones gives the score.
+separator, a repetition), at a cost; where single characters are spelt out a word
+may end after any of them. Viterbi decoding finds the likeliest reading under a
+character trigram model of all documents. The lattice is also walked against a trie
+of the words that the classifier knows, without a beam: such a word wins (the
+lexicon's prior). Restored words join the text's own words, and a naive Bayes sum
+over the known ones gives the score.
 
 The character model counts every text of the table. The classifier learns from
 labelled rows whose crc32(doc_id as text) mod 3 is not 1, about ``SAMPLE`` distinct
@@ -39,14 +40,14 @@ FOLDS, HELD = 3, 1
 SAMPLE = 20_000
 LEXICON = 20_000        # strongest words kept
 EVIDENCE = 20.0         # least likelihood ratio statistic of a kept word
-BEAM = 24
 # Letters that digits and signs stand for.
 STANDS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
           "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 DROPS = set(" .-_*~'’`,:;/\\^#=\"")
 WORD = re.compile(r"[^\W\d_]+")
 STRIP = ".,;:?\"'*-_()[]{}#%&=<>/\\~`^"
-NOISY = re.compile(r"[0-9@$!|+(€£¡]|[.\-_*~'’`,:;/\\^#=]|(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
+SPELT = re.compile(r"\w(?:[.\-_*~'’`,:;/\\^#=]+[^\s.\-_*~'’`,:;/\\^#=]){2,}")     # single characters with separators
 A = 28                  # a-z, space, any other letter
 
 
@@ -92,6 +93,30 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log((n + 5 * back[None]) / (n.sum(axis=2, keepdims=True) + 5))
 
 
+def options(c: str, before: str) -> list[tuple[str, float]]:
+    """What a character may be read as, and at what cost."""
+    out = []
+    if c.isalpha():
+        out.append((c, -0.05))
+        if c == before:
+            out.append(("", -0.7))
+    for x in STANDS.get(c, ""):
+        out.append((x, -1.0))
+    if c in DROPS:
+        out.append(("", -0.1))
+    elif not c.isalpha():
+        out.append(("", -4.0))
+    return out
+
+
+def _spelled(path) -> list[str]:
+    letters = []
+    while path:
+        path, x = path
+        letters.append(x)
+    return "".join(reversed(letters)).split()
+
+
 class Channel:
     """Readings of disguised words. ``known``: the lexicon's words, none while learning."""
 
@@ -99,43 +124,84 @@ class Channel:
         self.model, self.known = model, known
         self.lm = model.tolist()
         self.cache: dict[str, tuple[str, ...]] = {}
-
-    def readings(self, token: str) -> list[tuple[float, str]]:
-        """The beam after the last character: (log probability, word). A state
-        is the word read so far; words with the same last two letters compete
-        only through the beam, so the lexicon can choose among them."""
-        beam = {"": 0.0}
-        before = ""
+        self.plain: set[str] = set()        # tokens that are no more than themselves
+        self.trie: dict = {}                # of the lexicon; under "" the word that ends
+        for w in sorted(known):
+            node = self.trie
+            for x in w:
+                node = node.setdefault(x, {})
+            node[""] = w
+
+    def lexical(self, token: str) -> str | None:
+        """The likeliest reading that is a word of the lexicon. Exact: a state
+        for each node of the trie that a reading reaches, none is cut off."""
+        states, before = {"": (0.0, self.trie)}, ""
         for c in token:
-            options = []
-            if c.isalpha():
-                options.append((c, -0.05))
-                if c == before:
-                    options.append(("", -0.7))
-            for x in STANDS.get(c, ""):
-                options.append((x, -1.0))
-            if c in DROPS:
-                options.append(("", -0.1))
-            elif not c.isalpha():
-                options.append(("", -4.0))
-            new: dict[str, float] = {}
-            for word, p in beam.items():
-                a = symbol(word[-2]) if len(word) > 1 else 26
-                b = symbol(word[-1]) if word else 26
-                row = self.lm[a][b]
-                for x, cost in options:
+            new: dict[str, tuple[float, dict]] = {}
+            for word, (p, node) in states.items():
+                row = self.lm[symbol(word[-2]) if len(word) > 1 else 26][symbol(word[-1]) if word else 26]
+                for x, cost in options(c, before):
+                    to = node.get(x) if x else node
+                    if to is None:
+                        continue
                     q = p + cost + (row[symbol(x)] if x else -1.0)
-                    w = word + x
-                    if q > new.get(w, -math.inf):
-                        new[w] = q
-            beam = dict(sorted(new.items(), key=lambda z: (-z[1], z[0]))[:BEAM]) if len(new) > BEAM else new
-            before = c
-        end = [(p + self.lm[symbol(w[-2]) if len(w) > 1 else 26][symbol(w[-1])][26], w) for w, p in beam.items() if w]
-        return sorted(end, key=lambda z: (-z[0], z[1]))
-
-    def restore(self, token: str) -> str | None:
-        found = self.readings(token)
-        return next((w for _, w in found if w in self.known), found[0][1] if found else None)
+                    if word + x not in new or q > new[word + x][0]:
+                        new[word + x] = (q, to)
+            if not new:
+                return None
+            states, before = new, c
+        end = [(-p - self.lm[symbol(w[-2]) if len(w) > 1 else 26][symbol(w[-1])][26], w) for w, (p, node) in states.items() if w and "" in node]
+        return min(end)[1] if end else None
+
+    def decoded(self, token: str, split: bool = False) -> list[str]:
+        """Words of the likeliest reading. A state is the last two letters, all
+        that the character model sees, or a node of the lexicon's trie, so
+        this is exact too. ``split``: a word may end after any character, or
+        else none but the last; a lexicon word has the prior of certainty."""
+        spell = {(26, 26): (0.0, None)}         # at the start of a word: no letters yet
+        lex = {"": (0.0, None, self.trie)}
+        before, end = "", (-math.inf, None)
+        for c in token:
+            opts = options(c, before)
+            new: dict = {}
+            for (a, b), (p, path) in spell.items():
+                for x, cost in opts:
+                    q = p + cost + (self.lm[a][b][symbol(x)] if x else -1.0)
+                    key = (b, symbol(x)) if x else (a, b)
+                    if key not in new or q > new[key][0]:
+                        new[key] = (q, (path, x) if x else path)
+            more: dict = {}
+            for word, (p, path, node) in lex.items() if self.known else ():
+                for x, cost in opts:
+                    to = node.get(x) if x else node
+                    if to is None:
+                        continue
+                    q = p + cost + (0.0 if x else -1.0)
+                    if word + x not in more or q > more[word + x][0]:
+                        more[word + x] = (q, (path, x) if x else path, to)
+            spell, lex, before = new, more, c
+            # whoever spells words out may end one anywhere, also where the documents do not
+            least = -math.log(A) if split else -math.inf
+            ends = [(p + max(self.lm[a][b][26], least), path) for (a, b), (p, path) in spell.items() if b != 26]
+            ends += [(p, path) for w, (p, path, node) in lex.items() if w and "" in node]
+            end = max(ends, key=lambda z: z[0], default=(-math.inf, None))
+            if split and ends:
+                p, path = end[0], (end[1], " ")
+                if p > spell.get((26, 26), (-math.inf,))[0]:
+                    spell[26, 26] = (p, path)
+                    if self.known:
+                        lex[""] = (p, path, self.trie)
+        return _spelled(spell[26, 26][1] if split and token and (26, 26) in spell else end[1])
+
+    def restore(self, token: str, split: bool = False) -> set[str]:
+        """Words of a disguised token: the lexicon's if it can be read as one,
+        else those of its likeliest reading, whole or ``split``."""
+        if self.known:
+            w = self.lexical(token)
+            if w or not split:
+                return {w} if w else set()
+            return self.known.intersection(self.decoded(token, True))
+        return set(self.decoded(token)) | (set(self.decoded(token, True)) if split else set())
 
     def own(self, words) -> set[str]:
         """Of some words, what counts: all while learning, else the lexicon's."""
@@ -150,38 +216,40 @@ class Channel:
             core = token.strip(STRIP)
             if any(c.isalpha() for c in core):
                 for form in {core, core.rstrip("!$"), core.strip("!$")}:
-                    if form.isalpha() and not NOISY.search(form):
+                    if form.isalpha():
                         out.add(form)
-                    elif form:
-                        out.add(self.restore(form))
-            out.discard(None)
+                    if form and not (form.isalpha() and not DOUBLED.search(form)):
+                        out |= self.restore(form)
+                    if SPELT.fullmatch(form):       # s.c.u.m
+                        out |= self.restore("".join(c for c in form if c not in DROPS), True)
             self.cache[token] = tuple(sorted(self.own(out)))
         return self.cache[token]
 
     def spelt(self, joined: str) -> tuple[str, ...]:
-        """The word that single characters spell, read with the channel."""
-        if joined not in self.cache:
-            w = self.restore(joined)
-            self.cache[joined] = tuple(self.own([w] if w else []))
-        return self.cache[joined]
+        """The words that single characters spell, read with the channel."""
+        key = " " + joined      # no token has a space
+        if key not in self.cache:
+            self.cache[key] = tuple(sorted(self.own(self.restore(joined, True))))
+        return self.cache[key]
 
     def words(self, text) -> set[str]:
         """Words of a text: of its tokens, and of what is spelt out, three
         tokens in a row at least of one character each besides stops."""
         if not isinstance(text, str):
             return set()
-        low = text.lower()
-        tokens = low.split()
+        tokens = text.lower().split()
         each = set(tokens)
         out = self.own(each) if self.known else {t for t in each if t.isalpha()}
-        cores = {t: t.strip(STRIP) for t in each if not t.isalpha()}
-        out |= self.own(c for c in cores.values() if c.isalpha())
-        odd = [t for t, c in cores.items() if not c.isalpha()]
-        raw = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8)
-        if ((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] > 96)).any():      # a letter three times in a row
-            odd += [t for t in each if NOISY.search(t)]
-        for t in odd:
-            out.update(self.token_words(t))
+        if len(self.plain) > 1_000_000:
+            self.plain.clear()
+        for t in each - self.plain:
+            if t.isalpha() and not DOUBLED.search(t):
+                self.plain.add(t)
+                continue
+            found = self.token_words(t)
+            out.update(found)
+            if not found or found == (t,):
+                self.plain.add(t)
         short = [i for i, t in enumerate(tokens) if len(t) < 3 and len(t.strip(STRIP)) == 1]
         run: list[int] = []
         for i in [*short, -1]:

@@ -303,3 +303,15 @@ def test_toxicity_copies_and_rare_words(spark):
     got = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").where("doc_id < 11400").toPandas()
     assert (got[got.toxic == 1].predicted == 1).mean() >= 0.9
     assert (got[got.toxic == 0].predicted == 1).mean() <= 0.02
+
+
+def test_toxicity_channel_reads_runs_and_doubles(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    channel = toxicity.Channel(toxicity.character_model(docs), {"idiot", "scum", "stupid", "loser", "moron"})
+    for text, want in {"a l o s e r": {"loser"}, "I s c u m": {"scum"}, "i d i o t s c u m": {"idiot", "scum"}, "y o u 1 d i 0 t": {"idiot"},
+                       "idiiot": {"idiot"}, "looser": {"loser"}, "scuum": {"scum"}, "x.l.o.s.e.r": {"loser"}, "s c u m 4": {"scum"},
+                       "1|!d1|!01|!t": {"idiot"}, "h e l l o": set(), "moor letter": set()}.items():
+        assert channel.words(text) == want, text
+    # more readings than a beam holds: known words stay
+    many = toxicity.Channel(channel.model, {"il" * 9 + "gz"})
+    assert many.words("1|" * 9 + "gz") == {"il" * 9 + "gz"}
