@@ -195,8 +195,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     return j.where(_near("a", "b")).select("u", "v")
 
 
-def minhash_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept)."""
+def linked(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n_shingles, root, component_id, kept); key: the text's
+    hash, root: the component itself, null without words. Ids may be those of
+    several components."""
     described = materialize(_rows(docs).mapInPandas(_described, "doc_id long, key long, n_shingles long, digest binary, sig binary"), "signatures")
     classes = (described.where("digest is not null").groupBy("digest")
                .agg(F.min("doc_id").alias("least"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
@@ -236,12 +238,17 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
 
     named = classes.select("cid", "digest", "least").join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", root)
     small = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(named.select("digest", "root").join(small, "root").select("digest", "component_id"), "component-names")
-    got = described.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = materialize(named.select("digest", "root").join(small, "root").select("digest", "root", "component_id"), "component-names")
+    got = described.select("doc_id", "key", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     got = got.withColumn("component_id", component)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return got.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    return got.select("doc_id", "key", "n_shingles", "root", "component_id", kept.alias("kept"))
+
+
+def minhash_dedup(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept)."""
+    return linked(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

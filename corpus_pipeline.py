@@ -26,14 +26,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of smallest doc_id,
-    and one row of it. Rows without a doc_id stay unless linked to one with."""
+    and one row of it. Texts that are not linked stay apart, whatever their
+    ids. Rows without a doc_id stay, one a text, unless linked to one with."""
     docs = docs.select(*COLUMNS)
-    kept = near.minhash_dedup(docs).where("kept").select("doc_id").distinct()
-    # rows of one doc_id: the first by text; rows without one are told apart by their text
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = near.linked(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "root").distinct()
+    # rows are told by doc_id and text
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
+    out = docs.join(kept, same).drop("_id", "_key")
+    # of a component the first row by text; texts without words have no component, but an id
     first = F.min(F.struct(F.col("text").isNull(), "text", "lang", "source", "n_chars")).alias("r")
-    named = out.where("doc_id is not null").groupBy("doc_id").agg(first).select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars")
-    return named.unionByName(out.where("doc_id is null").dropDuplicates(["text"])).select(*COLUMNS)
+    named = (out.where("doc_id is not null").groupBy("root", "doc_id").agg(first)
+             .select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars"))
+    return named.unionByName(out.where("doc_id is null").drop("root").dropDuplicates(["text"])).select(*COLUMNS)
 
 
 def suffix_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

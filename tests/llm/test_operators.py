@@ -315,3 +315,14 @@ def test_toxicity_channel_reads_runs_and_doubles(spark):
     # more readings than a beam holds: known words stay
     many = toxicity.Channel(channel.model, {"il" * 9 + "gz"})
     assert many.words("1|" * 9 + "gz") == {"il" * 9 + "gz"}
+
+
+def test_pipeline_near_dedup_tells_rows_by_text(spark):
+    import corpus_pipeline as P
+
+    rnd = random.Random(2)
+    a, b, c, d = (" ".join("w%d" % rnd.randrange(10 ** 6) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (5, a + " tail"), (5, b), (7, b), (7, c), (7, c), (None, d), (None, d), (None, a + " end"), (8, None), (8, "")]
+    got = P.near_dedup(spark, documents(spark, [(i, t, "en", "s") for i, t in rows]), "").collect()
+    # of 5, the copy of 1 goes and the other stays; of 7, the copy of 5 goes; of those without an id, the copy of 1
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(1, a), (5, b), (7, c), (0, d), (8, "")])
