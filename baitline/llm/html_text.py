@@ -1,8 +1,9 @@
 """HTML extraction (op9): a recurrent block labeller.
 
 A page is cut into blocks, its leaf texts in page order: text between tags that
-start or end a block, a line break included. Scripts, styles, comments, the head
-and form fields hold no blocks. A block's vector has its tag path (tags, classes
+start or end a block, a line break included. Scripts, styles, comments, titles, form
+fields, and svg, template and noscript elements that end hold no blocks; the rest of
+a head has no text, so one without an end tag ends where text starts. A block's vector has its tag path (tags, classes
 and ids, hashed), its words (hashed), and its length, links and stops. A numpy
 bidirectional LSTM reads a page's whole sequence of blocks and labels each one
 main text or not.
@@ -38,13 +39,15 @@ HIDDEN, PATH, BAG = 16, 48, 24
 SIZE = PATH + BAG + 7
 EPOCHS, RATE = 12, 0.02
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|title|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+# Only these run to the end of the page without an end tag, as HTML has it.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
                    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 SPACE = re.compile(r"\s+")
 # Element names of HTML.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong "
              "sub sup time tt u var wbr".split())
+SKIPPED = {"noscript", "template", "svg", "select"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main "
                "menu nav ol p pre section table ul".split())
@@ -77,14 +80,33 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             if any(n == "a" for n, _ in stack):
                 linked += len(piece)
 
-    for m in TOKEN.finditer(page):
-        text(page[at:m.start()])
+    tags = list(TOKEN.finditer(page))
+    ends, opened = {}, {}       # where skipped elements end, those that do
+    for k, m in enumerate(tags):
+        name = (m.group(3) or "").lower()
+        if name in SKIPPED and m.group(2):
+            if opened.get(name):
+                ends[opened[name].pop()] = k
+        elif name in SKIPPED and not (name == "svg" and m.group(4).rstrip().endswith("/")):
+            opened.setdefault(name, []).append(k)
+    end, choices = -1, False    # choices: in the options of a select without an end
+    for k, m in enumerate(tags):
+        if k <= end:
+            at = m.end()
+            continue
+        if not choices:
+            text(page[at:m.start()])
         at = m.end()
         name = (m.group(3) or "").lower()
-        if m.group(1) and m.group(1).lower() not in INLINE:
+        if m.group(1):
             flush()
         if not name:
             continue
+        choices = name == "select" and not m.group(2) and k not in ends or choices and name in ("option", "optgroup")
+        if name in SKIPPED or name == "head" or choices:
+            flush()
+            end = ends.get(k, end)
+            continue
         if name not in INLINE:
             flush()
         if m.group(2):
@@ -100,7 +122,8 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if name not in VOID and not m.group(4).rstrip().endswith("/"):
             marks = " ".join(v.strip("\"'").lower() for _, v in ATTR.findall(m.group(4))) if "=" in m.group(4) else ""
             stack.append((name, f"{name} {marks}".strip()))
-    text(page[at:])
+    if not choices:
+        text(page[at:])
     flush()
     return out
 

@@ -317,6 +317,19 @@ def test_toxicity_channel_reads_runs_and_doubles(spark):
     assert many.words("1|" * 9 + "gz") == {"il" * 9 + "gz"}
 
 
+def test_html_blocks_without_end_tags():
+    def texts(page):
+        return [t for t, _, _ in html_text.blocks(page)]
+
+    assert texts("<html><head><title>t</title><body><article><p>Main text.</p></article>") == ["Main text."]
+    assert texts("<head><meta charset=x><p>one<p>two") == ["one", "two"]
+    assert texts('<p>one</p><svg width="1"/><p>two</p>') == ["one", "two"]
+    assert texts("<p>one</p><svg><g><p>two</p><svg><svg><text>x</text></svg>y</svg><p>three") == ["one", "two", "three"]
+    assert texts("<p>one</p><select><option>a<option>b<p>two</p><select><option>c</select><p>three") == ["one", "two", "three"]
+    assert texts("<noscript><p>one</p><template>x</template><title-bar>two</title-bar><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one</p><script>x<p>two") == texts("<p>one</p><title>x<p>two") == texts("<p>one</p><!-- x<p>two") == ["one"]
+
+
 def test_pipeline_near_dedup_tells_rows_by_text(spark):
     import corpus_pipeline as P
 
