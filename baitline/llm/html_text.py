@@ -8,7 +8,7 @@ and ids, hashed), its words (hashed), and its length, links and stops. A numpy
 bidirectional LSTM reads a page's whole sequence of blocks and labels each one
 main text or not.
 
-The labeller is trained for the table at hand on ``SAMPLE`` pages, by a hash of
+The labeller is trained for the table at hand on ``SAMPLE`` distinct pages, by a hash of
 the html (the documented bound of its sample). Labels of these come from their
 mark-up: what is in an article or main element and not in an element or class of
 page furniture is main text; a page without such elements teaches by paragraphs
@@ -288,11 +288,17 @@ def padded(pages):
     return x, mask, want
 
 
+def sampled(pages: DataFrame) -> list[str]:
+    """Distinct pages, those of the least hashes."""
+    rows = pages.select(F.col("html").cast("string").alias("html")).where("html is not null and html <> ''")
+    least = [r["h"] for r in rows.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(SAMPLE).collect()]
+    own = rows.where(F.xxhash64("html").isin(least)).dropDuplicates(["html"])
+    return [r["html"] for r in own.orderBy(F.xxhash64("html"), "html").limit(SAMPLE).collect()]
+
+
 def learned(pages: DataFrame) -> Labeller | None:
     """Trained on the driver, on a sample that does not grow with the table."""
-    rows = pages.select(F.col("html").cast("string").alias("html")).where("html is not null and html <> ''")
-    sample = [r["html"] for r in rows.orderBy(F.xxhash64("html"), "html").limit(SAMPLE).collect()]
-    found = [b for b in map(blocks, sample) if b]
+    found = [b for b in map(blocks, sampled(pages)) if b]
     if not found:
         return None
     model = Labeller()

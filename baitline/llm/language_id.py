@@ -8,9 +8,9 @@ fp = (share of set bits) ** 2; the largest decides, and its share of the sum is
 the score.
 
 Learning reads labelled rows whose crc32(doc_id as text) mod 4 is not 2, of each
-language about ``SAMPLE`` rows by a hash of the text (a documented bound for the
-classifier's sample). A gram belongs to the languages in which it is at least a
-third as frequent as in its strongest one, and at least one in ``RARE``.
+language about ``SAMPLE`` distinct texts by a hash of the text (a documented bound
+for the classifier's sample). A gram, however rare, belongs to the languages in
+which it is at least a third as frequent as in its strongest one.
 
 Nulls: a text that is null or has no letter is ``und`` with score 0, as is every
 text if no language was learned. A null doc_id is not held out and not learned
@@ -25,9 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from baitline.session import materialize
+
 SAMPLE = 4000
-RARE = 100_000
-SLOTS = 20              # 2 ** 20 slots
+SLOTS, MOST_SLOTS = 20, 22      # 2 ** 20 slots, more for many grams
 FOLDS, HELD = 4, 2
 CHUNK = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -74,25 +75,28 @@ def grams(x: np.ndarray) -> np.ndarray:
     return (g ^ (g >> np.uint64(29))) * _M
 
 
-def slots(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return ((g >> np.uint64(64 - SLOTS)).astype(np.int64),
-            ((g * _M2) >> np.uint64(64 - SLOTS)).astype(np.int64))
+def slots(g: np.ndarray, bits: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    return ((g >> np.uint64(64 - bits)).astype(np.int64),
+            ((g * _M2) >> np.uint64(64 - bits)).astype(np.int64))
 
 
 class Filter:
     """The learned languages and their bit-sliced filter; 64 languages a layer.
-    Its size is that of the slots, whatever was learned."""
+    Its size is that of the slots, 2 ** bits, whatever was learned."""
 
-    def __init__(self, langs: list[str], found: dict[int, np.ndarray]):
-        self.langs = langs
-        self.layers = np.zeros(((len(langs) + 63) // 64, 1 << SLOTS), np.uint64)
+    def __init__(self, langs: list[str], found: dict[int, np.ndarray], bits: int = SLOTS):
+        self.langs, self.bits = langs, bits
+        self.layers = np.zeros(((len(langs) + 63) // 64, 1 << bits), np.uint64)
         for i, g in found.items():
             bit = np.uint64(1 << (i % 64))
-            for s in slots(g):
+            for s in slots(g, bits):
                 self.layers[i // 64][s] |= bit
-        n = 1 << SLOTS
+        self.measure()
+
+    def measure(self):
+        n = 1 << self.bits
         self.fp = np.array([float(((self.layers[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).sum() / n) ** 2
-                            for i in range(len(langs))])
+                            for i in range(len(self.langs))])
 
     def predict(self, text) -> tuple[str, float]:
         if not isinstance(text, str) or not self.langs:
@@ -105,7 +109,7 @@ class Filter:
             g = grams(x[at:at + CHUNK + 3])
             if at + CHUNK < len(x):                 # 3-grams that the next chunk holds too
                 g = np.r_[g[:CHUNK], g[len(x[at:at + CHUNK + 3]) - 2:]]
-            a, b = slots(g)
+            a, b = slots(g, self.bits)
             n += len(g)
             for layer in range(len(self.layers)):
                 mask = self.layers[layer][a] & self.layers[layer][b]
@@ -130,13 +134,14 @@ def held_out(folds: int, held: int):
 def learn(docs: DataFrame) -> Filter:
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(FOLDS, HELD))
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = sorted(((r["n"], r["lang"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()),
+    texts = F.count_distinct(F.xxhash64("text")).alias("texts")
+    counts = sorted(((r["n"], r["lang"], r["texts"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), texts).collect()),
                     key=lambda x: (-x[0], x[1]))
-    langs = [x for _, x in counts]
+    langs = [x for _, x, _ in counts]
     if not langs:
         return Filter([], {})
-    share = F.create_map(*[F.lit(v) for n, x in counts for v in (x, min(1.0, SAMPLE / n))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    share = F.create_map(*[F.lit(v) for _, x, n in counts for v in (x, min(1.0, SAMPLE / n))])
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).dropDuplicates(["lang", "text"])
 
     def counted(frames):
         for pdf in frames:
@@ -145,13 +150,30 @@ def learn(docs: DataFrame) -> Filter:
                 yield pd.DataFrame({"lang": lang, "gram": g.view(np.int64), "n": n})
 
     found = sample.mapInPandas(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = materialize(found, "grams")
     total = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     size = F.create_map(*[F.lit(v) for x in langs for v in (x, float(max(total.get(x, 0), 1)))])
-    rate = found.withColumn("rate", F.col("n") / size[F.col("lang")]).where(F.col("rate") >= 1 / RARE)
+    rate = found.withColumn("rate", F.col("n") / size[F.col("lang")])
     most = rate.groupBy("gram").agg(F.max("rate").alias("most"))
-    # at most RARE grams a language pass: their rates sum to 1
-    taken = rate.join(most, "gram").where("rate * 3 >= most").select("lang", "gram").toPandas()
-    return Filter(langs, {langs.index(x): own.gram.to_numpy().view(np.uint64) for x, own in taken.groupby("lang")})
+    taken = materialize(rate.join(most, "gram").where("rate * 3 >= most").select("lang", "gram"), "grams")
+    largest = max([r["n"] for r in taken.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()], default=1)
+    bits = min(MOST_SLOTS, max(SLOTS, (8 * largest - 1).bit_length()))      # a quarter full at most, up to MOST_SLOTS
+    place = {x: i for i, x in enumerate(langs)}
+
+    def marked(frames):
+        for pdf in frames:
+            for lang, own in pdf.groupby("lang"):
+                i = place[lang]
+                slot = np.unique(np.concatenate(slots(own.gram.to_numpy().view(np.uint64), bits)))
+                yield pd.DataFrame({"layer": np.int32(i // 64), "slot": slot, "mask": np.uint64(1 << (i % 64)).astype(np.int64)})
+
+    # the filter's slots, not the grams, come to the driver: its size is bounded
+    model = Filter(langs, {}, bits)
+    set_ = (taken.mapInPandas(marked, "layer int, slot long, mask long").groupBy("layer", "slot")
+            .agg(F.bit_or("mask").alias("mask")).toPandas())
+    model.layers[set_["layer"].to_numpy(), set_["slot"].to_numpy()] = set_["mask"].to_numpy().view(np.uint64)
+    model.measure()
+    return model
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -339,3 +339,16 @@ def test_pipeline_near_dedup_tells_rows_by_text(spark):
     got = P.near_dedup(spark, documents(spark, [(i, t, "en", "s") for i, t in rows]), "").collect()
     # of 5, the copy of 1 goes and the other stays; of 7, the copy of 5 goes; of those without an id, the copy of 1
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(1, a), (5, b), (7, c), (0, d), (8, "")])
+
+
+def test_language_id_rare_grams_and_distinct_samples(spark):
+    """A script with more than 100,000 distinct grams keeps them; samples hold no copies."""
+    rnd = random.Random(4)
+    zh = ["".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(400)) for _ in range(300)]
+    rows = [(i, t, "zh", "s") for i, t in enumerate(zh)] + [(1000 + i, "the plain words of %d" % i, "en", "s") for i in range(900)]
+    model = language_id.learn(documents(spark, rows))
+    assert model.langs == ["en", "zh"]
+    assert np.mean([model.predict(t[100:106])[0] == "zh" for t in zh]) >= 0.65        # three quarters are learned from
+    pages = [(i, "u", "<p>one page</p>") for i in range(400)] + [(i, "u", "<p>page %d</p>" % i) for i in range(400, 450)]
+    got = html_text.sampled(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert len(got) == len(set(got)) == 51
