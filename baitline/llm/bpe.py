@@ -18,8 +18,11 @@ input row gives one output row. Other columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -50,8 +53,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def load(path: str):
     """The tokenizer, its added tokens as a pattern, and the ids of those. One
     copy a Python worker."""
-    import json
-
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
@@ -61,12 +62,12 @@ def load(path: str):
     return t, pattern, added
 
 
-@functools.lru_cache(maxsize=2)
-def pieces(path: str) -> np.ndarray:
+def pieces(path: str) -> list[str]:
     """The id-to-piece table."""
-    t = load(path)[0]
-    vocab = t.get_vocab(with_added_tokens=True)
-    out = np.full(max(vocab.values()) + 1, "", object)
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    vocab = file["model"]["vocab"] | {t["content"]: t["id"] for t in file["added_tokens"]}
+    out = [""] * (max(vocab.values()) + 1)
     for piece, i in vocab.items():
         out[i] = piece
     return out
@@ -100,8 +101,11 @@ def encode_word(word: str, path: str) -> np.ndarray:
 def _numbered(texts, path):
     """Distinct words of a block in order of first use, and for each text the
     numbers of its words."""
-    number: dict[str, int] = {}
-    rows = [[number.setdefault(w, len(number)) for w in words(x, path)] if isinstance(x, str) else [] for x in texts]
+    number: dict[str, int] = defaultdict(itertools.count().__next__)
+    rows = []
+    for x in texts:
+        own = words(x, path) if isinstance(x, str) else []
+        rows.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
     return number, rows
 
 
@@ -115,7 +119,7 @@ def _by_bucket(number: dict[str, int], n_buckets: int) -> dict[int, list[str]]:
 def encode(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, ids array<int>, *carry) of whole texts."""
     path = path or tokenizer_path()
-    blocks, n = B.blocked(docs, carry, 2 * B.BLOCK_BYTES)
+    blocks, n = B.blocked(docs, carry)
 
     def ask(pdf):
         number, _ = _numbered(pdf.text, path)
@@ -148,7 +152,6 @@ def encode(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ()
         flat = np.concatenate(flat).astype(np.int32) if flat else np.empty(0, np.int32)
         ids = []
         for r in rows:
-            r = np.array(r, np.int64)
             m = size[r]
             ids.append(flat[np.repeat(start[r] - (np.cumsum(m) - m), m) + np.arange(m.sum())])
         out = pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "ids": ids})
@@ -166,12 +169,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     Null ids give a null text."""
     path = path or tokenizer_path()
 
-    @F.pandas_udf("string")
-    def joined(ids: pd.Series) -> pd.Series:
-        table = pieces(path)
-        return ids.map(lambda x: None if x is None else " ".join(table[np.asarray(x, np.int64)]))
-
-    return encoded.withColumn("text", joined("ids"))
+    # a constant of the plan, of the vocabulary's size, so ids meet pieces without a Python worker or a shuffle
+    table = F.from_json(F.lit(json.dumps(pieces(path), ensure_ascii=True)), "array<string>")
+    return encoded.withColumn("text", F.array_join(F.transform("ids", lambda i: F.get(table, i)), " "))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,8 @@ def language_id(docs: DataFrame) -> DataFrame:
     def predicted(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([share.value.predict(t) for t in text], columns=["lang", "score"])
 
+    # else a filter on lang_pred is pushed below the projection, and every text is read twice
+    predicted = predicted.asNondeterministic()
     return (docs.withColumn("held_out", held_out(FOLDS, HELD)).withColumn("_p", predicted(F.col("text").cast("string")))
             .withColumn("lang_pred", F.col("_p.lang")).withColumn("score", F.col("_p.score")).drop("_p"))
 

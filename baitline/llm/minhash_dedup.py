@@ -37,7 +37,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType
+from pyspark.sql.types import IntegerType
 
 from baitline.llm import words as Wd
 from baitline.llm.components import components
@@ -102,22 +102,12 @@ def _lists(frames):
         yield pd.DataFrame({"list": key.ravel().view(np.int64), "cid": np.repeat(pdf.cid.to_numpy(), posted)})
 
 
-def _grams(frames):
-    """(cid, list): a row for each shingle of a class."""
-    for pdf in frames:
-        sets = [np.frombuffer(x, np.int64) for x in pdf.s]
-        for at in range(0, len(sets), 64):
-            part = sets[at:at + 64]
-            yield pd.DataFrame({"cid": np.repeat(pdf.cid.to_numpy()[at:at + 64], [len(x) for x in part]),
-                                "list": np.concatenate(part)})
-
-
 def _rare_lists(long: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(list, cid, root, rest): the classes of long lists under the shingles
     of their prefixes; rest: how many of a class's shingles come from there on.
     Shingles of one member only come first in the order and are not posted."""
     who = materialize(long.select("cid", "root").distinct(), "long")
-    grams = materialize(_full_sets(who.select("cid"), classes, docs).mapInPandas(_grams, "cid long, list long"), "grams")
+    grams = materialize(_full_sets(who.select("cid"), classes, docs).select("cid", F.explode("s").alias("list")), "grams")
     held = materialize(grams.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "held")
     shared = (grams.join(held, "list").groupBy("cid")
               .agg(F.sort_array(F.collect_list(F.struct("n", "list"))).alias("g")))
@@ -145,14 +135,8 @@ def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
 
-@F.pandas_udf(BooleanType())
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x, y):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= PERCENT * (len(x) + len(y) - both)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+# else the filter on it is pushed below the projection, and every pair is compared twice
+_agreeing = _agreeing.asNondeterministic()
 
 
 def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -178,11 +162,11 @@ def _full_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
         for pdf in frames:
             s = [shingle_set(t) for t in pdf.text]
             own = [_digest(x) == bytes(d) for x, d in zip(s, pdf.digest)]
-            yield pd.DataFrame({"cid": pdf.cid[own], "s": [x.tobytes() for x, o in zip(s, own) if o]})
+            yield pd.DataFrame({"cid": pdf.cid[own], "s": [x.view(np.int64) for x, o in zip(s, own) if o]})
 
     rows = _rows(docs)
     got = (rows.join(there, (rows["key"] == there["key"]) & rows["doc_id"].eqNullSafe(there["doc_id"])).select("cid", "digest", "text")
-           .mapInPandas(sets, "cid long, s binary"))
+           .mapInPandas(sets, "cid long, s array<long>"))
     return materialize(got.groupBy("cid").agg(F.first("s").alias("s")), "sets")
 
 
@@ -192,7 +176,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     asked = pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))).distinct()
     got = _full_sets(asked, classes, docs)
     j = pairs.join(got.toDF("u", "a"), "u").join(got.toDF("v", "b"), "v")
-    return j.where(_near("a", "b")).select("u", "v")
+    # compared a row at a time, without batches of sets
+    both = F.size(F.array_intersect("a", "b"))
+    return j.where(both * (100 + PERCENT) >= PERCENT * (F.size("a") + F.size("b"))).select("u", "v")
 
 
 def linked(docs: DataFrame) -> DataFrame:

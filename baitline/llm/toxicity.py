@@ -38,7 +38,6 @@ from baitline.session import materialize
 
 FOLDS, HELD = 3, 1
 SAMPLE = 20_000
-LEXICON = 20_000        # strongest words kept
 EVIDENCE = 20.0         # least likelihood ratio statistic of a kept word
 # Letters that digits and signs stand for.
 STANDS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -262,17 +261,27 @@ class Channel:
         return out
 
 
-def lexicon(rows: DataFrame, channel: Channel) -> tuple[float, dict[str, float]]:
+def labelled_sample(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(text, toxic) of a sample of the distinct labelled texts, and how many
+    distinct texts have each label. Labels meet hashes of texts only; then the
+    texts of the sample, at most about SAMPLE a label, are fetched by doc_id and
+    hash."""
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("key")).join(marks, "doc_id")
+    texts = materialize(hashed.groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id")), "labelled-texts")
+    n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / n.get(1, 1))).otherwise(min(1.0, SAMPLE / n.get(0, 1)))
+    # SAMPLE rows a label, two numbers a row: small whatever the table
+    drawn = F.broadcast(texts.where(F.pmod("key", F.lit(1 << 30)) < share * (1 << 30)))
+    sample = rows.withColumn("key", F.xxhash64("text")).join(drawn, ["doc_id", "key"]).select("text", "toxic")
+    return materialize(sample.dropDuplicates(["text", "toxic"]), "toxicity-sample"), n
+
+
+def lexicon(sample: DataFrame, n: dict[int, int], channel: Channel) -> tuple[float, dict[str, float]]:
     """Prior log odds and the weight of each kept word, from (text, toxic).
     All counts are of distinct texts, so copies weigh nothing."""
-    key = F.xxhash64("text")
-    n = {r["toxic"]: r["n"] for r in rows.select("toxic", key.alias("k")).distinct().groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return -math.inf, {}
-    share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / n1)).otherwise(min(1.0, SAMPLE / n0))
-    sample = rows.where(F.pmod(key, F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["text", "toxic"])
-    sample = materialize(sample, "toxicity-sample")
 
     def counted(frames):
         for pdf in frames:
@@ -295,7 +304,7 @@ def lexicon(rows: DataFrame, channel: Channel) -> tuple[float, dict[str, float]]
     g = 2 * (F.col("t") * F.log(F.col("t") / (both * p1))
              + F.when(F.col("f") > 0, F.col("f") * F.log(F.col("f") / (both * (1 - p1)))).otherwise(0.0))
     rows_ = (found.where((F.col("t") > 0) & (F.col("t") > both * p1)).withColumn("g", g).where(F.col("g") >= EVIDENCE)
-             .orderBy(F.col("g").desc(), "word").limit(LEXICON).collect())
+             .orderBy(F.col("g").desc(), "word").collect())     # words of the sample, which is bounded
     words, f = [r["word"] for r in rows_], np.array([r["f"] for r in rows_], float)
     if not words:
         return math.log(n1 / n0), {}
@@ -336,10 +345,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id", "toxic"]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(FOLDS, HELD)).join(marks, "doc_id")
-    plain = Channel(model, set())
-    prior, weights = lexicon(train.select("text", "toxic"), plain)
-    # words known: those of the lexicon, at most LEXICON
+    train = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(FOLDS, HELD))
+    prior, weights = lexicon(*labelled_sample(train, marks), Channel(model, set()))
     share = docs.sparkSession.sparkContext.broadcast((model, prior, weights))
 
     def scored(frames):
