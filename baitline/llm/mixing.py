@@ -115,17 +115,24 @@ def slots(sources: DataFrame) -> DataFrame:
     # a slot reaches at least slot * BLOCK - BLOCK words, so later chunks of a partial epoch are not needed
     last = F.floor((F.col("words") + 2 * BLOCK) / CHUNK / BLOCK)
     t = t.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("first", F.col("chunk") * CHUNK)
-    t = t.where(F.col("first") * BLOCK < F.col("source_size")).repartition("sid", "epoch", "chunk")
+    # a number, else the few bytes of the chunks are coalesced into one task
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = t.where(F.col("first") * BLOCK < F.col("source_size")).repartition(tasks, "sid", "epoch", "chunk")
     return t.select("sid", "name", "source_size", "epoch", "words", "shards", "first").mapInPandas(
         _draw, "sid long, epoch int, shard int, slot long, block long, take long")
 
 
-def placed(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Documents with their place in the words of their source, and the table
-    of sources. uid: (sid, bucket, nth)."""
+def _tie():
+    """Tells rows of one doc_id apart; rows equal in both are the same document twice."""
+    return F.xxhash64(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents, without their texts, with their place in the words of their
+    source, and the table of sources. uid: (sid, bucket, nth)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                    size.alias("size"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(BUCKETS)).alias("bucket"), *carry)
+                    size.alias("size"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(BUCKETS)).alias("bucket"), _tie().alias("tie"))
     d = materialize(d, "mix-docs")
     shares = d.groupBy("source", "bucket").agg(F.sum("size").alias("share"))
     sources = materialize(targets(shares.groupBy("source").agg(F.sum("share").alias("source_size"))), "mix-sources")
@@ -133,7 +140,7 @@ def placed(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, Dat
     shares = shares.withColumn("base", F.sum("share").over(in_source) - F.col("share"))
     shares = shares.alias("a").join(sources.alias("s"), F.col("a.source").eqNullSafe(F.col("s.source"))).select(
         F.col("a.source").alias("_s"), F.col("a.bucket").alias("_b"), "base", "sid", "source_size", "target")
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", *carry)
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "tie")
     d = (d.withColumn("nth", F.row_number().over(in_bucket))
          .withColumn("_off", F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")))
     d = d.join(shares, d["source"].eqNullSafe(F.col("_s")) & (d["bucket"] == F.col("_b")))
@@ -166,12 +173,16 @@ def mixed(docs: DataFrame) -> DataFrame:
     row for each document and epoch that takes words of it. An epoch that takes
     them all keeps the text as it is; else the taken words, in their order,
     joined by one space."""
-    d, sources = placed(docs, ("text", "lang"))
+    d, sources = placed(docs)
     uid = ["sid", "bucket", "nth"]
     # one row a document and epoch; its pieces are bounded by the document's own length
     parts = (taken_pieces(d, sources).groupBy(*uid, "epoch")
              .agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("parts"), F.sum(F.col("b") - F.col("a")).alias("n")))
-    j = d.select(*uid, "doc_id", "text", "lang", "source", "size").join(parts, uid)
+    parts = d.select(*uid, F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "size").join(parts, uid).drop(*uid)
+    # texts move once, to their pieces
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tie().alias("tie"), F.col("text").cast("string").alias("text"),
+                        "lang", F.col("source").cast("string").alias("source")).dropDuplicates(["doc_id", "tie"])
+    j = texts.join(parts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t")))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("w", p["a"].cast("int") + 1, (p["b"] - p["a"]).cast("int")))), " ")
     j = j.withColumn("w", F.when(F.col("n") < F.col("size"), words)).withColumn("text", F.when(F.col("n") < F.col("size"), some).otherwise(F.col("text")))
