@@ -18,6 +18,7 @@ from ..functions.similarity import (_bleu_from, bigrams, count_stats, f1_from_co
                                     rouge_words)
 from ..functions.text import SENTENCE_SEP, words
 from .filters import non_empty_text
+from .vectors import supplied_cosine, word_vector_cosine
 
 # Fixed values of the built-in headline generator.
 HEADLINE_MIN_TOKENS = 5
@@ -186,9 +187,28 @@ def valid_pairs(df: DataFrame, key: str = "row_id", score: str = "Score", real:
 
 
 def evaluate_pairs(df: DataFrame, key: str = "row_id", score: str = "Score", real: str = "Title",
-                   gen: str = "gen_title", body: str = "Body") -> DataFrame:
-    """M6: evaluation rows (reference column names) for valid pairs."""
-    return with_text_metrics(valid_pairs(df, key, score, real, gen, body), key)
+                   gen: str = "gen_title", body: str = "Body", word_vectors: DataFrame | None = None,
+                   dim: int | None = None, embeddings: DataFrame | None = None) -> DataFrame:
+    """M6: evaluation rows (reference column names) for valid pairs.
+
+    ``word_vectors`` (token, vector of ``dim``) gives the word-vector similarity
+    in place of the token-count one, and ``embeddings`` (key, real_vector,
+    gen_vector) the sentence similarity in place of the hashed one; rows without
+    vectors get 0 and NULL. Both are joined by key to the valid rows."""
+    return with_vectors(with_text_metrics(valid_pairs(df, key, score, real, gen, body), key), key, word_vectors, dim, embeddings)
+
+
+def with_vectors(ev: DataFrame, key: str, word_vectors: DataFrame | None = None, dim: int | None = None,
+                 embeddings: DataFrame | None = None) -> DataFrame:
+    """Evaluation rows with the similarities that supplied vectors give."""
+    columns = ev.columns
+    if word_vectors is not None:
+        if not dim:
+            raise ValueError("word_vectors need their dimension")
+        ev = ev.drop("cosine_similarity_spacey").join(word_vector_cosine(ev, key, "real_title", "gen_title", word_vectors, dim), key)
+    if embeddings is not None:
+        ev = ev.drop("cosine_similarity_bert_embed").join(supplied_cosine(ev, key, embeddings), key)
+    return ev.select(*columns)
 
 
 def rejected_pairs(df: DataFrame, real: str = "Title", gen: str = "gen_title", body: str = "Body") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import flatten_paragraphs, lead_summary
+from .models import MAX_FAILURE_RATE, with_model
 
 # Canonical column names of a prepared set.
 TITLE, BODY, SCORE, SUMMARY = "Title", "Body", "Score", "Summary"
@@ -41,13 +42,15 @@ def align_by_position(articles: DataFrame, truth: DataFrame, pos: str = "file_ro
 def prepare_articles(articles: DataFrame, truth: DataFrame, key: str = "id",
                      by_position: bool = False,
                      summarizer: Callable[[Column], Column] | None = lead_summary,
-                     mini: int | None = None) -> DataFrame:
+                     mini: int | None = None, model: Callable | None = None, max_failure_rate: float = MAX_FAILURE_RATE) -> DataFrame:
     """Prepared set ``row_id, Title, Body, Summary, Score``.
 
     ``by_position`` aligns by file position (J1, opt-in) instead of by key.
     ``summarizer`` maps the body column to a summary column (built-in lead
-    summary by default; a plug-in model goes through
-    :func:`baitline.operators.scorers.apply_text_model` first). ``mini`` keeps
+    summary by default). ``model`` is the factory of a summariser instead (see
+    :mod:`baitline.operators.models`): it runs at once, on the complete rows only;
+    rows it fails on are dropped, and above ``max_failure_rate`` of them
+    ``ModelFailureError`` is raised. ``mini`` keeps
     only the first ``mini`` articles by their position ``file_row`` (P5; off
     by default), whatever their ids are.
     """
@@ -61,7 +64,9 @@ def prepare_articles(articles: DataFrame, truth: DataFrame, key: str = "id",
     t = truth.select(F.col(rid).alias(ROW_ID), F.col("truthMode").alias(SCORE))
     # both corpora grow: a merge join, whose exchange also spreads the per-row work that follows
     j = a.join(t.hint("merge"), ROW_ID, "inner")
-    if summarizer is not None:
+    if model is not None:
+        j, _ = with_model(j.na.drop("any"), ROW_ID, BODY, model, SUMMARY, max_failure_rate=max_failure_rate)
+    elif summarizer is not None:
         j = j.withColumn(SUMMARY, summarizer(F.col(BODY)))
     else:
         j = j.withColumn(SUMMARY, F.col(BODY))

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import argparse
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..operators import filters, report, split
-from ..operators.evaluate import evaluate_pairs, extractive_headline, valid_pairs, with_text_metrics
+from ..operators.evaluate import evaluate_pairs, extractive_headline, valid_pairs, with_text_metrics, with_vectors
+from ..operators.models import MAX_FAILURE_RATE, with_model
 from ..operators.prepare import prepare_articles
 from ..operators.rowindex import with_key_position
 from ..operators.scorers import fit_classifier, score_headlines
@@ -26,16 +28,16 @@ LAYOUTS = ("packed", "packed_right", "seq2seq")
 
 
 def prepare_job(spark: SparkSession, article_paths: list[str], truth_paths: list[str], out: str,
-                by_position: bool = False, exact: bool = False, mini: int | None = None) -> str:
+                by_position: bool = False, exact: bool = False, mini: int | None = None,
+                summarizer: Callable | None = None, max_failure_rate: float = MAX_FAILURE_RATE) -> str:
     """Corpora -> prepared set with a train/dev/test ``split`` column, written
-    partitioned by split. Keyed alignment by default; ``by_position`` aligns
-    records by their position in the listed files."""
+    partitioned by split. Keyed alignment by default, on ids as they are written;
+    ``by_position`` aligns records by their position in the listed files.
+    ``summarizer`` is a model factory in place of the built-in lead summary; the
+    job fails if it fails on more than ``max_failure_rate`` of the rows."""
     arts = datasets.read_jsonl_union(spark, article_paths, datasets.ARTICLE_SCHEMA, with_position=by_position or mini is not None)
     truth = datasets.read_jsonl_union(spark, truth_paths, datasets.TRUTH_SCHEMA, with_position=by_position)
-    if not by_position:
-        arts = arts.withColumn("id", F.col("id").cast("long"))
-        truth = truth.withColumn("id", F.col("id").cast("long"))
-    p = prepare_articles(arts, truth, by_position=by_position, mini=mini)
+    p = prepare_articles(arts, truth, by_position=by_position, mini=mini, model=summarizer, max_failure_rate=max_failure_rate)
     p = split.split_exact(p, "row_id") if exact else split.split_by_hash(p, "row_id")
     return datasets.write_prepared(p, out)
 
@@ -64,23 +66,40 @@ def encode_job(spark: SparkSession, prepared: str, out: str, layout: str = "pack
 
 
 def evaluate_job(spark: SparkSession, prepared: str, split_name: str, out: str,
-                 wanted: list[float] | None = None, cap: int | None = None,
-                 run: dict | None = None) -> DataFrame:
-    """Headline evaluation of one split: built-in generated headline, per-row
-    metrics written as outputs, five-number report written and returned.
-    ``cap`` keeps the first ``cap`` + 1 valid rows as the reference's loop
-    did; by default every row is evaluated."""
+                 wanted: list[float] | None = None, cap: int | None = None, run: dict | None = None,
+                 generator: Callable | None = None, headlines: DataFrame | None = None,
+                 word_vectors: DataFrame | None = None, dim: int | None = None, embeddings: DataFrame | None = None,
+                 max_failure_rate: float = MAX_FAILURE_RATE) -> DataFrame:
+    """Headline evaluation of one split: per-row metrics written as outputs,
+    five-number report written and returned.
+
+    Headlines are those of ``headlines`` (row_id, gen_title), else of the model
+    factory ``generator``, which may fail on ``max_failure_rate`` of the bodies,
+    else of the built-in generator. A row without a headline is left out, as an
+    empty text is. ``word_vectors`` and ``embeddings`` as in
+    :func:`baitline.operators.evaluate.evaluate_pairs`. ``cap`` keeps the first
+    ``cap`` + 1 valid rows as the reference's loop did; by default every row is
+    evaluated."""
     # each call is a run of its own, so a repeated evaluation never mixes rows
     run = dict(run or {}, run_id=uuid.uuid4().hex, split=filters.resolve_split(split_name),
                wanted_scores=None if wanted is None else ",".join(str(w) for w in wanted))
     p = filters.with_scores(datasets.read_prepared(spark, prepared, split_name), wanted)
+    key = "row_id"
+    if cap is not None:
+        p, key = with_key_position(p, "row_id", "pos"), "pos"
+    if headlines is not None:
+        g = p.join(headlines.select("row_id", "gen_title"), "row_id")
+    elif generator is not None:
+        g, run["model"] = with_model(p, "row_id", "Body", generator, "gen_title", max_failure_rate=max_failure_rate)[0], getattr(generator, "__name__", "model")
+    else:
+        g = extractive_headline(p)
     if cap is not None:
-        g = extractive_headline(with_key_position(p, "row_id", "pos"))
         ev = with_text_metrics(report.eval_cap(valid_pairs(g, key="pos"), "pos", cap), "pos")
-        key = "pos"
+        if embeddings is not None:
+            embeddings = p.select("row_id", "pos").join(embeddings, "row_id").drop("row_id")
+        ev = with_vectors(ev, "pos", word_vectors, dim, embeddings)
     else:
-        ev = evaluate_pairs(extractive_headline(p))
-        key = "row_id"
+        ev = evaluate_pairs(g, word_vectors=word_vectors, dim=dim, embeddings=embeddings)
     # the rows are computed once: written, then read back for the report
     # (only this run's rows; the outputs folder is appended to across runs)
     path = datasets.write_outputs(ev, run, f"{out}/outputs")

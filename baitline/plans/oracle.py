@@ -369,9 +369,46 @@ ORACLE: dict[str, str] = {
                         f"WHERE starts_with(artifact, run || '-') AND NOT suffix(artifact, '.part') GROUP BY run"),
 }
 
+# vectors and models
+WORD_VECTORS = f"""
+wv AS (SELECT token, vector FROM (SELECT DISTINCT unnest({W('text')}) AS token FROM documents) t
+       JOIN (SELECT vec_id % 64 AS bucket, arg_min(embedding, vec_id) AS vector FROM embeddings GROUP BY 1) e
+         ON {HID('token', 64, 0)} = bucket)"""
+
+
+def _word_cosine(pairs: str, real: str, gen: str) -> str:
+    return f"""
+side AS (SELECT row_id, 0 AS s, unnest({W(real)}) AS token FROM {pairs} UNION ALL SELECT row_id, 1 AS s, unnest({W(gen)}) AS token FROM {pairs}),
+mean AS (SELECT row_id, i, coalesce(sum(vector[i]::DOUBLE) FILTER (s = 0), 0) AS a, coalesce(sum(vector[i]::DOUBLE) FILTER (s = 1), 0) AS b
+         FROM side JOIN wv USING (token), unnest(range(1, 65)) AS t(i) GROUP BY row_id, i),
+wc AS (SELECT row_id, sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0) AS c FROM mean GROUP BY row_id)"""
+
+
+_SENTENCE_COS = f"(SELECT a.vec_id AS row_id, {_cos('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+_ROUGE = ", ".join(f"round({c}, 6) AS {c}" for c in METRICS if not c.startswith("cosine"))
+ORACLE["word_vector_similarity"] = (f"WITH {HEADLINE}, {WORD_VECTORS}, {_word_cosine('pairs', 'Title', 'gen_title')} "
+                                    f"SELECT row_id, round(coalesce(c, 0.0), 5) AS cosine FROM pairs LEFT JOIN wc USING (row_id)")
+ORACLE["pair_eval_vectors"] = (f"WITH {EVAL}, {WORD_VECTORS}, {_word_cosine('eval_rows', 'real_title', 'gen_title')} "
+                               f"SELECT row_id, round(score, 6) AS score, gen_title, {_ROUGE}, round(coalesce(wc.c, 0.0), 5) AS cosine_similarity_spacey, "
+                               f"round(s.c, 5) AS cosine_similarity_bert_embed FROM eval_rows LEFT JOIN wc USING (row_id) LEFT JOIN {_SENTENCE_COS} s USING (row_id)")
+_FIRST_500 = W("substring(Body, 1, 500)")
+ORACLE["model_summary"] = f"WITH {PREPARED} SELECT row_id, Title, Body, Summary, round(Score, 6) AS Score FROM prepared WHERE len({_FIRST_500}) >= 5"
+ORACLE["model_failures"] = (f"WITH {PREPARED} SELECT count(*)::BIGINT AS rows, count(CASE WHEN len({_FIRST_500}) < 5 THEN 1 END)::BIGINT AS failed FROM prepared")
+# the model's headline: the body's first tokens
+_LEAD_EVAL = EVAL.replace("FROM pairs", f"FROM (SELECT * EXCLUDE (gen_title), array_to_string({W('Body')}[1:10], ' ') AS gen_title FROM pairs)", 1)
+ORACLE["model_pair_eval"] = (f"WITH {_LEAD_EVAL} SELECT row_id, round(score, 6) AS score, gen_title, {_ROUGE}, "
+                             f"round(cosine_similarity_spacey, 5) AS cosine_similarity_spacey, round(s.c, 5) AS cosine_similarity_bert_embed "
+                             f"FROM eval_rows LEFT JOIN {_SENTENCE_COS} s USING (row_id)")
+ORACLE["model_embedding"] = (f"WITH {ARTICLES} SELECT id AS row_id, md5(array_to_string(list_transform({_emb(W('targetTitle'))}, lambda q0: q0::INTEGER), ',')) AS embedding_md5 "
+                             f"FROM articles")
+
 # what the writers wrote and the readers read back
 ORACLE["prepared_roundtrip"] = (f"WITH {PREPARED} SELECT row_id, Title, round(Score, 6) AS Score FROM prepared "
                                 f"WHERE {_hash_split('row_id')} = 'dev'")
+ORACLE["jsonl_prepared"] = (f"WITH {PREPARED} SELECT row_id::VARCHAR AS row_id, Title, md5(Body) AS body_md5, Summary, round(Score, 6) AS Score "
+                           f"FROM prepared WHERE row_id % 50 <> 0")
+ORACLE["jsonl_rejects"] = ("SELECT doc_id % 3 AS file_ordinal, count(CASE WHEN doc_id % 7 <> 0 THEN 1 END)::BIGINT AS records, "
+                           "count(CASE WHEN doc_id % 7 = 0 THEN 1 END)::BIGINT AS rejected FROM documents GROUP BY 1")
 ORACLE["encoded_roundtrip"] = (f"WITH {IDS_CTE}, p2 AS (SELECT row_id, {DIGEST('seq')} AS seq_md5 FROM packed2) "
                                f"SELECT p2.row_id, seq_md5, round(Score, 6) AS scores FROM p2 JOIN prepared USING (row_id) "
                                f"WHERE {_hash_split('row_id')} = 'test' AND abs(Score) < 0.1")

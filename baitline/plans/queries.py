@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..functions import tokens as tk
-from ..operators import encode, filters, report, rowindex, scorers, split
+from ..operators import encode, filters, models, report, rowindex, scorers, split, vectors
 from ..operators import evaluate as ev_ops
 from ..operators.evaluate import (METRIC_COLUMNS, extractive_headline, pair_token_metrics, valid_pairs,
                                    with_text_metrics)
-from ..operators.prepare import union_by_name
+from ..operators.prepare import prepare_articles, union_by_name
+from ..session import scratch_path
 from ..sources import datasets, fixtures
 from . import headline as hp
 
@@ -200,6 +201,47 @@ def pair_eval(spark: SparkSession, d: str) -> DataFrame:
                     *[_r(c).alias(c) for c in METRIC_COLUMNS])
 
 
+def word_vector_similarity(spark: SparkSession, d: str) -> DataFrame:
+    pairs = hp.headline_pairs(spark, d)
+    w = vectors.word_vector_cosine(pairs, "row_id", "Title", "gen_title", fixtures.word_vectors(spark, d), 64, "cosine")
+    return w.select("row_id", _r("cosine", 5).alias("cosine"))
+
+
+def _vector_eval(e: DataFrame) -> DataFrame:
+    # vectors are float32: 5 places
+    return e.select("row_id", _r("score").alias("score"), "gen_title",
+                    *[_r(c, 5 if c.startswith("cosine") else 6).alias(c) for c in METRIC_COLUMNS])
+
+
+def pair_eval_vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = ev_ops.evaluate_pairs(hp.headline_pairs(spark, d), word_vectors=fixtures.word_vectors(spark, d), dim=64,
+                              embeddings=fixtures.pair_embeddings(spark, d))
+    return _vector_eval(e)
+
+
+# -------------------------------------------------------------- models ----
+
+def model_summary(spark: SparkSession, d: str) -> DataFrame:
+    p = prepare_articles(fixtures.articles(spark, d), fixtures.truth(spark, d), model=models.lead_summarizer)
+    return p.select("row_id", "Title", "Body", "Summary", _r("Score").alias("Score"))
+
+
+def model_failures(spark: SparkSession, d: str) -> DataFrame:
+    got = models.inferred(hp.prepared_set(spark, d), "row_id", "Body", models.lead_summarizer, "Summary")
+    return got.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("failed"), 1)).alias("failed"))
+
+
+def model_pair_eval(spark: SparkSession, d: str) -> DataFrame:
+    g, _ = models.with_model(hp.prepared_set(spark, d), "row_id", "Body", models.lead_generator, "gen_title")
+    return _vector_eval(ev_ops.evaluate_pairs(g, embeddings=fixtures.pair_embeddings(spark, d)))
+
+
+def model_embedding(spark: SparkSession, d: str) -> DataFrame:
+    a = fixtures.articles(spark, d).select(F.col("id").alias("row_id"), "targetTitle")
+    e, _ = models.with_model(a, "row_id", "targetTitle", models.hashing_embedder(64), "embedding", "array<double>")
+    return e.select("row_id", F.md5(F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",")).alias("embedding_md5"))
+
+
 def rejected_pairs(spark: SparkSession, d: str) -> DataFrame:
     return ev_ops.rejected_pairs(hp.headline_pairs(spark, d))
 
@@ -311,6 +353,38 @@ def prepared_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("row_id", "Title", _r("Score").alias("Score"))
 
 
+def jsonl_prepared(spark: SparkSession, d: str) -> DataFrame:
+    """The corpora written as three JSON-lines files each, some lines cut short,
+    read back and prepared."""
+    paths, truths = [], []
+    line = F.to_json(F.struct("id", "targetTitle", "targetParagraphs"))
+    articles = fixtures.articles(spark, d).withColumn("line", F.when(F.col("id") % 50 == 0, F.substr(line, F.lit(1), F.lit(10))).otherwise(line))
+    labels = fixtures.truth(spark, d).withColumn("line", F.to_json(F.struct("id", "truthMode")))
+    for k in range(3):
+        for df, into in ((articles, paths), (labels, truths)):
+            into.append(scratch_path(spark, "jsonl"))
+            df.where(F.col("id") % 3 == k).select("line").write.text(into[-1])
+    p = prepare_articles(datasets.read_jsonl_union(spark, paths, datasets.ARTICLE_SCHEMA),
+                         datasets.read_jsonl_union(spark, truths, datasets.TRUTH_SCHEMA))
+    return p.select("row_id", "Title", F.md5("Body").alias("body_md5"), "Summary", _r("Score").alias("Score"))
+
+
+def jsonl_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a JSON-lines corpus that are no records, by file."""
+    line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("targetTitle")))
+    docs = fixtures.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.substr(line, F.lit(1), F.lit(12))).otherwise(line).alias("line"))
+    paths = [scratch_path(spark, "jsonl") for _ in range(3)]
+    for k, path in enumerate(paths):
+        docs.where(F.col("doc_id") % 3 == k).select("line").write.text(path)
+    rejects = scratch_path(spark, "rejects")
+    good = datasets.read_jsonl_union(spark, paths, datasets.ARTICLE_SCHEMA, rejects=rejects)
+    bad = spark.read.parquet(rejects)
+    counts = good.groupBy("file_ordinal").agg(F.count(F.lit(1)).alias("records")).join(
+        bad.groupBy("file_ordinal").agg(F.count(F.lit(1)).alias("rejected")), "file_ordinal", "full")
+    return counts.select(F.col("file_ordinal").cast("long").alias("file_ordinal"), F.coalesce("records", F.lit(0)).alias("records"),
+                         F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
 def report_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     rep = hp.headline_report(spark, d)
     path = datasets.write_report(rep, run={"model_type": "extractive", "class_loss": False,
@@ -344,6 +418,12 @@ REGISTRY = {
     "bow_cosine": bow_cosine,
     "embedding_cosine": embedding_cosine,
     "pair_eval": pair_eval,
+    "word_vector_similarity": word_vector_similarity,
+    "pair_eval_vectors": pair_eval_vectors,
+    "model_summary": model_summary,
+    "model_failures": model_failures,
+    "model_pair_eval": model_pair_eval,
+    "model_embedding": model_embedding,
     "rejected_pairs": rejected_pairs,
     "metric_report": metric_report,
     "metric_report_by_lang": metric_report_by_lang,
@@ -360,4 +440,6 @@ REGISTRY = {
     "encoded_roundtrip": encoded_roundtrip,
     "prepared_roundtrip": prepared_roundtrip,
     "report_roundtrip": report_roundtrip,
+    "jsonl_prepared": jsonl_prepared,
+    "jsonl_rejects": jsonl_rejects,
 }

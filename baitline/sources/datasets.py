@@ -10,7 +10,7 @@ Default output folders live under the shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StringType,
                                StructField, StructType)
@@ -66,29 +66,39 @@ REPORT_SCHEMA = StructType([
 
 
 def read_jsonl_union(spark: SparkSession, paths: list[str], schema: StructType,
-                     with_position: bool = False, out: str = "file_row") -> DataFrame:
+                     with_position: bool = False, out: str = "file_row",
+                     rejects: str | None = None) -> DataFrame:
     """S1 + U1: several JSON-lines files, union by name, with
     ``file_ordinal`` = index of the file in ``paths`` (a multi-path read does
     not promise file order, the ordinal does).
 
-    ``with_position`` adds ``out`` = the record's position in the
-    concatenation of the files in ``paths`` order (J3): position inside its
-    file from the scan metadata, plus the row count of the earlier files (a
-    table of one row per file)."""
+    A line that is no JSON object of the schema is not a record: it is left out,
+    and with ``rejects`` written there first as (file_ordinal, line). Blank lines
+    are no lines.
+
+    ``with_position`` adds ``out`` = the record's position in the concatenation
+    of the files in ``paths`` order (J3): its position inside its file from the
+    scan metadata, plus the lines of the earlier files, which one aggregate
+    counts and which enter the plan as constants. Bad lines keep their places."""
+    bad = "_bad_line"
+    whole = StructType([*schema.fields, StructField(bad, StringType())])
     frames = []
     for i, p in enumerate(paths):
-        f = spark.read.schema(schema).json(p)
+        # as text, since Spark answers no query of a JSON scan that needs its bad-line column alone, a count for one
+        f = spark.read.text(p).where(F.trim("value") != "")
         if with_position:
             f = with_file_position(f, "_in_file")
-        frames.append(f.withColumn("file_ordinal", F.lit(i)))
+        record = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+        frames.append(f.withColumn("_record", record).select("_record.*", *(["_in_file"] if with_position else []), F.lit(i).alias("file_ordinal")))
     df = union_by_name(frames)
-    if not with_position:
-        return df
-    sizes = df.groupBy("file_ordinal").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.select("file_ordinal", F.coalesce(F.sum("_n").over(
-        Window.orderBy("file_ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (df.join(offs, "file_ordinal").withColumn(out, F.col("_off") + F.col("_in_file"))
-            .drop("_off", "_in_file"))
+    if with_position:
+        # one row a file of the list that the caller gave
+        count = {r["file_ordinal"]: r["n"] for r in df.groupBy("file_ordinal").agg(F.count(F.lit(1)).alias("n")).collect()}
+        before = [sum(count.get(k, 0) for k in range(i)) for i in range(len(paths))]
+        df = union_by_name([f.withColumn(out, F.lit(b).cast("long") + F.col("_in_file")) for f, b in zip(frames, before)]).drop("_in_file")
+    if rejects is not None:
+        df.where(F.col(bad).isNotNull()).select("file_ordinal", F.col(bad).alias("line")).write.mode("overwrite").parquet(rejects)
+    return df.where(F.col(bad).isNull()).drop(bad)
 
 
 def write_prepared(df: DataFrame, path: str | None = None) -> str:
@@ -101,8 +111,11 @@ def write_prepared(df: DataFrame, path: str | None = None) -> str:
 
 
 def read_prepared(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """S2 + S6: read a prepared set (explicit schema), one split if named."""
-    df = spark.read.schema(PREPARED_SCHEMA).parquet(path)
+    """S2 + S6: read a prepared set, one split if named. Columns and types are
+    those of ``PREPARED_SCHEMA``, but for ``row_id``: text ids stay text."""
+    kind = spark.read.parquet(path).schema["row_id"].dataType
+    schema = StructType([StructField("row_id", kind), *PREPARED_SCHEMA.fields[1:]])
+    df = spark.read.schema(schema).parquet(path)
     if split is not None:
         df = df.filter(F.col("split") == resolve_split(split))
     return df

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.similarity import token_hash
+from ..functions.text import words
 from ..operators.rowindex import with_parquet_position
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -97,6 +99,21 @@ def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "id_a", "inner")
 
 
+def word_vectors(spark: SparkSession, sf_dir: str, buckets: int = 64) -> DataFrame:
+    """A word-vector table (token, vector of 64) for the tokens of ``documents``:
+    a token has the vector of least vec_id with vec_id % ``buckets`` = its hash
+    bucket; tokens of a bucket without a vector have none."""
+    t = table(spark, sf_dir, "documents").select(F.explode(words("text")).alias("token")).distinct()
+    e = table(spark, sf_dir, "embeddings").groupBy((F.col("vec_id") % buckets).alias("bucket")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    return t.withColumn("bucket", token_hash("token", buckets)).join(e, "bucket").select("token", "vector")
+
+
+def pair_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence embeddings of pairs (row_id, real_vector, gen_vector): those of
+    vec_id = row_id and of row_id + 1."""
+    return embedding_pairs(spark, sf_dir).select(F.col("id_a").alias("row_id"), F.col("emb_a").alias("real_vector"), F.col("emb_b").alias("gen_vector"))
+
+
 def document_parts(spark: SparkSession, sf_dir: str, n_parts: int = 3) -> list[DataFrame]:
     """The corpus as ``n_parts`` source files, the last lacking ``source``
     (exercises by-name union with missing columns)."""

@@ -150,3 +150,23 @@ def test_scratch_tables_live_under_the_session_checkpoint_dir(spark):
     def bare(u):   # file:/x and file:///x name the same folder
         return u.split(":", 1)[-1].lstrip("/")
     assert df.count() == 5 and bare(df.inputFiles()[0]).startswith(bare(base.rstrip("/")))
+
+
+def test_bad_json_lines_are_rejects_and_keep_their_places(spark, tmpdir_fresh):
+    import json
+    import os
+
+    from baitline.sources import datasets
+
+    paths = []
+    for k in range(2):
+        paths.append(os.path.join(tmpdir_fresh, f"a{k}.jsonl"))
+        with open(paths[-1], "w") as f:
+            for i in range(6):
+                f.write("{\"id\": \"cut\n" if i == 2 else json.dumps({"id": f"{k}-{i}", "targetTitle": "t", "targetParagraphs": ["p"]}) + "\n")
+    rejects = os.path.join(tmpdir_fresh, "rejects")
+    got = datasets.read_jsonl_union(spark, paths, datasets.ARTICLE_SCHEMA, with_position=True, rejects=rejects)
+    assert sorted((r["file_row"], r["id"]) for r in got.collect()) == [(6 * k + i, f"{k}-{i}") for k in range(2) for i in range(6) if i != 2]
+    assert sorted(tuple(r) for r in spark.read.parquet(rejects).select("file_ordinal", "line").collect()) == [(k, "{\"id\": \"cut") for k in range(2)]
+    assert got.count() == 10 and got.where("file_ordinal = 1").count() == 5
+    assert "Join [file_ordinal" not in got._jdf.queryExecution().executedPlan().toString()
