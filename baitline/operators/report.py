@@ -1,16 +1,16 @@
 """Reports (A1-A5, W1, L1-L3, S12, T19).
 
 All aggregates are partial + final hash aggregates. The five-number report
-computes an exact median without holding a group in one task: a quantile
-sketch brackets the median, and only the (value, count) pairs inside the
-bracket are ranked.
+computes exact medians from quantile sketches and counts alone: no value is
+exchanged, ranked or held with its group in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -21,137 +21,166 @@ from .rowindex import running_sum
 METRIC_SUFFIX = "_metrics"
 RATE_NAMES = ("True Postive", "True Negative", "False Negative", "False Positive", "Overall Accuracy")
 SKETCH_ACCURACY = 10_000
-BAND_LIMIT = 1_000_000      # distinct values ranked in one task per group, at most
-REFINE_BINS = 4096
-MAX_REFINE = 8
+PIVOTS = 4
 ACCURACY_EVERY = 100
 ACCURACY_AT = 1
 EVAL_CAP = 200
 TOP_K_RUNS = 3
 
 
-def to_long(df: DataFrame, cols: list[str] | None = None, by: Iterable[str] = (),
-            suffix: str = METRIC_SUFFIX) -> DataFrame:
-    """Numeric columns -> (by..., metric, value) rows."""
+def describe_metrics(df: DataFrame, cols: list[str] | None = None, by: Iterable[str] = (),
+                     accuracy: int = SKETCH_ACCURACY, exact: bool = True) -> DataFrame:
+    """A1 (+P14): one row per (by..., metric) with min, max, median (exact,
+    interpolated), mean and std (population) of the numeric columns; NULL and NaN
+    values are left out, and so is a metric without any other.
+
+    Metrics stay columns: an aggregate combines in each partition and exchanges
+    one row for each partition and group, whatever the number of values. For the
+    exact median each metric has an open interval that holds its middle ranks.
+    A pass takes a quantile sketch of the values inside, whose values around the
+    ranks are pivots; the next counts the values below and up to every pivot. A
+    pivot either is the value of a middle rank, by those counts, or bounds the
+    interval anew, so the loop ends with the exact values; a sketch of
+    ``accuracy`` shrinks the interval about ``accuracy`` / 20 times in a round.
+
+    ``by`` gives the grouped variant (NULL is a group); its intervals, one row a
+    group, join the values by group. ``exact=False`` takes the median from the
+    first sketch alone (one aggregation, rank error at most n / ``accuracy``)."""
     keys = list(by)
     cols = cols or numeric_columns(df, exclude=keys)
-    d = df.select(*keys, *[F.col(c).cast("double").alias(c + suffix) for c in cols])
-    return d.unpivot(keys, [c + suffix for c in cols], "metric", "value")
-
-
-def describe_long(long: DataFrame, keys: list[str], value: str = "value",
-                  accuracy: int = SKETCH_ACCURACY, band_limit: int = BAND_LIMIT,
-                  bins: int = REFINE_BINS, max_refine: int = MAX_REFINE) -> DataFrame:
-    """min, max, median (exact, interpolated), mean, std (population) of
-    ``value`` per ``keys``, without holding a group in one task.
-
-    The median's two middle ranks are bracketed by a quantile sketch; while a
-    group's bracket still holds more than ``band_limit`` distinct values it is
-    cut into ``bins`` equal-width bins (a bounded count per bin) and narrowed
-    to the bins holding the target ranks. The final step ranks the distinct
-    (value, count) pairs inside the bracket, so heavy ties cost one pair.
-    Runs a few small jobs (one per refinement)."""
-    v = F.col(value)
-    band = 3.0 / accuracy
-    # The narrow (keys, value) table feeds every pass. It is written once to
-    # the shared checkpoint folder, so no pass recomputes its (possibly
-    # expensive) lineage and the self-joins below scan files.
-    long = materialize(long.select(*keys, value).filter(v.isNotNull() & ~F.isnan(v)), "report-long")
-    stats = long.groupBy(*keys).agg(
-        F.count(v).alias("_n"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-        F.percentile_approx(v, [max(0.0, 0.5 - band), min(1.0, 0.5 + band)], accuracy).alias("_q"))
-    # bracket per group: [lo, hi] and the 0-based target ranks k1 <= k2
-    state = stats.select(*keys, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"),
-                         F.floor((F.col("_n") - 1) / 2).alias("_k1"), F.floor(F.col("_n") / 2).alias("_k2"),
-                         "min", "max")
-
-    def counts(st: DataFrame) -> DataFrame:
-        # one row per group; AQE broadcasts it when the groups are few (no
-        # forced hint: a per-document ``by`` would make it large)
-        j = long.join(st, keys)
-        inb = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-        return j.groupBy(*keys, "_lo", "_hi", "_k1", "_k2", "min", "max").agg(
-            F.sum(F.when(v < F.col("_lo"), 1).otherwise(0)).alias("_below"),
-            F.sum(F.when(inb, 1).otherwise(0)).alias("_cnt"),
-            F.approx_count_distinct(F.when(inb, v)).alias("_distinct"))
-
-    # small inputs: every group's values are few enough to rank directly
-    small = long.count() <= band_limit
-    for _ in range(0 if small else max_refine + 1):
-        c = materialize(counts(state), "report-band")
-        # the sketch guarantees the bracket; should it ever miss, fall back
-        # to the whole range of the group
-        ok = (F.col("_below") <= F.col("_k1")) & (F.col("_k2") < F.col("_below") + F.col("_cnt"))
-        c = c.select(*keys, F.when(ok, F.col("_lo")).otherwise(F.col("min")).alias("_lo"),
-                     F.when(ok, F.col("_hi")).otherwise(F.col("max")).alias("_hi"),
-                     "_k1", "_k2", "min", "max", "_below", "_cnt", "_distinct", ok.alias("_ok"))
-        big = c.filter((F.col("_distinct") > band_limit) | ~F.col("_ok"))
-        flags = c.agg(F.max(((F.col("_distinct") > band_limit) | ~F.col("_ok")).cast("int")).alias("big"),
-                      F.max((~F.col("_ok")).cast("int")).alias("miss")).first()
-        if not flags["big"]:
-            break
-        if flags["miss"]:
-            state = c.select(*keys, "_lo", "_hi", "_k1", "_k2", "min", "max")
-            continue
-        # equal-width bins over each large bracket; keep the bins of k1..k2
-        width = (F.col("_hi") - F.col("_lo")) / bins
-        j = long.join(big.select(*keys, "_lo", "_hi", "_k1", "_k2", "_below"), keys)
-        b = F.least(F.greatest(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),
-                               F.lit(0)), F.lit(bins - 1))
-        per_bin = (j.filter((v >= F.col("_lo")) & (v <= F.col("_hi")))
-                   .groupBy(*keys, b.alias("_b")).agg(F.count(F.lit(1)).alias("_bc")))
-        wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        cum = per_bin.withColumn("_cum", F.sum("_bc").over(wb)).join(
-            big.select(*keys, "_lo", "_hi", "_k1", "_k2", "_below"), keys)
-        r1 = F.col("_k1") - F.col("_below")
-        r2 = F.col("_k2") - F.col("_below")
-        hit = lambda r: (F.col("_cum") - F.col("_bc") <= r) & (r < F.col("_cum"))
-        sel = cum.groupBy(*keys, "_lo", "_hi").agg(F.min(F.when(hit(r1), F.col("_b"))).alias("_b1"),
-                                                   F.max(F.when(hit(r2), F.col("_b"))).alias("_b2"))
-        eps = (F.col("_hi") - F.col("_lo")) * 1e-9
-        narrowed = sel.select(*keys, (F.col("_lo") + F.col("_b1") * width - eps).alias("_nlo"),
-                              (F.col("_lo") + (F.col("_b2") + 1) * width + eps).alias("_nhi"))
-        state = (c.join(narrowed, keys, "left")
-                 .select(*keys, F.coalesce("_nlo", "_lo").alias("_lo"), F.coalesce("_nhi", "_hi").alias("_hi"),
-                         "_k1", "_k2", "min", "max"))
-    if small:
-        c = stats.select(*keys, F.col("min").alias("_lo"), F.col("max").alias("_hi"),
-                         F.floor((F.col("_n") - 1) / 2).alias("_k1"), F.floor(F.col("_n") / 2).alias("_k2"),
-                         F.lit(0).cast("long").alias("_below"))
-    # exact ranks inside the bracket: distinct (value, count) pairs
-    bounds = c.select(*keys, "_lo", "_hi", "_below")
-    inband = (long.join(bounds, keys)
-              .filter((v >= F.col("_lo")) & (v <= F.col("_hi")))
-              .groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inband.withColumn("_cum", F.sum("_c").over(w)).join(c.select(*keys, "_k1", "_k2", "_below"), keys)
-    k1 = F.col("_k1") - F.col("_below")
-    k2 = F.col("_k2") - F.col("_below")
-    hit = lambda k: (F.col("_cum") - F.col("_c") <= k) & (k < F.col("_cum"))
-    mids = ranked.groupBy(*keys).agg(
-        F.max(F.when(hit(k1), F.col("_v"))).alias("_m1"),
-        F.max(F.when(hit(k2), F.col("_v"))).alias("_m2"))
-    med = (F.col("_m1") + F.col("_m2")) / 2.0
-    return (stats.join(mids, keys, "left")
-            .select(*keys, "min", "max", med.alias("median"), "mean", "std"))
+    ids = list(range(len(cols)))
+    values = df.select(*keys, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"_v{i}") for i, c in enumerate(cols)])
+    stats = [f"{f}(_v{i}) AS {name}{i}" for i in ids for f, name in
+             (("count", "n"), ("min", "min"), ("max", "max"), ("avg", "mean"), ("stddev_pop", "std"))]
+    fixed = [f"{c}{i}" for i in ids for c in ("n", "min", "max", "mean", "std")]
+    if not exact:
+        state = _aggregate(values, keys, stats + [f"percentile_approx(_v{i}, 0.5D, {accuracy}) AS mid{i}" for i in ids])
+        return _report_rows(state, keys, cols, "mid{i}")
+    # every pass reads the narrow values, never their lineage
+    values = materialize(values, "report-values")
+    grid = max(4, accuracy // 5)
+    first = _aggregate(values, keys, stats + [s for i in ids for s in _sketch(i, f"_v{i}", grid, accuracy)])
+    start = {f"{c}{i}": kind for i in ids for c, kind in (("lo", "CAST(NULL AS DOUBLE)"), ("hi", "CAST(NULL AS DOUBLE)"), ("below", "0L"),
+                                                          ("m1_", "CAST(NULL AS DOUBLE)"), ("m2_", "CAST(NULL AS DOUBLE)"))}
+    first = first.selectExpr("*", *[f"{v} AS {c}" for c, v in start.items()])
+    state = _State(keys).settle(first, fixed + list(start), {k: v for i in ids for k, v in _pivots(i, lambda c: c, grid).items()})
+    todo = ids
+    while todo:
+        pairs = [(i, state.ref(f"p{j}_{i}"), j) for i in todo for j in range(PIVOTS)]
+        counts = _aggregate(state.beside(values), keys, [s for i, pivot, j in pairs for s in (
+            f"count_if(_v{i} < {pivot}) AS lt{j}_{i}", f"count_if(_v{i} <= {pivot}) AS le{j}_{i}")])
+        found = {k: v for i in todo for k, v in _found(i, state.ref).items()}
+        counts = state.beside(counts).selectExpr("*", *[f"{v} AS new_{c}" for c, v in found.items()])
+        new = {k: v for i in todo for k, v in _bounds(i, state.ref).items()} | {c: f"new_{c}" for c in found}
+        state = state.settle(counts, [], new)
+        todo = state.unsettled(todo)
+        if todo:
+            sketch = [s for i in todo for s in _sketch(
+                i, f"CASE WHEN coalesce(_v{i} > {state.ref(f'lo{i}')}, true) AND coalesce(_v{i} < {state.ref(f'hi{i}')}, true) THEN _v{i} END",
+                grid, accuracy)]
+            inside = state.beside(_aggregate(state.beside(values), keys, sketch))
+            state = state.settle(inside, [], {k: v for i in todo for k, v in _pivots(i, state.ref, grid).items()})
+    return _report_rows(state.table(df.sparkSession), keys, cols, "(m1_{i} + m2_{i}) / 2D")
+
+
+def _aggregate(df: DataFrame, keys: list[str], exprs: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(e) for e in exprs])
+
+
+def _report_rows(state: DataFrame, keys: list[str], cols: list[str], median: str) -> DataFrame:
+    """One row a group -> one row for each group and metric that has values."""
+    each = ", ".join(f"struct('{c}{METRIC_SUFFIX}' AS metric, min{i} AS min, max{i} AS max, {median.format(i=i)} AS median, "
+                     f"mean{i} AS mean, std{i} AS std, n{i} AS _n)" for i, c in enumerate(cols))
+    return state.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({each}))").where("_n > 0").drop("_n")
+
+
+class _State:
+    """What is known of each group's metrics: constants of the plan where there
+    is but one group, else a written table that joins by group."""
+
+    def __init__(self, keys: list[str], known: dict[str, str] | DataFrame | None = None):
+        self.keys, self.known = keys, {} if known is None else known
+
+    def ref(self, name: str) -> str:
+        return self.known[name] if isinstance(self.known, dict) else name
+
+    def beside(self, df: DataFrame) -> DataFrame:
+        """``df`` with its group's state."""
+        if isinstance(self.known, dict):
+            return df
+        state = self.known.withColumnsRenamed({k: f"_by_{k}" for k in self.keys})
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in self.keys])
+        return df.join(state, same).drop(*[f"_by_{k}" for k in self.keys])
+
+    def settle(self, df: DataFrame, names: list[str], new: dict[str, str]) -> _State:
+        """The state with columns ``names`` of ``df`` and the ``new`` ones, computed once."""
+        new = {c: c for c in names} | new
+        if not self.keys:
+            out = df.selectExpr(*[f"{v} AS {c}" for c, v in new.items()])
+            row = out.first()
+            return _State(self.keys, self.known | {f.name: _literal(row[f.name], f.dataType.simpleString()) for f in out.schema})
+        kept = [] if isinstance(self.known, dict) else [c for c in self.known.columns if c not in new and c not in self.keys]
+        return _State(self.keys, materialize(df.selectExpr(*[f"`{k}`" for k in self.keys], *kept, *[f"{v} AS {c}" for c, v in new.items()]), "report-state"))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        if isinstance(self.known, dict):
+            return spark.range(1).selectExpr(*[f"{v} AS {c}" for c, v in self.known.items()])
+        return self.known
+
+    def unsettled(self, ids: list[int]) -> list[int]:
+        """The metrics of which some group lacks a middle value."""
+        lacks = {i: f"{self.ref(f'n{i}')} > 0 AND ({self.ref(f'm1_{i}')} IS NULL OR {self.ref(f'm2_{i}')} IS NULL)" for i in ids}
+        if isinstance(self.known, dict):
+            return [i for i in ids if self.known[f"n{i}"] != "0L" and any(self.known[f"m{r}_{i}"].startswith("CAST(NULL") for r in (1, 2))]
+        left = self.known.agg(*[F.expr(f"max({sql}) AS u{i}") for i, sql in lacks.items()]).first()
+        return [i for i in ids if left[f"u{i}"]]
+
+
+def _literal(value: float | int | None, kind: str) -> str:
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    return f"{value}L" if isinstance(value, int) else f"double('{value!r}')"
+
+
+def _open_ranks(i: int, m1: str, m2: str, n: str) -> tuple[str, str]:
+    """The least and the greatest 0-based middle rank whose value is not known."""
+    k1, k2 = f"floor(({n} - 1) / 2)", f"floor({n} / 2)"
+    return f"(CASE WHEN {m1} IS NULL THEN {k1} ELSE {k2} END)", f"(CASE WHEN {m2} IS NULL THEN {k2} ELSE {k1} END)"
+
+
+def _sketch(i: int, value: str, grid: int, accuracy: int) -> list[str]:
+    """Number and ``grid`` + 1 quantiles of a metric's values."""
+    # the shares as one literal: a plan holds it many times
+    shares = f"CAST(split('{' '.join(str(j / grid) for j in range(grid + 1))}', ' ') AS ARRAY<DOUBLE>)"
+    return [f"count({value}) AS in{i}", f"percentile_approx({value}, {shares}, {accuracy}) AS q{i}"]
+
+
+def _pivots(i: int, ref: Callable[[str], str], grid: int) -> dict[str, str]:
+    """Sketch values at the open ranks and a little outside them."""
+    ranks = _open_ranks(i, ref(f"m1_{i}"), ref(f"m2_{i}"), ref(f"n{i}"))
+    low, high = (f"least(floor(try_divide(({k} - {ref(f'below{i}')} + 0.5D) * {grid}, in{i})), {grid})" for k in ranks)
+    places = (f"greatest({low} - 2, 0)", low, high, f"least({high} + 2, {grid})")
+    return {f"p{j}_{i}": f"get(q{i}, CAST({place} AS INT))" for j, place in enumerate(places)}
+
+
+def _found(i: int, ref: Callable[[str], str]) -> dict[str, str]:
+    """Middle values that a pivot turned out to be."""
+    n = ref(f"n{i}")
+    return {f"m{r}_{i}": "coalesce(" + ", ".join([ref(f"m{r}_{i}"), *[
+        f"CASE WHEN lt{j}_{i} <= {k} AND {k} < le{j}_{i} THEN {ref(f'p{j}_{i}')} END" for j in range(PIVOTS)]]) + ")"
+        for r, k in ((1, f"floor(({n} - 1) / 2)"), (2, f"floor({n} / 2)"))}
+
+
+def _bounds(i: int, ref: Callable[[str], str]) -> dict[str, str]:
+    """The open interval between the pivots around the middle ranks not found."""
+    low, high = _open_ranks(i, f"new_m1_{i}", f"new_m2_{i}", ref(f"n{i}"))
 
+    def of(f: str, name: str, test: str, value: str) -> str:
+        whens = [f"CASE WHEN {test.format(j=j)} THEN {ref(f'p{j}_{i}') if value == 'p' else f'le{j}_{i}'} END" for j in range(PIVOTS)]
+        return f"{f}({ref(f'{name}{i}')}, {', '.join(whens)})"
 
-def describe_metrics(df: DataFrame, cols: list[str] | None = None, by: Iterable[str] = (),
-                     accuracy: int = SKETCH_ACCURACY, exact: bool = True) -> DataFrame:
-    """A1 (+P14): one row per (by..., metric) with min, max, median, mean, std.
-    ``by`` gives the grouped variant (e.g. per language). ``exact=False``
-    takes the median from the quantile sketch alone (one aggregation, rank
-    error at most n / ``accuracy``)."""
-    keys = list(by)
-    long = to_long(df, cols, keys)
-    if exact:
-        return describe_long(long, keys + ["metric"], "value", accuracy)
-    v = F.col("value")
-    return (long.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, "metric")
-            .agg(F.min(v).alias("min"), F.max(v).alias("max"),
-                 F.percentile_approx(v, 0.5, accuracy).alias("median"),
-                 F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")))
+    return {f"lo{i}": of("greatest", "lo", f"le{{j}}_{i} <= {low}", "p"), f"below{i}": of("greatest", "below", f"le{{j}}_{i} <= {low}", "le"),
+            f"hi{i}": of("least", "hi", f"lt{{j}}_{i} > {high}", "p")}
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred", by: Iterable[str] = ()) -> DataFrame:

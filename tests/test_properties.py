@@ -89,9 +89,9 @@ def test_exact_median_with_refinement_and_ties(spark):
     rows = [("a", 0.0)] * 700 + [("a", float(i) / 7) for i in range(1300)] + \
            [("b", float((i * 37) % 1001)) for i in range(2000)] + [("c", 5.0)]
     df = spark.createDataFrame(rows, "g string, value double")
-    # a tiny sketch accuracy and band limit force the bin refinement to run
+    # a tiny sketch accuracy forces several rounds
     got = {r["g"]: r["median"] for r in
-           report.describe_long(df, ["g"], "value", accuracy=20, band_limit=5, bins=8).collect()}
+           report.describe_metrics(df, ["value"], by=["g"], accuracy=20).collect()}
     for g in ("a", "b", "c"):
         want = statistics.median([v for k, v in rows if k == g])
         assert abs(got[g] - want) < 1e-12, (g, got[g], want)
@@ -147,3 +147,38 @@ def test_pack_layouts_random_lengths(spark):
             assert len(o["f"]["ids"]) == 50 and sum(o["f"]["mask"]) == min(nt, 49) + 1
 
     check()
+
+
+def test_report_medians_on_odd_inputs(spark):
+    import math
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from baitline.operators import report
+
+    cols = {"wide": [(-1.0) ** i * 10.0 ** (i % 600 - 300) for i in range(1201)], "two": [0.0, 1.0] * 600 + [float("nan")],
+            "none": [None] * 1201, "inf": [math.inf, -math.inf, 2.0] + [None] * 1198, "whole": [2 ** 53 - 1 - i for i in range(1201)]}
+    df = spark.createDataFrame(list(zip(range(1201), *cols.values())), "k int, " + ", ".join(f"{c} {'long' if c == 'whole' else 'double'}" for c in cols))
+    df = df.withColumn("g", F.when(F.col("k") % 3 > 0, F.col("k") % 3))
+    for acc in (20, 10_000):
+        got = {r["metric"]: r for r in report.describe_metrics(df.drop("k", "g"), accuracy=acc).collect()}
+        assert set(got) == {c + "_metrics" for c in cols} - {"none_metrics"}
+        for c in ("wide", "two", "inf", "whole"):
+            vals = [v for v in cols[c] if v is not None and not math.isnan(v)]
+            r = got[c + "_metrics"]
+            assert (r["median"], r["min"], r["max"]) == (statistics.median(vals), min(vals), max(vals)), (acc, c)
+    by = {r["g"]: r["median"] for r in report.describe_metrics(df, ["wide"], by=["g"], accuracy=20).collect()}
+    for g in (None, 1, 2):
+        assert by[g] == statistics.median([v for k, v in enumerate(cols["wide"]) if (k % 3 or None) == g])
+    empty = df.where("false")
+    assert report.describe_metrics(empty.drop("k"), ["wide"]).count() == 0
+    assert report.describe_metrics(empty, ["wide"], by=["g"]).count() == 0
+
+
+def test_report_exchanges_no_values(spark):
+    from baitline.operators import report
+
+    df = spark.range(1000).selectExpr("id / 7.0 as value")
+    plan = report.describe_metrics(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

@@ -12,7 +12,7 @@ from baitline.operators import encode, report, rowindex, split
 def test_median_with_hot_value(spark):
     vals = [0.0] * 3000 + [i / 6000 for i in range(6000)]
     df = spark.createDataFrame([("m", v) for v in vals], "metric string, value double")
-    got = report.describe_long(df, ["metric"], "value", band_limit=100, bins=16).first()
+    got = report.describe_metrics(df.drop("metric"), ["value"], accuracy=50).first()
     assert abs(got["median"] - statistics.median(vals)) < 1e-12
     assert abs(got["std"] - statistics.pstdev(vals)) < 1e-9
 
