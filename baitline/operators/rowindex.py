@@ -10,6 +10,8 @@ explicit here, once, with distributed algorithms:
   :func:`with_key_position` builds it on a key column alone and joins back.
 * :func:`with_parquet_position` / :func:`with_file_position` - position of a
   record in its source files, from the scan's own metadata (no sort).
+* :func:`record_at_position` - lookup by position in a dataset's files, through
+  a small index that :func:`write_position_index` makes.
 * :func:`record_at`, :func:`first_record` - lookup by position, top-1.
 * :func:`running_sum` - prefix sum in blocks: per-block totals (one row per
   block), offsets over that small table, then a window partitioned by block.
@@ -17,7 +19,10 @@ explicit here, once, with distributed algorithms:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from posixpath import basename
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -104,6 +109,30 @@ def with_parquet_position(df: DataFrame, out: str = "file_pos") -> DataFrame:
             .drop("_fp", "_ri", "_off"))
 
 
+def write_position_index(spark: SparkSession, path: str, out: str) -> str:
+    """A small index of a Parquet dataset for :func:`record_at_position`: one row
+    a file (file, n, start), files in path order, ``start`` the rows of the earlier
+    files. The count reads no column. Write it anew when files change."""
+    n = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    n.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))).write.mode("overwrite").parquet(out)
+    return out
+
+
+def record_at_position(spark: SparkSession, path: str, index: str, position: int) -> DataFrame:
+    """The record at a 0-based position of a Parquet dataset, in the order of
+    :func:`with_parquet_position`; no row outside it. The index names the one file
+    that is opened, the reader's row number the record: nothing is shuffled."""
+    at = F.lit(position)
+    hit = spark.read.parquet(index).where((F.col("start") <= at) & (at < F.col("start") + F.col("n"))).first()
+    if hit is None:
+        return spark.read.parquet(path).limit(0)
+    file, reader = unquote(hit["file"]), spark.read
+    if basename(file) != basename(path.rstrip("/")):   # a file of a folder, which may have partition columns
+        reader = reader.option("basePath", path)
+    return reader.parquet(file).where(F.col("_metadata.row_index") == position - hit["start"])
+
+
 def record_at(df: DataFrame, index: int, order: list) -> DataFrame:
     """The record at 0-based position ``index`` under ``order``."""
     return with_dense_index(df, order, "_pos").filter(F.col("_pos") == index).drop("_pos")

@@ -3,12 +3,13 @@ prepare a split dataset from JSON-lines corpora, encode it, evaluate
 generated headlines, train the clickbait classifier and evaluate it.
 
 Each job is a composition of the library's operators with one write at the
-end; ``python -m baitline.plans.jobs <stage> ...`` runs them from a shell.
+end; evaluations and training then commit a row to a run manifest. ``python -m baitline.plans.jobs <stage> ...`` runs them from a shell.
 """
 
 from __future__ import annotations
 
 import argparse
+import os
 import uuid
 from collections.abc import Callable
 
@@ -22,7 +23,7 @@ from ..operators.models import MAX_FAILURE_RATE, with_model
 from ..operators.prepare import prepare_articles
 from ..operators.rowindex import with_key_position
 from ..operators.scorers import fit_classifier, score_headlines
-from ..sources import datasets
+from ..sources import datasets, runs
 
 LAYOUTS = ("packed", "packed_right", "seq2seq")
 
@@ -71,7 +72,8 @@ def evaluate_job(spark: SparkSession, prepared: str, split_name: str, out: str,
                  word_vectors: DataFrame | None = None, dim: int | None = None, embeddings: DataFrame | None = None,
                  max_failure_rate: float = MAX_FAILURE_RATE) -> DataFrame:
     """Headline evaluation of one split: per-row metrics written as outputs,
-    five-number report written and returned.
+    five-number report written and returned, the run then committed to
+    ``out``/runs.
 
     Headlines are those of ``headlines`` (row_id, gen_title), else of the model
     factory ``generator``, which may fail on ``max_failure_rate`` of the bodies,
@@ -108,14 +110,26 @@ def evaluate_job(spark: SparkSession, prepared: str, split_name: str, out: str,
         written = written.filter(F.col(k).eqNullSafe(F.lit(None if val is None else str(val)).cast("string")))
     rep = report.describe_metrics(written.select(*[c for c in ev.columns if c != key]))
     datasets.write_report(rep, run, f"{out}/metrics")
+    runs.commit_run(spark, f"{out}/runs", run["run_id"], "evaluate", run.get("model", "built-in"), split=run["split"], rows=written.count())
     return rep
 
 
-def train_classifier_job(spark: SparkSession, prepared: str, out: str, split_name: str = "train") -> str:
+def train_classifier_job(spark: SparkSession, prepared: str, out: str, split_name: str = "train", manifest: str | None = None) -> str:
     """Fit the clickbait classifier on one split (distributed MLlib fit)
-    and save the fitted pipeline to ``out``."""
+    and save the fitted pipeline to ``out``. With ``manifest``, a folder, the run is
+    committed there with its mean log loss on that split; the artifact is the last
+    part of ``out``, and the run its name up to the last dash."""
+    from pyspark.ml.functions import vector_to_array
+
     p = datasets.read_prepared(spark, prepared, split_name)
-    fit_classifier(p, "Title", "Score").write().overwrite().save(out)
+    model = fit_classifier(p, "Title", "Score")
+    model.write().overwrite().save(out)
+    if manifest is not None:
+        right = F.element_at(vector_to_array("probability"), filters.binary_label("Score") + 1)
+        fit = model.transform(p).agg(F.count(F.lit(1)).alias("rows"), F.avg(-F.log(F.greatest(right, F.lit(1e-15)))).alias("loss")).first()
+        artifact = os.path.basename(out.rstrip("/"))
+        runs.commit_run(spark, manifest, uuid.uuid4().hex, "train", artifact.rpartition("-")[0] or artifact, artifact,
+                        filters.resolve_split(split_name), fit["rows"], fit["loss"])
     return out
 
 
@@ -123,7 +137,8 @@ def classify_job(spark: SparkSession, prepared: str, split_name: str, out: str,
                  model: str | None = None) -> DataFrame:
     """Classifier evaluation of one split, with a saved fitted model or the
     built-in cue scorer: confusion rates written and returned, running
-    accuracy alongside."""
+    accuracy alongside, the run then committed to ``out``/runs with the share of
+    wrong predictions as its loss."""
     p = datasets.read_prepared(spark, prepared, split_name)
     if model:
         from pyspark.ml import PipelineModel
@@ -135,12 +150,17 @@ def classify_job(spark: SparkSession, prepared: str, split_name: str, out: str,
         scored = score_headlines(p, "Title")
     pred = scored.select(
         "row_id", filters.binary_label("Score").alias("label"), filters.prediction("prob").alias("pred"))
-    rates = report.rates(report.confusion(pred))
+    counts = report.confusion(pred)
+    rates = report.rates(counts)
     run = {"run_id": uuid.uuid4().hex, "split": filters.resolve_split(split_name), "model_type": "mllib" if model else "cues"}
     datasets.write_report(rates, run, f"{out}/rates")
     pos = with_key_position(pred, "row_id", "pos").withColumn(
         "ok", (F.col("pred") == F.col("label")).cast("int"))
     datasets.write_report(report.running_accuracy(pos, "pos", "ok"), run, f"{out}/running_accuracy")
+    # counts of an empty split are NULL
+    done = counts.selectExpr("coalesce(pp + fn + fp + nn, 0) AS n", "try_divide(fn + fp, pp + fn + fp + nn) AS wrong").first()
+    name = os.path.basename(model.rstrip("/")) if model else "cues"
+    runs.commit_run(spark, f"{out}/runs", run["run_id"], "classify", run["model_type"], name, run["split"], done["n"], done["wrong"])
     return rates
 
 

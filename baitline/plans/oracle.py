@@ -260,6 +260,15 @@ ORACLE: dict[str, str] = {
     "lead_summary": (f"WITH {ARTICLES}, b AS (SELECT id, array_to_string(targetParagraphs, ' ') AS Body FROM articles) "
                      f"SELECT id AS row_id, {_LEAD} AS Summary, length(substring(Body, 1, 500))::BIGINT AS prefix_chars "
                      f"FROM b"),
+    "record_lookup": """WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n_rows, doc_id, text FROM documents)
+        SELECT pos, n_rows, doc_id, md5(text) AS text_md5 FROM d WHERE pos IN (0, n_rows // 2, n_rows - 1)""",
+    "first_record": "SELECT doc_id, n_chars, lang FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1",
+    "mini_prepared": (f"WITH {PREPARED}, first AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM documents) "
+                      f"WHERE p <= 100) SELECT row_id, Title, md5(Body) AS body_md5, round(Score, 6) AS Score FROM prepared "
+                      f"WHERE row_id IN (SELECT doc_id FROM first)"),
+    "job_runs": (f"WITH {PRED}, s AS (SELECT {_hash_split('row_id')} AS split, (CASE WHEN pred = label THEN 1 ELSE 0 END) AS ok FROM pred) "
+                 f"SELECT split, count(*) AS \"rows\", round((count(*) - sum(ok))::DOUBLE / count(*), 6) AS loss, "
+                 f"round(sum(ok)::DOUBLE / count(*), 6) AS accuracy FROM s GROUP BY split"),
     "split_hash": f"SELECT doc_id AS row_id, {_hash_split('doc_id')} AS split FROM documents",
     "split_exact": """WITH h AS (SELECT doc_id AS row_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS hk
                                  FROM documents),

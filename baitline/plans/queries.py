@@ -19,8 +19,9 @@ from ..operators.evaluate import (METRIC_COLUMNS, extractive_headline, pair_toke
                                    with_text_metrics)
 from ..operators.prepare import prepare_articles, union_by_name
 from ..session import scratch_path
-from ..sources import datasets, fixtures
+from ..sources import datasets, fixtures, runs
 from . import headline as hp
+from . import jobs
 
 
 def _r(c, n: int = 6):
@@ -393,6 +394,43 @@ def report_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("model_type", "metric", _r("mean").alias("mean"))
 
 
+def record_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """First, middle and last record of the corpus by position, and its row count."""
+    path = f"{d.rstrip('/')}/documents.parquet"
+    index = rowindex.write_position_index(spark, path, scratch_path(spark, "positions"))
+    n = spark.read.parquet(index).agg(F.sum("n")).first()[0] or 0
+    found = [rowindex.record_at_position(spark, path, index, p).select(
+        F.lit(p).cast("bigint").alias("pos"), F.lit(n).cast("bigint").alias("n_rows"), "doc_id", F.md5("text").alias("text_md5"))
+        for p in sorted({0, n // 2, max(n - 1, 0)})]
+    return union_by_name(found)
+
+
+def first_record(spark: SparkSession, d: str) -> DataFrame:
+    """The longest document (ties: the smallest id)."""
+    docs = fixtures.table(spark, d, "documents").select("doc_id", "n_chars", "lang")
+    return rowindex.first_record(docs, [F.col("n_chars").desc(), F.col("doc_id")])
+
+
+def mini_prepared(spark: SparkSession, d: str) -> DataFrame:
+    """The prepared set of the first 100 articles of the corpus."""
+    p = prepare_articles(fixtures.articles(spark, d, with_file_row=True), fixtures.truth(spark, d), mini=100)
+    return p.select("row_id", "Title", F.md5("Body").alias("body_md5"), _r("Score").alias("Score"))
+
+
+def job_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The classify job on each split, and the runs that it committed; rows of a
+    run without a commit stay unseen."""
+    prepared = datasets.write_prepared(split.split_by_hash(hp.prepared_set(spark, d), "row_id"))
+    out = scratch_path(spark, "classified")
+    for name in split.SPLITS:
+        jobs.classify_job(spark, prepared, name, out)
+    aborted = spark.read.json(f"{out}/rates").withColumn("run_id", F.lit("aborted"))
+    aborted.write.mode("append").json(f"{out}/rates")
+    done = runs.read_runs(spark, f"{out}/runs", "classify")
+    rates = runs.committed(datasets.read_rates(spark, f"{out}/rates"), done).select("run_id", F.col("Overall Accuracy").alias("accuracy"))
+    return done.join(rates, "run_id").select("split", "rows", _r("loss").alias("loss"), _r("accuracy").alias("accuracy"))
+
+
 REGISTRY = {
     "prepare_by_key": prepare_by_key,
     "prepare_by_position": prepare_by_position,
@@ -442,4 +480,8 @@ REGISTRY = {
     "report_roundtrip": report_roundtrip,
     "jsonl_prepared": jsonl_prepared,
     "jsonl_rejects": jsonl_rejects,
+    "record_lookup": record_lookup,
+    "first_record": first_record,
+    "mini_prepared": mini_prepared,
+    "job_runs": job_runs,
 }

@@ -17,6 +17,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, Str
 
 from ..operators.filters import resolve_split, with_scores
 from ..operators.prepare import union_by_name
+from ..operators.report import RATE_NAMES
 from ..operators.rowindex import with_file_position
 from ..session import scratch_path
 
@@ -63,6 +64,9 @@ REPORT_SCHEMA = StructType([
     StructField("split", StringType()),
     StructField("wanted_scores", StringType()),
 ])
+_RUN_TAGS = [StructField(c, StringType()) for c in ("run_id", "split", "model_type")]
+RATES_SCHEMA = StructType([*[StructField(c, DoubleType()) for c in RATE_NAMES], *_RUN_TAGS])
+ACCURACY_SCHEMA = StructType([StructField("pos", LongType()), StructField("acc", LongType()), StructField("accuracy", DoubleType()), *_RUN_TAGS])
 
 
 def read_jsonl_union(spark: SparkSession, paths: list[str], schema: StructType,
@@ -171,5 +175,15 @@ def write_outputs(df: DataFrame, run: dict, path: str | None = None) -> str:
     return path
 
 
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    """The rates of the classify job, with their run's tags."""
+    return spark.read.schema(RATES_SCHEMA).json(path)
+
+
+def read_running_accuracy(spark: SparkSession, path: str) -> DataFrame:
+    """The running accuracy of the classify job, with its run's tags."""
+    return spark.read.schema(ACCURACY_SCHEMA).json(path)
+
+
 def read_report(spark: SparkSession, path: str, schema: StructType = REPORT_SCHEMA) -> DataFrame:
     return spark.read.schema(schema).json(path)
