@@ -83,7 +83,7 @@ def evaluate_job(spark: SparkSession, prepared: str, split_name: str, out: str,
     ``cap`` + 1 valid rows as the reference's loop did; by default every row is
     evaluated."""
     # each call is a run of its own, so a repeated evaluation never mixes rows
-    run = dict(run or {}, run_id=uuid.uuid4().hex, split=filters.resolve_split(split_name),
+    run = dict({"model": None}, **run or {}, run_id=uuid.uuid4().hex, split=filters.resolve_split(split_name),
                wanted_scores=None if wanted is None else ",".join(str(w) for w in wanted))
     p = filters.with_scores(datasets.read_prepared(spark, prepared, split_name), wanted)
     key = "row_id"
@@ -105,12 +105,12 @@ def evaluate_job(spark: SparkSession, prepared: str, split_name: str, out: str,
     # the rows are computed once: written, then read back for the report
     # (only this run's rows; the outputs folder is appended to across runs)
     path = datasets.write_outputs(ev, run, f"{out}/outputs")
-    written = spark.read.parquet(path)
+    written = datasets.read_outputs(spark, path)
     for k, val in run.items():
         written = written.filter(F.col(k).eqNullSafe(F.lit(None if val is None else str(val)).cast("string")))
     rep = report.describe_metrics(written.select(*[c for c in ev.columns if c != key]))
     datasets.write_report(rep, run, f"{out}/metrics")
-    runs.commit_run(spark, f"{out}/runs", run["run_id"], "evaluate", run.get("model", "built-in"), split=run["split"], rows=written.count())
+    runs.commit_run(spark, f"{out}/runs", run["run_id"], "evaluate", run["model"] or ("built-in" if headlines is None else "supplied"), split=run["split"], rows=written.count())
     return rep
 
 

@@ -175,6 +175,12 @@ def write_outputs(df: DataFrame, run: dict, path: str | None = None) -> str:
     return path
 
 
+def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """The outputs of all runs in a folder; runs may differ in their tags and
+    metrics, a column that a run lacks is NULL in its rows."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
     """The rates of the classify job, with their run's tags."""
     return spark.read.schema(RATES_SCHEMA).json(path)

@@ -65,6 +65,15 @@ def test_reports_of_the_classify_job_read_back(spark, tmpdir_fresh):
     assert runs.read_runs(spark, out + "/runs").where("split = 'dev'").first()["rows"] == 0
 
 
+def test_outputs_of_runs_with_other_columns(spark, tmpdir_fresh):
+    out = tmpdir_fresh + "/o"
+    for k in range(4):      # whichever file names the writer draws
+        datasets.write_outputs(spark.range(2), {"run_id": f"a{k}"}, out)
+        datasets.write_outputs(spark.range(3).withColumn("extra", F.lit(1.0)), {"run_id": f"b{k}", "model": "m"}, out)
+    back = datasets.read_outputs(spark, out)
+    assert back.where("model = 'm' AND extra = 1").count() == 12 and back.where("model IS NULL AND extra IS NULL").count() == 8
+
+
 def test_every_position_is_found(spark, tmpdir_fresh):
     path = tmpdir_fresh + "/a set"
     spark.range(23).select("id", (F.col("id") % 2).alias("part"), F.concat(F.lit("t"), "id").alias("text")).repartition(3).write.partitionBy("part").parquet(path)
