@@ -6,11 +6,12 @@ min-hashes; each of 72 coordinates is the hash of 4 of them, so the posting list
 of a coordinate and value holds near copies and little else, even where a
 passage is in a third of all documents.
 
-Two classes of similarity 0.75 agree in 22 coordinates on average. A pair must
-agree in 2 (fewer has a probability of about 1e-7 at 0.75 itself), so the last
-coordinate need not be posted (prefix); signatures are compared only for pairs
-that meet in a list, and those that agree in under 28 of the first 64 min-hashes
-(expected: 48, standard deviation 3.5) are skipped.
+Two classes of similarity 0.75 agree in 22 coordinates on average, in fewer than
+2 with a probability of about 1e-7, so the last coordinate is not posted (prefix).
+One shared list makes a pair; its shared lists are not counted. In place of the
+count, the signatures of pairs that meet are compared, and those that agree in
+under 28 of the first 64 min-hashes (expected: 48, standard deviation 3.5) are
+skipped.
 
 A list does not emit its pairs. First each class meets only the list's hub, the
 class that collides with others most often (the original of near copies), of its

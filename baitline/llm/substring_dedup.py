@@ -1,9 +1,9 @@
-"""Substring dedup (op7): seed and extend over winnowed word anchors.
+"""Substring dedup (op7): 13-word windows met at winnowed word anchors.
 
-Every 13-word window holds a winnowed 5-word seed. Documents that share a seed
-meet in its bucket; there each seed is extended a words to the left and 8 - a to
-the right, for every a, and an extent that agrees word for word with one of a
-smaller document is a match. Adjacent matches unite to the maximal repeats,
+Every 13-word window holds a winnowed 5-word anchor. Documents that share an
+anchor meet in its bucket; there all windows around it are grouped by their
+words, in place of an extension word by word, and a window that a smaller
+document has too is a match. Adjacent matches unite to the maximal repeats,
 whose words are removed. See ``repeats`` for how blocks and buckets talk.
 
 Nulls: a null text has no words; a row without a doc_id is kept whole and
@@ -56,8 +56,8 @@ class Words:
 
 
 def extend(segs: list[bytes], least: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Least document of each window of each segment. A window is a seed with
-    its left and right words, compared byte for byte."""
+    """Least document of each window of each segment; windows are grouped byte
+    for byte."""
     extents = []
     for seg, c in zip(segs, counts.tolist()):
         gaps = [-1, *np.flatnonzero(np.frombuffer(seg, np.uint8) == 32).tolist(), len(seg)]
