@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE, words
+from ..session import scratch_path
 from .filters import binary_label
 
 # Fixed values of the built-in clickbait cue scorer (a closed-form logistic).
@@ -53,8 +54,11 @@ def score_headlines(df: DataFrame, title: str = "Title", out: str = "prob") -> D
 def fit_classifier(df: DataFrame, text: str = "Title", score: str = "Score",
                    num_features: int = 1 << 18, max_iter: int = 20):
     """Distributed fit of tokenizer -> HashingTF -> LogisticRegression, label
-    = score > 0.5. Returns a fitted PipelineModel (``transform`` scores rows)."""
-    from pyspark.ml import Pipeline
+    = score > 0.5. Returns a fitted PipelineModel (``transform`` scores rows), as
+    read back from the shared folder: a model fresh from ``fit`` carries its
+    training summary and with it the session, which no longer serializes to tasks
+    once anything in it has been observed (``DataFrame.observe``)."""
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, RegexTokenizer
 
@@ -64,7 +68,9 @@ def fit_classifier(df: DataFrame, text: str = "Title", score: str = "Score",
         HashingTF(inputCol="_tokens", outputCol="features", numFeatures=num_features),
         LogisticRegression(maxIter=max_iter, featuresCol="features", labelCol="label"),
     ])
-    return pipe.fit(data)
+    path = scratch_path(df.sparkSession, "classifier")
+    pipe.fit(data).write().save(path)
+    return PipelineModel.load(path)
 
 
 class HashingEmbedder:

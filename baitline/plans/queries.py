@@ -18,7 +18,7 @@ from ..operators import evaluate as ev_ops
 from ..operators.evaluate import (METRIC_COLUMNS, extractive_headline, pair_token_metrics, valid_pairs,
                                    with_text_metrics)
 from ..operators.prepare import prepare_articles, union_by_name
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import datasets, fixtures, runs
 from . import headline as hp
 from . import jobs
@@ -228,7 +228,7 @@ def model_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_failures(spark: SparkSession, d: str) -> DataFrame:
-    got = models.inferred(hp.prepared_set(spark, d), "row_id", "Body", models.lead_summarizer, "Summary")
+    got = materialize(models.inferred(hp.prepared_set(spark, d), "row_id", "Body", models.lead_summarizer, "Summary"), "inferred")
     return got.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("failed"), 1)).alias("failed"))
 
 

@@ -4,8 +4,10 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
-from baitline.operators import models, vectors
+from baitline.operators import models, scorers, vectors
 from baitline.operators.evaluate import evaluate_pairs
 from baitline.plans import jobs
 
@@ -115,3 +117,13 @@ def test_jobs_with_models(spark, tmpdir_fresh):
     assert by_model and all(g == " ".join(bodies[i].split()[:10]) for i, g in by_model.items())
     assert {r["gen_title"] for r in got if r["model"] is None} == {"a headline of my own"}
     assert 0 < sum(r["model"] is None for r in got) <= 7
+
+
+def test_a_fitted_classifier_scores_in_a_session_with_observations(spark):
+    """An observation leaves a manager in the session that no task can take along."""
+    rows = [(i, "you won" if i % 2 else "council meets", float(i % 2)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, Title string, Score double")
+    seen = Observation("rows")
+    assert df.observe(seen, F.count(F.lit(1)).alias("n")).count() == 20 and seen.get == {"n": 20}
+    got = scorers.fit_classifier(df).transform(df).select("id", "prediction").collect()
+    assert {r["id"]: r["prediction"] for r in got} == {i: s for i, _, s in rows}
