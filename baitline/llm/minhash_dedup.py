@@ -15,9 +15,12 @@ skipped.
 
 A list does not emit its pairs. First each class meets only the list's hub, the
 class that collides with others most often (the original of near copies), of its
-hubs the one that agrees most, and confirmed links give components.
-Then lists with two components or more emit the pairs between components, which
-are confirmed too; pairs within a component cannot change it. A long one of these
+hubs the one that agrees most and the one that collides most, and confirmed links
+give components. The classes around one hub are a group: they are compared by what
+tells each of them from the hub (``_within_groups``), so the pairs of a large group
+of near copies, edited each in its own places, do not meet at all.
+Then lists with two components or more emit the pairs between components and
+groups, which are confirmed too; pairs within a component cannot change it. A long one of these
 lists, as a common passage makes among short documents, is posted anew under the
 rarest shingles of its members: in an order of all shingles by how many members
 hold them, two sets of similarity 0.75 meet in the first quarter of either, so a
@@ -103,15 +106,19 @@ def _lists(frames):
         yield pd.DataFrame({"list": key.ravel().view(np.int64), "cid": np.repeat(pdf.cid.to_numpy(), posted)})
 
 
+def _by_rarity(items: DataFrame, *key: str) -> DataFrame:
+    """(cid, g): the items of each class that others hold too, the rarest first."""
+    held = materialize(items.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "held")
+    return items.join(held, list(key)).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "list"))).alias("g"))
+
+
 def _rare_lists(long: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(list, cid, root, rest): the classes of long lists under the shingles
     of their prefixes; rest: how many of a class's shingles come from there on.
     Shingles of one member only come first in the order and are not posted."""
     who = materialize(long.select("cid", "root").distinct(), "long")
     grams = materialize(_full_sets(who.select("cid"), classes, docs).select("cid", F.explode("s").alias("list")), "grams")
-    held = materialize(grams.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "held")
-    shared = (grams.join(held, "list").groupBy("cid")
-              .agg(F.sort_array(F.collect_list(F.struct("n", "list"))).alias("g")))
+    shared = _by_rarity(grams, "list")
     size, shown = F.col("n_shingles"), F.size("g")
     first = size - F.ceil(size * PERCENT / 100) + 1 - (size - shown)       # of the prefix, those not alone
     posted = (shared.join(classes.select("cid", "n_shingles"), "cid").where(first > 0)
@@ -171,15 +178,59 @@ def _full_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     return materialize(got.groupBy("cid").agg(F.first("s").alias("s")), "sets")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are links on the full sets."""
-    pairs = materialize(pairs.select("u", "v"), "pairs")
+def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pairs`` with the full sets of their classes, a of u and b of v."""
+    pairs = materialize(pairs, "pairs")
     asked = pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))).distinct()
     got = _full_sets(asked, classes, docs)
-    j = pairs.join(got.toDF("u", "a"), "u").join(got.toDF("v", "b"), "v")
+    return pairs.join(got.toDF("u", "a"), "u").join(got.toDF("v", "b"), "v")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that are links on the full sets."""
     # compared a row at a time, without batches of sets
     both = F.size(F.array_intersect("a", "b"))
-    return j.where(both * (100 + PERCENT) >= PERCENT * (F.size("a") + F.size("b"))).select("u", "v")
+    return (_compared(pairs.select("u", "v"), classes, docs)
+            .where(both * (100 + PERCENT) >= PERCENT * (F.size("a") + F.size("b"))).select("u", "v"))
+
+
+def _with_hubs(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pairs`` (u a hub) with o, the size of u's set, diff, what is in one
+    set of u and v only, and weight: 100 for each element of u's set that v lacks,
+    PERCENT for each that v has and u lacks. The pair is a link if weight is
+    (100 - PERCENT) * o at most."""
+    less, more = F.array_except("a", "b"), F.array_except("b", "a")
+    return materialize(_compared(pairs, classes, docs).select(
+        *pairs.columns, F.size("a").alias("o"), F.concat(less, more).alias("diff"),
+        (F.size(less) * 100 + F.size(more) * PERCENT).alias("weight")), "differences")
+
+
+def _within_groups(diffs: DataFrame, label: DataFrame) -> DataFrame:
+    """(u, v): pairs of classes of one hub that may be links, at least one of
+    them no link of the hub. With k elements in both differences from the hub,
+    two classes are linked if k * (100 + PERCENT) >= the sum of their weights -
+    (100 - PERCENT) * o: the further they are from the hub, the more must be the
+    same. The lighter one of a pair is posted under a prefix of its difference,
+    rarest first, long enough to hold one of the k; the other one, which is not
+    linked to the hub, under all of it."""
+    spare = F.col("o") * (100 - PERCENT)
+    far = F.col("weight") > spare
+    with_far = diffs.where(far).select("hub").distinct()
+    member = materialize(diffs.join(with_far, "hub"), "grouped")
+    items = materialize(member.select("hub", "cid", F.explode("diff").alias("list")), "items")
+    shown = F.size("g")
+    least = F.ceil((F.col("weight") + F.greatest(F.col("weight"), spare + 1) - spare) / (100 + PERCENT))
+    posted = materialize(
+        _by_rarity(items, "hub", "list").join(member.select("hub", "cid", "o", "weight"), "cid").where(far | (shown >= least))
+        .select("hub", "cid", "weight", spare.alias("spare"), (shown - least + 1).alias("first"), shown.alias("m"), F.posexplode("g").alias("at", "x"))
+        .join(label.withColumnRenamed("id", "cid"), "cid", "left")
+        .select("hub", "cid", "weight", "spare", F.coalesce("root", "cid").alias("root"), F.col("x.list").alias("list"),
+                (F.col("at") < F.col("first")).alias("prefix"), (F.col("m") - F.col("at")).alias("rest")), "posted")
+    a, b = posted.where("prefix").alias("a"), posted.where("weight > spare").alias("b")
+    lighter = F.struct("a.weight", "a.cid") < F.struct("b.weight", "b.cid")
+    enough = F.least("a.rest", "b.rest") * (100 + PERCENT) >= F.col("a.weight") + F.col("b.weight") - F.col("a.spare")
+    return (a.join(b, ["hub", "list"]).where(lighter & enough & F.expr("a.root <> b.root"))
+            .select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct())
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -200,9 +251,16 @@ def linked(docs: DataFrame) -> DataFrame:
             .agg(F.max_by("cid", F.struct("met", -F.col("cid"))).alias("hub")))
     pairs = posted.join(materialize(hubs, "hubs"), "list").where("hub <> cid")
     first = _promising(pairs.select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct(), classes)
-    best = (first.groupBy("v").agg(F.max_by("u", F.struct("agree", -F.col("u"))).alias("u")))
-    links = materialize(_confirmed(best, classes, docs), "links")
+    # the most like hub of each class, and its group: the hub that meets others most often
+    near = materialize(first.join(central.toDF("u", "met"), "u").groupBy("v")
+                       .agg(F.max_by("u", F.struct("agree", -F.col("u"))).alias("best"),
+                            F.max_by("u", F.struct("met", -F.col("u"))).alias("hub")), "near")
+    tried = near.select(F.explode(F.array_distinct(F.array("best", "hub"))).alias("u"), "v", "hub")
+    diffs = _with_hubs(tried, classes, docs)
+    links = materialize(diffs.where(F.col("weight") <= F.col("o") * (100 - PERCENT)).select("u", "v"), "links")
     label = components(links)
+    group = near.select(F.col("v").alias("cid"), "hub")
+    within = _within_groups(diffs.where("u = hub").withColumnRenamed("v", "cid"), label)
 
     # pairs between components: every class outside its list's main component against the others
     root = F.coalesce("root", "cid")
@@ -211,14 +269,15 @@ def linked(docs: DataFrame) -> DataFrame:
     rare = _mixed(materialize(_rare_lists(member.where(F.col("n") > LONG), classes, docs), "rare"))
     sizes = classes.select("cid", F.col("n_shingles").alias("size"))
     whole = member.where(F.col("n") <= LONG).join(sizes, "cid").withColumn("rest", F.col("size"))
-    member = materialize(whole.unionByName(rare.join(sizes, "cid")), "members")
+    member = materialize(whole.unionByName(rare.join(sizes, "cid")).join(group, "cid", "left"), "members")
     out, all_ = member.where("not main").alias("a"), member.alias("b")
     # an intersection is at most what comes from the shared place on
     enough = F.least("a.rest", "b.rest") * (100 + PERCENT) >= (F.col("a.size") + F.col("b.size")) * PERCENT
-    cross = (out.join(all_, "list").where("a.root <> b.root and (b.main or a.cid < b.cid)").where(enough)
+    apart = F.expr("a.root <> b.root and (b.main or a.cid < b.cid) and not coalesce(a.hub = b.hub, false)")
+    cross = (out.join(all_, "list").where(apart & enough)
              .select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct())
-    tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    cross = _promising(cross.join(tried, ["u", "v"], "left_anti"), classes)
+    tried = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    cross = _promising(cross.join(tried, ["u", "v"], "left_anti").union(within), classes)
     more = materialize(_confirmed(cross, classes, docs), "links")
     if not more.isEmpty():
         label = components(links.union(more))

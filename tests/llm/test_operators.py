@@ -125,6 +125,33 @@ def vectors():
     return rows
 
 
+def test_minhash_dedup_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Copies with edits of their own, many of them too far from the original:
+    candidates are in proportion to the group, not its pairs; links between
+    copies that share most of their edits are found."""
+    rnd = random.Random(11)
+    base = [f"w{k}" for k in range(180)]
+    rows = [(0, " ".join(base), "en", "s1")]
+    for i in range(1, 240):
+        own = list(base)
+        for k in rnd.sample(range(180), rnd.randint(3, 12)):
+            own[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(own), "en", "s1"))
+        if i % 40 == 0:
+            own[rnd.randrange(180)] = "twin"
+            rows.append((1000 + i, " ".join(own), "en", "s1"))
+    compared, promising = [], minhash_dedup._promising
+
+    def counted(pairs, classes):
+        compared.append(pairs.count())
+        return promising(pairs, classes)
+
+    monkeypatch.setattr(minhash_dedup, "_promising", counted)
+    got = [tuple(r) for r in minhash_dedup.minhash_dedup(documents(spark, rows)).collect()]
+    assert by_key(got) == by_key(brute_components(rows))
+    assert len({r[2] for r in got}) > 20 and sum(compared) < 12 * len(rows)
+
+
 def brute_search(rows, score, zero):
     import math
 
