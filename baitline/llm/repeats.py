@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from baitline.llm import blocks as B
 
 PARTS = 32          # a bucket's segments are judged in so many shares of its anchors
-PIECE = 1 << 21     # units of one vectorised batch; longer documents are cut with overlap
+PIECE = 1 << 16     # units of one vectorised batch, which stays in a core's cache; longer documents are cut with overlap
 _POS = np.uint64(24)
 _MASK = np.uint64((1 << 24) - 1)
 
@@ -47,15 +47,17 @@ def segments(seed_hash: np.ndarray, ends: np.ndarray, W: int, k: int):
     empty = np.empty(0, np.int64)
     if n < W:
         return empty.astype(np.uint64), empty, empty, empty
-    key = (seed_hash >> _POS << _POS) | np.arange(len(seed_hash), dtype=np.uint64)
+    key = (seed_hash & ~_MASK) | np.arange(len(seed_hash), dtype=np.uint64)
     least = sliding_min(key, W - k + 1)
-    piece = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:len(least)]
-    starts = np.flatnonzero(np.arange(len(least)) + W <= ends[piece])
-    if not len(starts):
-        return empty.astype(np.uint64), empty, empty, empty
-    a, p = least[starts], piece[starts]
-    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (p[1:] != p[:-1])])
-    return a[new] >> _POS, p[new], starts[new], np.diff(np.r_[new, len(starts)])
+    # a segment ends where the least seed changes or its piece has no more windows
+    begins = np.diff(ends, prepend=0)
+    begins = ends - begins
+    new = np.unique(np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, begins, np.maximum(ends - W + 1, begins)]))
+    new = new[new < len(least)]
+    count, piece = np.diff(np.r_[new, len(least)]), np.searchsorted(ends, new, "right")
+    whole = new + W <= ends[piece]
+    new = new[whole]
+    return least[new] >> _POS, piece[whole], new, count[whole]
 
 
 def _batches(docs: list):
@@ -91,16 +93,18 @@ def _scan(docs: list, W: int, k: int):
 
 
 def _distinct(anchors, doc, n_buckets):
-    """Sorted distinct anchors of each bucket, with whether two documents of
-    the block hold them."""
+    """Number of each anchor among the sorted distinct anchors of the buckets,
+    these, and whether two documents of the block hold them; ``doc`` ascends."""
     bucket = (anchors % np.uint64(n_buckets)).astype(np.int64)
     short = ((anchors // np.uint64(n_buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     full = bucket.astype(np.uint64) << np.uint64(32) | short
-    order = np.lexsort((doc, full))
+    order = np.argsort(full, kind="stable")
     f, d = full[order], doc[order]
     new = np.r_[True, f[1:] != f[:-1]]
+    number = np.empty(len(f), np.int64)
+    number[order] = np.cumsum(new) - 1
     many = np.logical_or.reduceat(np.r_[False, (f[1:] == f[:-1]) & (d[1:] != d[:-1])], np.flatnonzero(new)) if len(f) else np.empty(0, bool)
-    return full, f[new], many
+    return number, f[new], many
 
 
 def _ask_anchors(docs, W, k, n_buckets):
@@ -131,41 +135,52 @@ def _answer_anchors(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-def _shared_segments(docs, W, k, n_buckets, answers):
-    """Segments at shared anchors, in document order."""
-    anchors, doc, start, count = _scan(docs, W, k)
-    if not len(anchors):
-        return []
-    full, keys, _ = _distinct(anchors, doc, n_buckets)
-    at, shared = keys >> np.uint64(32), np.zeros(len(keys), bool)
-    for b in np.unique(at):
-        own = np.flatnonzero(at == b)
-        shared[own] = np.unpackbits(np.frombuffer(answers[int(b)], np.uint8), count=len(own)).astype(bool)
-    keep = shared[np.searchsorted(keys, full)]
-    anchors = anchors[keep]
-    bucket, part = anchors % np.uint64(n_buckets), anchors // np.uint64(n_buckets) % np.uint64(PARTS)
-    return list(zip(bucket.tolist(), doc[keep].tolist(), start[keep].tolist(), count[keep].tolist(), part.tolist()))
-
-
-def _first_seen(docs, found):
-    """{bucket: {segment bytes: (first document, windows, part)}}; the
+class Found:
+    """Segments at shared anchors, in document order: bucket, doc, start,
+    count, part; ``which`` numbers them by bucket and bytes, ``first`` is the
+    first row of each number and ``seen`` {bucket: {bytes: number}}. The
     documents come by doc_id, so the first one is the smallest."""
-    by = {}
-    for b, d, s, c, part in found:
-        seen = by.setdefault(b, {})
-        seg = docs[d].slice(s, c)
-        if seg not in seen:
-            seen[seg] = (d, c, part)
-    return by
-
-
-def _pack(ids, seen) -> bytes:
-    n = len(seen)
-    lens = np.fromiter(map(len, seen), np.uint32, n)
-    doc = np.fromiter((ids[d] for d, _, _ in seen.values()), np.int64, n)
-    count = np.fromiter((c for _, c, _ in seen.values()), np.uint32, n)
-    part = np.fromiter((p for _, _, p in seen.values()), np.uint8, n)
-    head = np.uint32(n).tobytes() + lens.tobytes() + doc.tobytes() + count.tobytes() + part.tobytes()
+
+    def __init__(self, docs, W, k, n_buckets, answers):
+        anchors, self.doc, self.start, self.count = _scan(docs, W, k)
+        self.seen: dict[int, dict[bytes, int]] = {}
+        if len(anchors):
+            number, keys, _ = _distinct(anchors, self.doc, n_buckets)
+            at, shared = keys >> np.uint64(32), np.zeros(len(keys), bool)
+            for b in np.unique(at):
+                own = np.flatnonzero(at == b)
+                shared[own] = np.unpackbits(np.frombuffer(answers[int(b)], np.uint8), count=len(own)).astype(bool)
+            keep = shared[number]
+            anchors, self.doc, self.start, self.count = anchors[keep], self.doc[keep], self.start[keep], self.count[keep]
+        bucket = (anchors % np.uint64(n_buckets)).astype(np.int64)
+        self.part = (anchors // np.uint64(n_buckets) % np.uint64(PARTS)).astype(np.uint8)
+        which, first = [], []
+        for i, (b, d, s, c) in enumerate(zip(bucket.tolist(), self.doc.tolist(), self.start.tolist(), self.count.tolist())):
+            seen = self.seen.get(b)
+            if seen is None:
+                seen = self.seen[b] = {}
+            y = seen.setdefault(docs[d].slice(s, c), len(first))
+            if y == len(first):
+                first.append(i)
+            which.append(y)
+        self.which, self.first = np.array(which, np.int64), np.array(first, np.int64)
+
+    def rows(self, bucket: int) -> np.ndarray:
+        """The first rows of a bucket's distinct segments, as they were sent."""
+        own = self.seen[bucket]
+        return self.first[np.fromiter(own.values(), np.int64, len(own))]
+
+
+def _ranges(first, count) -> np.ndarray:
+    """first, first + 1, ... (count of them), for each."""
+    return np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
+def _pack(ids, found: Found, bucket: int) -> bytes:
+    seen, rows = found.seen[bucket], found.rows(bucket)
+    lens = np.fromiter(map(len, seen), np.uint32, len(seen))
+    doc = np.array(ids, np.int64)[found.doc[rows]]
+    head = np.uint32(len(seen)).tobytes() + lens.tobytes() + doc.tobytes() + found.count[rows].astype(np.uint32).tobytes() + found.part[rows].tobytes()
     return zlib.compress(head + b"".join(seen), 1)
 
 
@@ -215,23 +230,23 @@ def _answer_segments(payloads: list[bytes], judge) -> list[bytes]:
 
 def marked(docs, ids, W, k, n_buckets, anchors, answers) -> list[np.ndarray]:
     """For each document the mask of its windows that occur in a smaller one."""
-    out = [np.zeros(max(len(d) - W + 1, 0), bool) for d in docs]
-    found = _shared_segments(docs, W, k, n_buckets, anchors)
-    by = _first_seen(docs, found)
-    bits = {}
-    for b, seen in by.items():
-        first, at = {}, 0
-        flags = np.unpackbits(np.frombuffer(answers[b], np.uint8)).astype(bool)
-        for seg, (_, c, _) in seen.items():
-            first[seg] = (at, c)
-            at += c
-        bits[b] = (flags, first)
-    for b, d, s, c, _ in found:
-        seg = docs[d].slice(s, c)
-        flags, first = bits[b]
-        at, _ = first[seg]
-        out[d][s:s + c] = True if ids[d] > ids[by[b][seg][0]] else flags[at:at + c]
-    return out
+    found, ids = Found(docs, W, k, n_buckets, anchors), np.array(ids, np.int64)
+    windows = np.array([max(len(d) - W + 1, 0) for d in docs], np.int64)
+    begin = np.cumsum(windows) - windows
+    out = np.zeros(int(windows.sum()), bool)
+    to = begin[found.doc] + found.start
+    for b in found.seen:
+        rows = found.rows(b)
+        at = _ranges(to[rows], found.count[rows])
+        out[at] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=len(at)).astype(bool)
+    # the answer is for the first document with a segment; in a later one all its
+    # windows occur in that, and a repeated row of the first has the same answer
+    first = found.first[found.which]
+    later = ids[found.doc] > ids[found.doc[first]]
+    again = ~later & (first != np.arange(len(first)))
+    out[_ranges(to[again], found.count[again])] = out[_ranges(to[first[again]], found.count[again])]
+    out[_ranges(to[later], found.count[later])] = True
+    return np.split(out, begin[1:]) if len(docs) else []
 
 
 def covered(mask: np.ndarray, n: int, W: int) -> np.ndarray:
@@ -261,7 +276,8 @@ def remove_repeats(docs: DataFrame, reader, judge, W: int, k: int, finish, schem
 
     def ask2(pdf, answers):
         own, ids = read(pdf)
-        return [(b, _pack(ids, seen)) for b, seen in _first_seen(own, _shared_segments(own, W, k, n_buckets, answers)).items()]
+        found = Found(own, W, k, n_buckets, answers)
+        return [(b, _pack(ids, found, b)) for b in found.seen]
 
     def done(pdf, anchors, answers):
         take = (pdf.doc_id.notna() & pdf.text.notna()).to_numpy()

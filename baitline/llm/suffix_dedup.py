@@ -1,8 +1,8 @@
 """Suffix-array dedup (op8): a run-length index over repeated text.
 
 Segments at shared anchors (see ``repeats``) meet in buckets. A bucket lays its
-distinct segments end to end, sorts the suffixes, takes the Burrows-Wheeler
-transform and keeps its runs only. Runs end where the symbol changes or where
+distinct segments end to end, sorts the suffixes (by doubling, those still alike
+only), takes the Burrows-Wheeler transform and keeps its runs, and of each row its run. Runs end where the symbol changes or where
 the next 50 bytes do; each run's sample is the least document among its rows, so
 all rows whose suffixes agree on 50 bytes are a few whole runs. Then the
 segments stream backwards through the index, one LF step a byte, all segments
@@ -69,22 +69,26 @@ class RunIndex:
         self.ends = np.cumsum(lens + 1) - 1
         text = raw.astype(np.uint64) + np.uint64(1)
         text[self.ends] = 0
-        # suffixes by their first 7 symbols, then by doubling until all differ
-        key = np.zeros(n, np.uint64)
-        for i in range(7):
-            key = key << np.uint64(9) | np.r_[text[i:], np.zeros(min(i, n), np.uint64)][:n]
-        h, rank28 = 7, None
+        # suffixes by their first 7 symbols, then those that are alike by doubling until all differ
+        ahead = lambda x, by: np.r_[x[by:], np.zeros(min(by, n), x.dtype)][:n]
+        key = text << np.uint64(9) | ahead(text, 1)
+        key = key << np.uint64(18) | ahead(key, 2)
+        key = key << np.uint64(27) | ahead(key, 4) >> np.uint64(9)
+        order, rank = np.argsort(key), np.empty(n, np.int64)
+        h, rank28, alike, key = 7, None, np.arange(n), key[order]
         while True:
-            order = np.argsort(key)
-            k = key[order]
-            new = np.r_[True, k[1:] != k[:-1]]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
-            if h == 28:
-                rank28 = rank
-            if h >= 28 and new.all():
+            new = np.r_[True, key[1:] != key[:-1]]
+            first = np.flatnonzero(new)
+            rank[order[alike]] = np.repeat(alike[first], np.diff(np.r_[first, len(alike)]))      # the group's first row
+            alike = alike[~(new & np.r_[new[1:], True])]
+            if h == 28 or not len(alike) and rank28 is None:
+                rank28 = rank.copy()
+            if not len(alike):
                 break
-            key = rank * np.int64(n + 1) + np.r_[rank[h:] + 1, np.zeros(min(h, n), np.int64)][:n]
+            at = order[alike]
+            key = rank[at] * np.int64(n + 1) + np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
+            by = np.argsort(key)
+            order[alike], key = at[by], key[by]
             h *= 2
         # rows whose suffixes agree on 50 symbols: 28 and the last 28 of them
         far = np.r_[rank28[22:], np.full(min(22, n), -1)][:n]
@@ -93,12 +97,13 @@ class RunIndex:
         bwt = text[order - 1]
         cut = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]] | ~agree)
         doc = np.repeat(least, lens + 1)[order]
-        self.start = cut                                            # runs: first row,
-        self.sample = np.minimum.reduceat(doc, cut)                 # least document
+        self.sample = np.minimum.reduceat(doc, cut)                 # runs: least document
         symbol, size = bwt[cut].astype(np.uint16), np.diff(np.r_[cut, n])
         by = np.argsort(symbol, kind="stable")                      # a radix sort on 16 bits
-        self.lf = np.empty(len(cut), np.int64)                      # and where LF takes the first row
-        self.lf[by] = np.cumsum(size[by]) - size[by]
+        self.step = np.empty(len(cut), np.int64)                    # and how far LF takes a row
+        self.step[by] = np.cumsum(size[by]) - size[by]
+        self.step -= cut
+        self.run = np.repeat(np.arange(len(cut)), size)             # of each row
         group = np.flatnonzero(~agree[cut])
         self.group_least = np.repeat(np.minimum.reduceat(self.sample, group), np.diff(np.r_[group, len(cut)]))
         row = np.empty(n, np.int64)
@@ -111,10 +116,10 @@ class RunIndex:
         out = np.empty(int(counts.sum()), np.int64)
         last = np.cumsum(counts) - 1
         live, row = np.arange(len(counts)), self.end_row
-        run = np.searchsorted(self.start, row, "right") - 1
+        run = self.run[row]
         for t in range(1, WINDOW + int(counts.max())):
-            row = self.lf[run] + row - self.start[run]
-            run = np.searchsorted(self.start, row, "right") - 1
+            row = row + self.step[run]
+            run = self.run[row]
             if t >= WINDOW:
                 out[last[live] - (t - WINDOW)] = self.group_least[run]
                 on = counts[live] > t - WINDOW + 1

@@ -68,6 +68,28 @@ def test_suffix_dedup(spark, edge_rows):
     assert by_key(got) == by_key(want)
 
 
+def test_run_index_sorts_only_suffixes_that_are_still_alike(monkeypatch):
+    rnd = random.Random(3)
+    segs = list({bytes(rnd.choice(b"abcdefgh") for _ in range(rnd.randint(50, 80))) for _ in range(300)})
+    segs += [b"x" * 50 + segs[0], segs[0][:50] + b"y" * 9, b"ab" * 40, b"x" * 60, b"x" * 61]
+    least, counts = np.array([rnd.randint(1, 99) for _ in segs]), np.array([len(s) - 49 for s in segs])
+    sizes, argsort = [], np.argsort
+
+    def counted(x, *args, **kwargs):
+        if x.dtype.itemsize == 8:
+            sizes.append(len(x))
+        return argsort(x, *args, **kwargs)
+
+    monkeypatch.setattr(np, "argsort", counted)
+    got = suffix_dedup.least_documents(segs, least, counts)
+    windows = [(s[k:k + 50], d) for s, d in zip(segs, least.tolist()) for k in range(len(s) - 49)]
+    first = {}
+    for w, d in windows:
+        first[w] = min(first.get(w, d), d)
+    assert got.tolist() == [first[w] for w, _ in windows]
+    assert sum(sizes) < 1.5 * sum(len(s) + 1 for s in segs)
+
+
 def brute_components(rows, percent=75):
     def shingles(t):
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
