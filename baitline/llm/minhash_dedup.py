@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,7 @@ from baitline.session import materialize
 SHINGLE = 5
 HASHES, COORDINATES, TAKE = 128, 72, 4
 AGREE, SHOWN, LEAST_HASHES = 2, 64, 28     # of the first SHOWN min-hashes, so many must agree
+ROWS = 128      # texts, sets and signatures that a task's Python holds at once
 LONG = 64       # lists over LONG classes are posted anew, under rare shingles
 PERCENT = 75
 UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -76,8 +78,8 @@ def shingle_set(text) -> np.ndarray:
 def signature(s: np.ndarray) -> np.ndarray:
     """The upper 32 bits of each least hash."""
     least = np.full(HASHES, ~np.uint64(0))
-    for at in range(0, len(s), 4096):
-        least = np.minimum(least, (s[at:at + 4096, None] * _A + _B).min(axis=0))
+    for at in range(0, len(s), ROWS):
+        least = np.minimum(least, (s[at:at + ROWS, None] * _A + _B).min(axis=0))
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
@@ -85,25 +87,45 @@ def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _described(frames):
-    for pdf in frames:
-        sets = [shingle_set(t) for t in pdf.text]
-        yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "key": pdf.key, "n_shingles": [len(s) for s in sets],
-                            "digest": [_digest(s) if len(s) else None for s in sets],
-                            "sig": [signature(s).tobytes() if len(s) else None for s in sets]})
+def _parts(batches):
+    """The batches in parts of ROWS rows: a batch of 10,000 texts, as strings
+    and with their sets, is several times its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
-def _lists(frames):
+def _sketch(text) -> tuple:
+    s = shingle_set(text)
+    return (len(s), _digest(s), signature(s).tobytes()) if len(s) else (0, None, None)
+
+
+def _described(batches):
+    for part in _parts(batches):
+        n, digest, sig = zip(*(_sketch(t.as_py()) for t in part["text"]))
+        yield pa.RecordBatch.from_arrays([part["doc_id"], part["key"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                                          pa.array(sig, pa.binary())], ["doc_id", "key", "n_shingles", "digest", "sig"])
+
+
+def _lists(batches):
     """(list, cid): a class under each posted coordinate and value."""
     posted = COORDINATES - AGREE + 1
-    for pdf in frames:
-        if not len(pdf):
-            continue
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(-1, HASHES).astype(np.uint64)
+    for part in _parts(batches):
+        sig = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
         key = np.arange(posted, dtype=np.uint64)[None, :] * np.uint64(0x94D049BB133111EB)
         for t in range(TAKE):
             key = Wd.mix(key * Wd.MULT + sig[:, _PICK[:posted, t]])
-        yield pd.DataFrame({"list": key.ravel().view(np.int64), "cid": np.repeat(pdf.cid.to_numpy(), posted)})
+        cid = np.repeat(part["cid"].to_numpy(zero_copy_only=False), posted)
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(cid)], ["list", "cid"])
+
+
+def _sets(batches):
+    """(cid, s) of the texts whose set has the digest asked for."""
+    for part in _parts(batches):
+        got = [(c, s) for c, t, d in zip(part["cid"].to_pylist(), part["text"], part["digest"].to_pylist())
+               if _digest(s := shingle_set(t.as_py())) == d]
+        cid, s = zip(*got) if got else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))], ["cid", "s"])
 
 
 def _by_rarity(items: DataFrame, *key: str) -> DataFrame:
@@ -165,16 +187,9 @@ def _full_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     a document that stands for the class."""
     # a class's first document, by its text's hash too: ids may be null or repeated
     there = asked.join(classes, "cid").select("cid", "digest", "key", F.col("least").alias("doc_id"))
-
-    def sets(frames):
-        for pdf in frames:
-            s = [shingle_set(t) for t in pdf.text]
-            own = [_digest(x) == bytes(d) for x, d in zip(s, pdf.digest)]
-            yield pd.DataFrame({"cid": pdf.cid[own], "s": [x.view(np.int64) for x, o in zip(s, own) if o]})
-
     rows = _rows(docs)
     got = (rows.join(there, (rows["key"] == there["key"]) & rows["doc_id"].eqNullSafe(there["doc_id"])).select("cid", "digest", "text")
-           .mapInPandas(sets, "cid long, s array<long>"))
+           .mapInArrow(_sets, "cid long, s array<long>"))
     return materialize(got.groupBy("cid").agg(F.first("s").alias("s")), "sets")
 
 
@@ -237,12 +252,12 @@ def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, key, n_shingles, root, component_id, kept); key: the text's
     hash, root: the component itself, null without words. Ids may be those of
     several components."""
-    described = materialize(_rows(docs).mapInPandas(_described, "doc_id long, key long, n_shingles long, digest binary, sig binary"), "signatures")
+    described = materialize(_rows(docs).mapInArrow(_described, "doc_id long, key long, n_shingles long, digest binary, sig binary"), "signatures")
     classes = (described.where("digest is not null").groupBy("digest")
                .agg(F.min("doc_id").alias("least"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     # numbers are fixed once written
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    posted = classes.select("cid", "sig").mapInPandas(_lists, "list long, cid long")
+    posted = classes.select("cid", "sig").mapInArrow(_lists, "list long, cid long")
     sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     posted = materialize(posted.join(materialize(sizes, "lists"), "list"), "postings")
     # a list's hub: the class that meets others most often, as the original of near copies does

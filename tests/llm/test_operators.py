@@ -138,6 +138,48 @@ def test_minhash_dedup_posts_long_lists_anew(spark, monkeypatch, edge_rows):
         assert by_key(got) == by_key(brute_components(some))
 
 
+def test_minhash_dedup_holds_few_sets_at_once(monkeypatch):
+    """Of one large batch, a task's Python has a part of the sets and of the output."""
+    import weakref
+
+    import pyarrow as pa
+
+    live, most, plain = weakref.WeakSet(), [0], minhash_dedup.shingle_set
+
+    class Held(np.ndarray):
+        __hash__ = object.__hash__
+
+    def counted(text):
+        s = plain(text).view(Held)
+        live.add(s)
+        most[0] = max(most[0], len(live))
+        return s
+
+    monkeypatch.setattr(minhash_dedup, "shingle_set", counted)
+    rnd = random.Random(2)
+    texts = [" ".join(str(rnd.randint(0, 99)) for _ in range(rnd.randint(0, 30))) for _ in range(1000)] + [None]
+    ids = pa.array([None, *range(1, 1001)], pa.int64())
+    some = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], ["doc_id", "key", "text"])
+    got = [b for b in minhash_dedup._described([some])]
+    assert most[0] <= 2 and max(b.num_rows for b in got) <= minhash_dedup.ROWS
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [(r["doc_id"], r["key"], r["n_shingles"]) for r in rows] == [(i, i, len(plain(t))) for i, t in zip(ids.to_pylist(), texts)]
+    assert [r["sig"] for r in rows] == [minhash_dedup.signature(s).tobytes() if len(s := plain(t)) else None for t in texts]
+
+    cid = pa.array(range(1001), pa.int64())
+    asked = pa.RecordBatch.from_arrays([cid, pa.array([r["digest"] if k % 7 else b"other" for k, r in enumerate(rows)], pa.binary()), pa.array(texts)],
+                                       ["cid", "digest", "text"])
+    sets = [b for b in minhash_dedup._sets([asked, asked.slice(0, 0)])]
+    assert most[0] <= 2 * minhash_dedup.ROWS
+    assert [(r["cid"], r["s"]) for b in sets for r in b.to_pylist()] == [
+        (k, plain(t).view(np.int64).tolist()) for k, t in enumerate(texts) if k % 7 and len(plain(t))]
+
+    posted = minhash_dedup.COORDINATES - minhash_dedup.AGREE + 1
+    signed = pa.RecordBatch.from_arrays([cid, pa.array([r["sig"] or bytes(4 * minhash_dedup.HASHES) for r in rows], pa.binary())], ["cid", "sig"])
+    lists = [b for b in minhash_dedup._lists([signed])]
+    assert sum(b.num_rows for b in lists) == 1001 * posted and max(b.num_rows for b in lists) <= minhash_dedup.ROWS * posted
+
+
 def vectors():
     rng = np.random.default_rng(3)
     v = [rng.standard_normal(8).astype(np.float32).tolist() for _ in range(300)]
